@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bpe, language_id
+from sparkmill.llm import bpe, html_extract, language_id, quality, toxicity
 from sparkmill.llm.common import fold, table
 
 
@@ -17,20 +17,40 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold("doc_id", 3) == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    index = toxicity.learn(docs.where(~held_out), labels)
+    return toxicity.score_documents(docs, index, extra={"held_out": held_out})
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 4) == 2
     return language_id.identify(docs, docs.where(~held_out), extra={"held_out": held_out})
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.judge_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op4_language_id": op4_language_id,
+        "op7_quality": op7_quality,
         "op9_bpe": op9_bpe,
+        "op10_html_extract": op10_html_extract,
     }
 
 
