@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bpe, html_extract, language_id, quality, toxicity
+from sparkmill.llm import bpe, html_extract, language_id, mixing, quality, toxicity
 from sparkmill.llm.common import fold, table
 
 
@@ -31,6 +31,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, docs.where(~held_out), extra={"held_out": held_out})
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op4_language_id": op4_language_id,
+        "op5_mixing": op5_mixing,
         "op7_quality": op7_quality,
         "op9_bpe": op9_bpe,
         "op10_html_extract": op10_html_extract,
