@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bpe, html_extract, language_id, mixing, quality, toxicity
+from sparkmill.llm import bpe, html_extract, language_id, mixing, ngram_join, quality, toxicity
 from sparkmill.llm.common import fold, table
 
 
@@ -25,6 +25,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, index, extra={"held_out": held_out})
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 4) == 2
@@ -51,6 +55,7 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_ngram_join": op2_ngram_join,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
         "op7_quality": op7_quality,
