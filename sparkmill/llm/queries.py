@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bpe, html_extract, language_id, mixing, ngram_join, quality, toxicity
+from sparkmill.llm import bpe, embedding_dedup, html_extract, language_id, mixing, ngram_join, quality, toxicity
 from sparkmill.llm.common import fold, table
 
 
@@ -44,6 +44,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -59,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
         "op7_quality": op7_quality,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_bpe": op9_bpe,
         "op10_html_extract": op10_html_extract,
     }
