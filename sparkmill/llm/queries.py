@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bpe, embedding_dedup, html_extract, language_id, mixing, ngram_join, quality, toxicity
+from sparkmill.llm import bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, quality, toxicity
 from sparkmill.llm.common import fold, table
 
 
@@ -29,6 +29,11 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_boilerplate(docs).select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold("doc_id", 4) == 2
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_ngram_join": op2_ngram_join,
+        "op3_line_dedup": op3_line_dedup,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
         "op7_quality": op7_quality,
@@ -70,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.oracle_sql()}
