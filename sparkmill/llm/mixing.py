@@ -17,12 +17,16 @@ source are laid out one after the other, each with its own words.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmill.llm.common import WORD_PATTERN, written
 
-BLOCK_WORDS, SHARD_SLOTS, ROUNDS = 32, 4096, 6
+BLOCK_WORDS, ROUNDS = 32, 6
+#: A shard has SHARD_SLOTS slots, or more where there would be over MOST_SHARDS shards; a task makes about TASK_SLOTS slots.
+SHARD_SLOTS, MOST_SHARDS, TASK_SLOTS = 4096, 50_000, 100_000
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Documents that are laid out in one task, about.
 RUN_DOCS = 4096
@@ -62,23 +66,23 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple[int, ...] = W
     return rows.withColumn("target", target).select("source", "source_size", "weight", "target")
 
 
-def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_text: bool = False) -> DataFrame:
-    """doc_id, source, size, start: where the document's words begin among those of its source.
+def laid_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, digest (of the text), size, start: where the document's words begin among those of its source.
 
     Documents are dealt by hash to runs of about RUN_DOCS; offsets add up within runs, and the runs'
     sums within their source, so that no task holds a whole source.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit("order"), id_col).alias("order"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(text_col).alias("digest"), F.xxhash64(F.lit("order"), id_col).alias("order"))
     runs = written(rows, "mix-sizes")
     counts = runs.groupBy("source").agg(F.ceil(F.count("*") / RUN_DOCS).alias("runs"))
     dealt = runs.join(counts, runs["source"].eqNullSafe(counts["source"])).select(runs["*"], F.pmod("order", "runs").alias("run"))
     sums = dealt.groupBy("source", "run").agg(F.sum("size").alias("run_size"))
     ahead = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("source", "run", F.coalesce(F.sum("run_size").over(ahead), F.lit(0)).alias("run_start"))
-    within = Window.partitionBy("source", "run").orderBy("order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "run").orderBy("order", "doc_id", "size", "digest").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return placed.join(starts, placed["source"].eqNullSafe(starts["source"]) & (placed["run"] == starts["run"])).select(
-        "doc_id", placed["source"], "size", (F.col("run_start") + F.col("ahead")).alias("start")
+        "doc_id", placed["source"], "digest", "size", (F.col("run_start") + F.col("ahead")).alias("start")
     )
 
 
@@ -91,17 +95,18 @@ def plan(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
-def shard_counts(planned: DataFrame, seed: str, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+def shard_counts(planned: DataFrame, seed: str, total: float) -> DataFrame:
     """shard, source, n: how many of the shard's slots each source gets, and first, its number of slots in the shards before.
 
     A source's share of a shard has a whole part, which it gets, and a rest. The rests add up to the
     slots left in the shard, each of which is drawn from the sources with the rests as probabilities.
     """
+    shards = max(1, min(MOST_SHARDS, math.ceil(total / SHARD_SLOTS)))
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
     shares = (
         planned.where(F.col("quota") > 0)
-        .withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("quota").over(everything) / shard_slots)))
+        .withColumn("shards", F.lit(shards))
         .withColumn("share", F.col("quota") / F.col("shards"))
         .withColumn("whole", F.floor("share"))
         .withColumn("rest", F.col("share") - F.col("whole"))
@@ -109,19 +114,21 @@ def shard_counts(planned: DataFrame, seed: str, shard_slots: int = SHARD_SLOTS)
         .withColumn("upto", F.sum("rest").over(order.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("from", F.col("upto") - F.col("rest"))
     )
-    shards = shares.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))))
+    parts = shares.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))))
     # draws: one number a slot that is left; a source gets those that fall in its stretch of the rests
     draws = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("rests")).cast("int")), lambda i: unit("draw", F.lit(seed), F.col("shard"), i) * F.col("rests"))
     hits = F.size(F.filter(draws, lambda u: (u >= F.col("from")) & (u < F.col("upto"))))
     drawn = F.when(F.round("rests") >= 1, hits).otherwise(0)
-    counted = shards.withColumn("n", (F.col("whole") + drawn).cast("long"))
+    counted = parts.withColumn("n", (F.col("whole") + drawn).cast("long"))
     earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return counted.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("shard", "source", "blocks", "n", "first")
 
 
-def slots(counts: DataFrame, seed: str) -> DataFrame:
+def slots(counts: DataFrame, seed: str, total: float) -> DataFrame:
     """shard, slot, source, block, lap: the block of its source that each output slot takes."""
-    rows = counts.where(F.col("n") > 0).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    # few small rows become many: they are dealt out before that
+    rows = counts.where(F.col("n") > 0).repartition(math.ceil(total / TASK_SLOTS) + 1, "shard", "source")
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     rows = rows.withColumn("at", F.col("first") + F.col("k")).where(F.col("at") < CAP * F.col("blocks"))
     rows = rows.withColumn("lap", F.floor(F.col("at") / F.col("blocks")).cast("int")).withColumn("x", F.pmod("at", "blocks"))
     key = F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("\u0000")), "lap")
@@ -142,7 +149,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = written(laid_out(docs, id_col, text_col, source_col), "mix-placed")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     planned = written(plan(sizes, block_words), "mix-plan")
-    return placed, planned, slots(shard_counts(planned, seed), seed)
+    total = planned.agg(F.sum("quota")).first()[0] or 0.0
+    return placed, planned, slots(shard_counts(planned, seed, total), seed, total)
 
 
 def spans(placed: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -154,7 +162,7 @@ def spans(placed: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) -
     parts = placed.where(F.col("size") > 0).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), last)))
     begin = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
-    parts = parts.select("doc_id", F.coalesce("source", F.lit("\u0000")).alias("s"), "start", "size", "block", begin.alias("from"), (end - begin).alias("words"))
+    parts = parts.select("doc_id", "digest", F.coalesce("source", F.lit("\u0000")).alias("s"), "start", "size", "block", begin.alias("from"), (end - begin).alias("words"))
     chosen = taken.select(F.coalesce("source", F.lit("\u0000")).alias("s"), "block", "shard", "k", "lap")
     return parts.join(chosen, ["s", "block"])
 
@@ -169,3 +177,35 @@ def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = placed.withColumn("s", F.coalesce("source", F.lit("\u0000"))).join(got, ["s", "doc_id", "start", "size"], "left")
     named = planned.select(F.coalesce("source", F.lit("\u0000")).alias("s"), "source_size", "target")
     return rows.join(named, "s", "left").select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def numbered(rows: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
+    """Rows that agree in keys get different numbers, so that each meets one other."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) if repeated else F.lit(1))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as rows of docs: a row for each document and lap of which a block is taken.
+
+    A row's text is the document's own where all its words are taken, else the words of its taken
+    blocks, joined by single spaces. Documents of which nothing is taken are left out.
+    """
+    placed, _, chosen = mix(docs, id_col, text_col, source_col, seed, block_words)
+    keys = ["_id", "_digest"]
+    narrow = placed.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.coalesce("source", F.lit("\u0000")).alias("s"), "start", "size")
+    repeated = not narrow.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1").isEmpty()
+    laps = spans(placed, chosen, block_words).groupBy("s", "start", "lap").agg(F.sort_array(F.collect_set("block")).alias("_blocks"), F.sum("words").alias("_words"))
+    laps = laps.groupBy("s", "start").agg(F.collect_list(F.struct("lap", "_blocks", "_words")).alias("_laps"))  # two at most
+    found = numbered(narrow, keys, repeated).join(laps, ["s", "start"]).select(*keys, "_n", F.col("start").alias("_start"), F.col("size").alias("_size"), "_laps")
+    rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"))
+    rows = numbered(rows, keys, repeated).join(found, [*keys, "_n"]).withColumn("_lap", F.explode("_laps"))
+    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_PATTERN})"), F.lit(1))
+
+    def part(b: Column) -> Column:
+        begin = F.greatest(b * block_words - F.col("_start"), F.lit(0))
+        return F.slice(words, (begin + 1).cast("int"), ((b + 1) * block_words - F.col("_start") - begin).cast("int"))
+
+    some = F.array_join(F.flatten(F.transform(F.col("_lap._blocks"), part)), " ")
+    text = F.when(F.col("_lap._words") == F.col("_size"), F.col(text_col)).otherwise(some)
+    rows = rows.withColumn("_text", text)
+    return rows.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
