@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkmill.llm import bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, quality, toxicity
+from sparkmill.llm import bpe, embedding_dedup, html_extract, language_id, line_dedup, mixing, ngram_join, pii, quality, toxicity
 from sparkmill.llm.common import fold, table
 
 
@@ -44,6 +44,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("kinds", F.to_json("kinds"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.judge_documents(docs, quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality")))
@@ -68,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_language_id": op4_language_id,
         "op5_mixing": op5_mixing,
+        "op6_pii": op6_pii,
         "op7_quality": op7_quality,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_bpe": op9_bpe,

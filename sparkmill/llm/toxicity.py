@@ -163,22 +163,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return build_index([(r.id, r.text, r.y) for r in sorted(sample, key=lambda r: (r.k, r.y))], rates.get(1, 0) / total)
 
 
-def score_documents(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Returns id_col, keep's and extra's columns, score, predicted, and evidence: the neighbours' ids, labels and cosines."""
+def score_documents(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
+    """Returns id_col, keep's and extra's columns, and under names score, predicted, and evidence: the neighbours' ids, labels and cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     rows = docs.select(id_col, *keep, *(c.alias(k) for k, c in (extra or {}).items()), F.col(text_col).alias("_text"))
-    names = rows.columns[:-1]
+    passed = rows.columns[:-1]
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix: BlockMaxIndex = shared.value
-        for batch in slices(batches, len(names)):
-            got = [ix.score(terms_of(t)) for t in texts_of(batch.column(len(names)))]
+        for batch in slices(batches, len(passed)):
+            got = [ix.score(terms_of(t)) for t in texts_of(batch.column(len(passed)))]
             scores = [s for s, _, _ in got]
             evidence = [[{"id": ix.ids[a], "label": int(ix.labels[a]), "cosine": float(c)} for a, c in zip(at[:5], near[:5], strict=True)] for _, at, near in got]
-            columns = [batch.column(k) for k in range(len(names))]
+            columns = [batch.column(k) for k in range(len(passed))]
             columns += [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*passed, *names])
 
-    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names]
-    return rows.mapInArrow(run, ", ".join([*fields, "score double", "predicted int", "evidence array<struct<id:bigint,label:int,cosine:double>>"]))
+    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in passed]
+    return rows.mapInArrow(run, ", ".join([*fields, f"{names[0]} double", f"{names[1]} int", f"{names[2]} array<struct<id:bigint,label:int,cosine:double>>"]))
