@@ -71,13 +71,12 @@ class SuffixAutomaton:
         """Longest-match phrases that text falls into; a letter that never occurs is a phrase of its own."""
         count, state, follow = 0, 0, self.next
         for c in text:
-            state = follow[state].get(c, -1)
-            if state < 0:
-                count += 1
-                state = follow[0].get(c, -1)
-                if state < 0:
-                    count += 1
-                    state = 0
+            after = follow[state].get(c, 0)
+            if not after:
+                count += state > 0
+                after = follow[0].get(c, 0)
+                count += not after
+            state = after
         return count + (state > 0)
 
 
