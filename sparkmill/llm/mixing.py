@@ -164,7 +164,8 @@ def spans(placed: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) -
     end = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
     parts = parts.select("doc_id", "digest", F.coalesce("source", F.lit("\u0000")).alias("s"), "start", "size", "block", begin.alias("from"), (end - begin).alias("words"))
     chosen = taken.select(F.coalesce("source", F.lit("\u0000")).alias("s"), "block", "shard", "k", "lap")
-    return parts.join(chosen, ["s", "block"])
+    # both sides grow with the corpus, though slots come of a small table
+    return parts.hint("merge").join(chosen.hint("merge"), ["s", "block"])
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -196,9 +197,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = not narrow.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1").isEmpty()
     laps = spans(placed, chosen, block_words).groupBy("s", "start", "lap").agg(F.sort_array(F.collect_set("block")).alias("_blocks"), F.sum("words").alias("_words"))
     laps = laps.groupBy("s", "start").agg(F.collect_list(F.struct("lap", "_blocks", "_words")).alias("_laps"))  # two at most
-    found = numbered(narrow, keys, repeated).join(laps, ["s", "start"]).select(*keys, "_n", F.col("start").alias("_start"), F.col("size").alias("_size"), "_laps")
+    found = numbered(narrow, keys, repeated).hint("merge").join(laps.hint("merge"), ["s", "start"]).select(*keys, "_n", F.col("start").alias("_start"), F.col("size").alias("_size"), "_laps")
     rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"))
-    rows = numbered(rows, keys, repeated).join(found, [*keys, "_n"]).withColumn("_lap", F.explode("_laps"))
+    rows = numbered(rows, keys, repeated).hint("merge").join(found.hint("merge"), [*keys, "_n"]).withColumn("_lap", F.explode("_laps"))
     words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
     def part(b: Column) -> Column:
