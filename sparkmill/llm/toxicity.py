@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import slices, texts_of
+from sparkmill.llm.common import slices, texts_of, written
 
 #: Bounds of the labelled sample: examples a class, and characters of an example.
 SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 20_000
@@ -152,11 +152,14 @@ def build_index(examples: list[tuple[int, str, int]], rate: float) -> BlockMaxIn
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> BlockMaxIndex:
     """Fit on at most per_class labelled texts a class, those whose ids hash lowest; docs holds the texts to learn from."""
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    texts = docs.where((F.length(text_col) > 0) & (F.length(text_col) <= SAMPLE_CHARS)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    joined = texts.join(marked, "id")
-    rates = {r.y: r.n for r in joined.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("text"), F.xxhash64("id"), "id")
-    sample = joined.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class).select("id", "text", "y", "k").collect()
+    # ids and hashes only until the sample is known: texts aren't shuffled
+    usable = docs.where((F.length(text_col) > 0) & (F.length(text_col) <= SAMPLE_CHARS))
+    known = written(usable.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).join(marked, "id"), "toxicity-labelled")
+    rates = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    order = Window.partitionBy("y").orderBy("h", F.xxhash64("id"), "id")
+    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class)
+    texts = usable.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    sample = texts.join(F.broadcast(chosen), ["id", "h"]).select("id", "text", "y", "k").dropDuplicates(["k", "y"]).collect()  # per_class bounds the broadcast
     total = sum(rates.values())
     if not sample:
         return BlockMaxIndex([], np.zeros(0, np.int64), {}, np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)))
