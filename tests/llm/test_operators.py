@@ -63,6 +63,16 @@ def test_ngram_join_equals_brute_force(spark, n, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(list(enumerate(texts)), n, percent))
 
 
+@pytest.mark.parametrize("percent", [40, 90])
+def test_ngram_join_over_parity_widths(spark, percent):
+    """Sizes on both sides of a power of two, so that one bitmap is folded, and more than twice apart."""
+    rng = random.Random(11)
+    base = sentence(rng, 540, 100_000).split()
+    texts = [" ".join(base[:k]) for k in (230, 250, 270, 500, 512, 514, 520, 540)] + [" ".join(base[30:])]
+    got = ngram_join.near_duplicates(docs_of(spark, texts), n=3, percent=percent).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(list(enumerate(texts)), 3, percent))
+
+
 def test_ngram_join_repeated_ids_and_empty_table(spark):
     texts = ["a b c d", "e f g h", "a b c d", "e f g h", "q r s t", "q r s t"]
     got = ngram_join.near_duplicates(docs_of(spark, texts, ids=[1, 1, 2, 3, 5, 5])).collect()
