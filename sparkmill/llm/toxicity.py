@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples.
 
 A bounded, class-balanced sample of labelled texts is the index: terms that tell the classes apart
-(by a z-score of their log odds over the sample's document frequencies) make the vocabulary, and
+(by the signed root of the likelihood ratio of the sample's document frequencies, in standard
+deviations, which also holds for a term that one class never has) make the vocabulary, and
 each example is a TF-IDF vector over it. Posting lists are kept as blocks of examples; the largest
 weight of a term within a block bounds what the block's examples can score. A text's exact nearest
 neighbours by cosine come from visiting blocks in falling order of that bound, until it no longer
@@ -107,6 +108,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return float(beta[0]), float(beta[1])
 
 
+def deviations(have: tuple[int, int], of: list[int]) -> float:
+    """Root of the likelihood ratio that a term, which `have` of `of` examples hold in each class, is equally frequent in both."""
+    p = sum(have) / sum(of)
+    cells = [(k, m * q) for h, m in zip(have, of, strict=True) for k, q in ((h, p), (m - h, 1 - p))]
+    return math.sqrt(max(0.0, 2 * sum(k * math.log(k / e) for k, e in cells if k)))
+
+
 def build_index(examples: list[tuple[int, str, int]], rate: float) -> BlockMaxIndex:
     """examples: id, text and label, in the order that breaks ties; rate: of label 1 among all labelled rows."""
     words = [terms_of(t) for _, t, _ in examples]
@@ -119,9 +127,9 @@ def build_index(examples: list[tuple[int, str, int]], rate: float) -> BlockMaxIn
     for t in df[0].keys() | df[1].keys():
         a, b = df[1][t] + 0.5, df[0][t] + 0.5
         odds = math.log(a / (n[1] - a + 1)) - math.log(b / (n[0] - b + 1))
-        z = odds / math.sqrt(1 / a + 1 / b)
-        if abs(z) >= LEAST_Z and abs(odds) >= LEAST_LOG_ODDS:
-            ranked.append((-abs(z), t))
+        z = deviations((df[0][t], df[1][t]), n)
+        if z >= LEAST_Z and abs(odds) >= LEAST_LOG_ODDS:
+            ranked.append((-z, t))
     vocabulary = {t: k for k, (_, t) in enumerate(sorted(ranked)[:VOCABULARY])}
     idf = np.array([math.log((1 + len(examples)) / (1 + df[0][t] + df[1][t])) + 1 for t in vocabulary])
     size = -(-max(1, len(examples)) // BLOCK) * BLOCK

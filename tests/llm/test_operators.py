@@ -255,6 +255,19 @@ def test_block_max_neighbours_are_exact():
     assert list(where) == [e for e in order if full[e] > 0] and np.allclose(near, full[where])
 
 
+def test_terms_of_toxic_texts_only_are_kept():
+    rng = random.Random(12)
+    plain = lambda: sentence(rng, 20, 400)
+    toxic = [f"{plain()} {'achlicher' if k < 14 else 'idiot'}" for k in range(305)]
+    clean = [plain() for _ in range(1500)]
+    index = toxicity.build_index([(k, t, int(k < 305)) for k, t in enumerate(toxic + clean)], 0.1)
+    assert {"achlicher", "idiot"} <= set(index.vocabulary)
+    assert index.score(["achlicher"])[0] >= toxicity.THRESHOLD > index.score(["unknown"])[0]
+    # the bar is a number of texts, whatever the size of the sample
+    assert toxicity.deviations((0, 12), [1500, 1500]) >= toxicity.LEAST_Z > toxicity.deviations((0, 11), [1500, 1500])
+    assert toxicity.deviations((0, 12), [9000, 9000]) >= toxicity.LEAST_Z
+
+
 def test_toxicity_scores(spark):
     rng = random.Random(9)
     texts = [sentence(rng, 30, 200) + (" awful slur" if k % 4 == 0 else "") for k in range(400)] + [None, "", "ÄÖ"]
