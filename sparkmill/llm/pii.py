@@ -9,8 +9,8 @@ and case, so an entity has one surrogate wherever and however it is written.
 
 Two different entities of a kind must not share a surrogate, nor may a surrogate be an entity that
 the corpus holds: the distinct entities are drawn again, with another number, until that holds, the
-smallest of those that clash keeping its draw. Names are too few for that; they stay distinct within
-a document as far as the list of names allows.
+smallest of those that clash keeping its draw. A name drawn again is composed of one listed name more,
+so that names don't run out; those of both genders are told apart from all names of the corpus.
 
 Defined results: a null text stays null with no entities; extra columns pass through, but for those
 named n_entities and kinds, which are replaced. Repeated rows each get the same result.
@@ -114,7 +114,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     out = out.when((kind == "card") & valid, fixed).when(kind == "card", drawn)
     out = out.when(kind == "phone", draw(F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .\-(])|^\+\d", 0))))
     for name, names in NAMES.items():
-        out = out.when(kind == name, F.element_at(F.array(*map(F.lit, names)), (number(key, kind, of, attempt, F.lit(0)) % len(names) + 1).cast("int")))
+        listed = F.array(*map(F.lit, names))
+        parts = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.element_at(listed, (number(key, kind, of, attempt, i) % len(names) + 1).cast("int")))  # noqa: B023
+        out = out.when(kind == name, F.initcap(F.array_join(parts, "")))
     return out.otherwise(draw(F.lit(0)))
 
 
@@ -140,14 +142,15 @@ def entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def redraws(found: DataFrame, key: str = KEY) -> DataFrame | None:
     """kind, canonical, attempt of the entities whose first surrogate clashes; None where none does."""
-    exact = ~F.col("kind").isin(*NAMES)
-    distinct = written(found.where(exact).select("kind", canonical(F.col("kind"), F.col("entity")).alias("canonical")).distinct(), "pii-entities")
+    # what must differ: names do from names of either gender
+    space = F.when(F.col("kind").isin(*NAMES), "name").otherwise(F.col("kind")).alias("space")
+    distinct = written(found.select("kind", canonical(F.col("kind"), F.col("entity")).alias("canonical")).distinct(), "pii-entities")
     state = distinct.withColumn("attempt", F.lit(0))
-    own = distinct.select("kind", F.col("canonical").alias("c"))
+    own = distinct.select(space, F.col("canonical").alias("c"))
     for _ in range(MOST_ROUNDS):
-        drawn = written(state.withColumn("c", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key))), "pii-drawn")
-        first = drawn.groupBy("kind", "c").agg(F.min("canonical").alias("keeps"), F.count("*").alias("n"))
-        clash = drawn.join(first.where("n > 1"), ["kind", "c"]).where("canonical <> keeps").select("kind", "canonical").union(drawn.join(own, ["kind", "c"], "left_semi").select("kind", "canonical")).distinct()
+        drawn = written(state.withColumn("c", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key))).withColumn("space", space), "pii-drawn")
+        first = drawn.groupBy("space", "c").agg(F.min(F.struct("canonical", "kind")).alias("keeps"), F.count("*").alias("n"))
+        clash = drawn.join(first.where("n > 1"), ["space", "c"]).where(F.struct("canonical", "kind") != F.col("keeps")).select("kind", "canonical").union(drawn.join(own, ["space", "c"], "left_semi").select("kind", "canonical")).distinct()
         clash = written(clash, "pii-clashes")
         if clash.isEmpty():
             break

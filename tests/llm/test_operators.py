@@ -404,6 +404,16 @@ def test_pii_clashes_are_drawn_again(spark, monkeypatch):
     assert all(len(v) == 1 for v in made.values()) and len({next(iter(v)) for v in made.values()}) == 20
 
 
+def test_pii_names_stay_distinct(spark):
+    own = ["Anna", "Julia", *(f"N{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(58))]
+    df = docs_of(spark, ["Mrs. " + " met Mrs. ".join(own[k : k + 6]) for k in range(0, 60, 6)] + ["Mr. Naa met Mr. Nab"])
+    made = {}
+    for r in pii.replace_entities(df).collect():
+        for k, name in enumerate(r.text.replace("Mrs. ", "").split(" met ")):
+            made[r.doc_id * 6 + k] = name.replace("Mr. ", "")
+    assert len(made) == len(set(made.values())) == 62 and not set(made.values()) & set(own)
+
+
 # --- op10 -------------------------------------------------------------------------------------
 
 PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li>Menu</li><li>More</li></ul></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head {k}</h1><p>Some <b>bold</b> text &amp; more<br>line\n two {k}<p>Next&nbsp;one</p><form><input>Sign</form><div id=comments><p>First!</p></div></article><aside>Side</aside><footer>&copy; site</footer><script>var a='</p>';</script></body></html>"
