@@ -6,17 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bootstrap_ci(values: DataFrame, group: str, value: str, order: str, resamples: int = 200, alpha: float = 0.05, seed: str = "17") -> DataFrame:
+def bootstrap_ci(values: DataFrame, group: str, value: str, order: str, resamples: int = 2000, alpha: float = 0.05, seed: str = "17") -> DataFrame:
     """group, mean, low, high: percentile bootstrap of the mean; draw j of resample b takes row hash(seed, group, b, j) mod n.
 
-    Draws are counted by row before they meet the values, so a group's values move once.
+    Resamples are dealt to tasks before their draws are made, as the few rows that they come of are one task's.
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).alias("i"))
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(resamples // 20 + 1, "g", "b").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "g", "b", "j")), 1, 8), 16, 10).cast("long")
-    counted = draws.withColumn("i", h % F.col("n")).groupBy("g", "n", "b", "i").agg(F.count("*").alias("times"))
-    means = counted.join(rows, ["g", "i"]).groupBy("g", "b").agg((F.sum(F.col("v") * F.col("times")) / F.max("n")).alias("m"))
+    means = draws.withColumn("i", h % F.col("n")).join(rows, ["g", "i"]).groupBy("g", "b").agg(F.avg("v").alias("m"))
     at = means.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("m", "b")) - 1)
     low, high = int(alpha / 2 * resamples), min(int((1 - alpha / 2) * resamples), resamples - 1)
     ends = at.groupBy("g").agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))

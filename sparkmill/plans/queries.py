@@ -434,22 +434,35 @@ def paired_mcnemar(s, d):
     return k.withColumn("p", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6))
 
 
-def boot_sql(rows: str, group: str, value: str, order: str) -> str:
+def boot_sql(rows: str, group: str, value: str, order: str, resamples: int = 200) -> str:
     return f"""v AS (SELECT {group} AS g, {value}::DOUBLE AS v, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS i FROM {rows}), n AS (SELECT g, count(*) AS n, avg(v) AS mean FROM v GROUP BY 1),
-dr AS (SELECT g, n, b, ('0x' || substr(md5('17-' || g || '-' || b || '-' || j), 1, 8))::BIGINT % n AS i FROM n, unnest(range(0, 200)) AS x(b), unnest(range(0, n)) AS y(j)),
+dr AS (SELECT g, n, b, ('0x' || substr(md5('17-' || g || '-' || b || '-' || j), 1, 8))::BIGINT % n AS i FROM n, unnest(range(0, {resamples})) AS x(b), unnest(range(0, n)) AS y(j)),
 m AS (SELECT g, b, avg(v) AS m FROM dr JOIN v USING (g, i) GROUP BY 1, 2), k AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY m, b) - 1 AS k FROM m)
-SELECT n.g AS {group}, n.n AS n, round(mean, 6) AS mean, round(max(m) FILTER (WHERE k = 5), 6) AS low, round(max(m) FILTER (WHERE k = 195), 6) AS high FROM n JOIN k USING (g) GROUP BY n.g, n.n, mean"""
+SELECT n.g AS {group}, n.n AS n, round(mean, 6) AS mean, round(max(m) FILTER (WHERE k = {resamples // 40}), 6) AS low, round(max(m) FILTER (WHERE k = {resamples - resamples // 40}), 6) AS high FROM n JOIN k USING (g) GROUP BY n.g, n.n, mean"""
 
 
 @query("bootstrap_ci", GRID + ", f AS (SELECT * FROM grid WHERE doc_id % 10 = 3), " + boot_sql("f", "model_name", "token_f1", "doc_id"))
 def bootstrap_ci(s, d):
-    return stats.bootstrap_ci(grid(s, d).where("doc_id % 10 = 3"), "model_name", "token_f1", "doc_id")
+    return stats.bootstrap_ci(grid(s, d).where("doc_id % 10 = 3"), "model_name", "token_f1", "doc_id", resamples=200)
+
+
+@query("bootstrap_ci_whole", GRID + ", " + boot_sql("grid", "model_name", "token_f1", "doc_id", 2000))
+def bootstrap_ci_whole(s, d):
+    return stats.bootstrap_ci(grid(s, d), "model_name", "token_f1", "doc_id")
 
 
 @query("cluster_bootstrap", GRID + ", f AS (SELECT model_name, doc_id % 20 AS cluster, avg(correct::INT) AS acc FROM grid GROUP BY 1, 2), " + boot_sql("f", "model_name", "acc", "cluster"))
 def cluster_bootstrap(s, d):
-    f = grid(s, d).groupBy("model_name", (F.col("doc_id") % 20).alias("cluster")).agg(F.avg(F.col("correct").cast("int")).alias("acc"))
-    return stats.bootstrap_ci(f, "model_name", "acc", "cluster")
+    return stats.bootstrap_ci(cluster_accuracy(s, d), "model_name", "acc", "cluster", resamples=200)
+
+
+@query("cluster_bootstrap_whole", GRID + ", f AS (SELECT model_name, doc_id % 20 AS cluster, avg(correct::INT) AS acc FROM grid GROUP BY 1, 2), " + boot_sql("f", "model_name", "acc", "cluster", 2000))
+def cluster_bootstrap_whole(s, d):
+    return stats.bootstrap_ci(cluster_accuracy(s, d), "model_name", "acc", "cluster")
+
+
+def cluster_accuracy(s, d):
+    return grid(s, d).groupBy("model_name", (F.col("doc_id") % 20).alias("cluster")).agg(F.avg(F.col("correct").cast("int")).alias("acc"))
 
 
 @query("pearson_agreement", GRID + "SELECT count(*) AS n, round(corr(faith, token_f1 * 100), 6) AS r, round(avg(abs(faith - token_f1 * 100)), 6) AS mae, round(avg((abs(faith - token_f1 * 100) <= 10)::INT), 6) AS \"within\" FROM grid WHERE faith IS NOT NULL")

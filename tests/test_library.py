@@ -1,5 +1,6 @@
 """Operators of the library: each query against its SQL on the smallest tables, golden cases, sources, sinks and streams."""
 
+import hashlib
 import json
 import math
 import os
@@ -79,6 +80,20 @@ def test_packing_and_greedy_dedupe(spark):
     assert value(spark, retrieval.greedy_distinct(F.array(F.lit("one two three"), F.lit("three two one"), F.lit("four five")))) == [0, 2]
 
 
+def test_bootstrap_draws_2000_times(spark):
+    values = [((k * k) % 17) / 17 for k in range(9)]
+    df = spark.createDataFrame([("g", k, v) for k, v in enumerate(values)], "g string, k int, v double")
+    draw = lambda b, j: int(hashlib.md5(f"17-g-{b}-{j}".encode()).hexdigest()[:8], 16) % 9
+    means = sorted(sum(values[draw(b, j)] for j in range(9)) / 9 for b in range(2000))
+    got = stats.bootstrap_ci(df, "g", "v", "k").first()
+    assert (got.n, got.low, got.high) == (9, pytest.approx(means[50], abs=2e-6), pytest.approx(means[1950], abs=2e-6))
+
+
+def test_bootstrap_takes_the_whole_grid(spark):
+    n = spark.read.parquet(f"{DATA}/documents.parquet").count()
+    assert {r.n for r in QUERIES["bootstrap_ci_whole"](spark, DATA).collect()} == {n}
+
+
 def test_mcnemar(spark):
     assert value(spark, stats.mcnemar(F.lit(0), F.lit(0))) is None
     assert value(spark, stats.mcnemar(F.lit(1), F.lit(5))) == pytest.approx(0.21875)
