@@ -390,6 +390,13 @@ def weighted_merge(s, d):
     return r.groupBy("benchmark", "model_name").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("m")) / F.sum("n"), 6).alias("mean"))
 
 
+@query("weighted_merge_whole", GRID + ", r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 4 ELSE doc_id % 4 END AS run, benchmark, model_name, count(*) AS n, avg(token_f1) AS m FROM grid GROUP BY 1, 2, 3) SELECT benchmark, model_name, sum(n)::BIGINT AS n, round(sum(n * m) / sum(n), 6) AS mean FROM r GROUP BY 1, 2")
+def weighted_merge_whole(s, d):
+    run = F.when(F.col("doc_id") % 11 == 0, 4).otherwise(F.col("doc_id") % 4)
+    r = grid(s, d).groupBy(run.alias("run"), "benchmark", "model_name").agg(F.count("*").alias("n"), F.avg("token_f1").alias("m"))
+    return r.groupBy("benchmark", "model_name").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("m")) / F.sum("n"), 6).alias("mean"))
+
+
 @query("model_benchmark_matrix", GRID + "SELECT model_name, round(avg(faith) FILTER (WHERE benchmark = 'medqa'), 6) AS medqa, round(avg(faith) FILTER (WHERE benchmark = 'mmlu_med'), 6) AS mmlu_med, round(avg(faith) FILTER (WHERE benchmark = 'pubmedqa'), 6) AS pubmedqa FROM grid GROUP BY 1")
 def model_benchmark_matrix(s, d):
     return grid(s, d).groupBy("model_name").pivot("benchmark", BENCHMARKS).agg(F.round(F.avg("faith"), 6))
@@ -429,7 +436,19 @@ def routing_confusion(s, d):
 k AS (SELECT benchmark, model_key, count(*) FILTER (WHERE no AND NOT rag) AS b, count(*) FILTER (WHERE rag AND NOT no) AS c FROM p GROUP BY 1, 2)
 SELECT benchmark, model_key, b, c, CASE WHEN b + c > 0 THEN round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))) FROM unnest(range(0, least(b, c) + 1)) AS u(i))), 6) END AS p FROM k""")
 def paired_mcnemar(s, d):
-    p = grid(s, d).where("doc_id % 13 < 2").groupBy("benchmark", "model_key", "question_id").agg(F.bool_or(F.when(F.col("rag_flag"), F.col("correct"))).alias("rag"), F.bool_or(F.when(~F.col("rag_flag"), F.col("correct"))).alias("no"))
+    return paired(grid(s, d).where("doc_id % 13 < 2"))
+
+
+@query("paired_mcnemar_whole", GRID + """, p AS (SELECT benchmark, model_key, question_id, bool_or(correct) FILTER (WHERE rag_flag) AS rag, bool_or(correct) FILTER (WHERE NOT rag_flag) AS no FROM grid GROUP BY ALL),
+k AS (SELECT benchmark, model_key, count(*) FILTER (WHERE no AND NOT rag) AS b, count(*) FILTER (WHERE rag AND NOT no) AS c FROM p GROUP BY 1, 2)
+SELECT benchmark, model_key, b, c, CASE WHEN b + c > 0 THEN round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))) FROM unnest(range(0, least(b, c) + 1)) AS u(i))), 6) END AS p FROM k""")
+def paired_mcnemar_whole(s, d):
+    return paired(grid(s, d))
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """b, c and p of the runs with and without retrieval, by benchmark and model."""
+    p = rows.groupBy("benchmark", "model_key", "question_id").agg(F.bool_or(F.when(F.col("rag_flag"), F.col("correct"))).alias("rag"), F.bool_or(F.when(~F.col("rag_flag"), F.col("correct"))).alias("no"))
     k = p.groupBy("benchmark", "model_key").agg(F.count_if(F.col("no") & ~F.col("rag")).alias("b"), F.count_if(F.col("rag") & ~F.col("no")).alias("c"))
     return k.withColumn("p", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6))
 
