@@ -430,6 +430,19 @@ def test_html_extraction(spark):
     assert html_extract.extract_pages(df.limit(0)).collect() == []
 
 
+def test_texts_unlike_the_template_stay(spark):
+    plain = "<body><div><p>Welcome to the site</p></div><section>Story {k}</section></body>"
+    rare = "<body><div><p>Welcome to the site</p><p>A whole story in the rarer layout {k}</p></div></body>"
+    sample = [plain.format(k=k) for k in range(8)]
+    wrapper = html_extract.infer(sample)
+    assert [html_extract.extract(p, wrapper) for p in sample] == [f"Story {k}" for k in range(8)]
+    assert html_extract.extract(rare.format(k=9), wrapper) == "A whole story in the rarer layout 9"
+    rows = [(k, f"http://big.example/{k}", (rare if k % 50 == 7 else plain).format(k=k)) for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html_extract.extract_pages(df).collect():
+        assert r.text.endswith(f"A whole story in the rarer layout {r.page_id}" if r.page_id % 50 == 7 else f"Story {r.page_id}")
+
+
 def test_wrapper_has_optional_and_repeated_groups():
     w = html_extract.infer(["<body><article><p>a</p><p>b</p></article></body>", "<body><article><h1>t</h1><p>c</p></article></body>"])
     assert "}+" in w["expression"] and "}?" in w["expression"] and all(w["main"].values())
