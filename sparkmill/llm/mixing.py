@@ -99,7 +99,8 @@ def shard_counts(planned: DataFrame, seed: str, total: float) -> DataFrame:
     """shard, source, n: how many of the shard's slots each source gets, and first, its number of slots in the shards before.
 
     A source's share of a shard has a whole part, which it gets, and a rest. The rests add up to the
-    slots left in the shard, each of which is drawn from the sources with the rests as probabilities.
+    slots left in the shard, each of which is drawn from the sources with the rests as probabilities. Where they
+    don't add up to a whole number, one more slot is drawn with what is over as probability, so that counts are expected to equal the quotas.
     """
     shards = max(1, min(MOST_SHARDS, math.ceil(total / SHARD_SLOTS)))
     everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -115,10 +116,11 @@ def shard_counts(planned: DataFrame, seed: str, total: float) -> DataFrame:
         .withColumn("from", F.col("upto") - F.col("rest"))
     )
     parts = shares.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))))
+    parts = parts.withColumn("left", (F.floor("rests") + (unit("left", F.lit(seed), F.col("shard")) < F.col("rests") - F.floor("rests")).cast("int")).cast("int"))
     # draws: one number a slot that is left; a source gets those that fall in its stretch of the rests
-    draws = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("rests")).cast("int")), lambda i: unit("draw", F.lit(seed), F.col("shard"), i) * F.col("rests"))
+    draws = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("left"))), lambda i: unit("draw", F.lit(seed), F.col("shard"), i) * F.col("rests"))
     hits = F.size(F.filter(draws, lambda u: (u >= F.col("from")) & (u < F.col("upto"))))
-    drawn = F.when(F.round("rests") >= 1, hits).otherwise(0)
+    drawn = F.when(F.col("left") >= 1, hits).otherwise(0)
     counted = parts.withColumn("n", (F.col("whole") + drawn).cast("long"))
     earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return counted.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("shard", "source", "blocks", "n", "first")

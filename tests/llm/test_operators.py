@@ -165,6 +165,15 @@ def test_mixing_targets_bounds_and_reruns(spark):
     assert mixing.taken_words(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("quotas", [{"large": 2_047_000.0, "small": 200.0}, {"a": 1_000_000.0, "b": 600.0, "c": 125.0}])
+def test_mixing_gives_small_sources_their_quota(spark, quotas):
+    total = sum(quotas.values())
+    planned = spark.createDataFrame([(s, int(q), q) for s, q in quotas.items()], "source string, blocks long, quota double")
+    got = {r.source: r.n for r in mixing.shard_counts(planned, "mix", total).groupBy("source").agg({"n": "sum"}).toDF("source", "n").collect()}
+    for s, q in quotas.items():
+        assert abs(got[s] - q) <= 4 * min(q, total / mixing.SHARD_SLOTS) ** 0.5
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     rng = random.Random(6)
     texts = [" ".join(f"a{k}_{j}" for j in range(rng.choice([3, 90, 700]))) for k in range(60)] + ["same text here"] * 3
