@@ -10,7 +10,9 @@ and case, so an entity has one surrogate wherever and however it is written.
 Two different entities of a kind must not share a surrogate, nor may a surrogate be an entity that
 the corpus holds: the distinct entities are drawn again, with another number, until that holds, the
 smallest of those that clash keeping its draw. A name drawn again is composed of one listed name more,
-so that names don't run out; those of both genders are told apart from all names of the corpus.
+so that names don't run out; those of both genders are told apart from all names of the corpus. E-mail
+addresses and secrets may be short: from MOST_ROUNDS draws on they get a letter more with each. If
+entities still clash after LAST_ROUND draws, as too few of their shape are free, that is an error.
 
 Defined results: a null text stays null with no entities; extra columns pass through, but for those
 named n_entities and kinds, which are replaced. Repeated rows each get the same result.
@@ -46,7 +48,8 @@ NAMES = {
 # First letter and count of the letters of a script and case, as code points.
 SCRIPTS = {"latin": (0x61, 26, 0x41, 26), "greek": (0x3B1, 25, 0x391, 17), "cyrillic": (0x430, 32, 0x410, 32)}
 KEY = "sparkmill"
-MOST_ROUNDS = 8
+#: Draws in an entity's own length, and draws at all.
+MOST_ROUNDS, LAST_ROUND = 8, 40
 
 ANY = "|".join(KINDS.values())
 OPEN, CLOSE, ESCAPE = "﷐", "﷑", "﷒"
@@ -108,7 +111,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     valid = luhn_sum(F.regexp_replace(entity, "[^0-9]", "")) % 10 == 0
     top = F.concat(F.lit("."), F.element_at(F.split(entity, r"\."), -1))
     head = F.regexp_replace(entity, r"\.[^.@]+$", "")
-    out = F.when(kind == "email", F.concat(draw(F.lit(0), head), top))
+    letter = lambda i: F.char(97 + number(key, kind, of, attempt, -i) % 26)
+    more = F.when(attempt < MOST_ROUNDS, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(MOST_ROUNDS), F.greatest(attempt, F.lit(MOST_ROUNDS))), letter), ""))
+    out = F.when(kind == "email", F.concat(more, draw(F.lit(0), head), top)).when(kind == "secret", F.concat(draw(F.lit(0)), more))
     out = out.when(kind == "ipv4", F.concat_ws(".", *[octet(i) for i in range(4)]))
     out = out.when(kind == "access_key", draw(F.lit(4))).when(kind == "iban", draw(F.lit(2)))
     out = out.when((kind == "card") & valid, fixed).when(kind == "card", drawn)
@@ -147,7 +152,7 @@ def redraws(found: DataFrame, key: str = KEY) -> DataFrame | None:
     distinct = written(found.select("kind", canonical(F.col("kind"), F.col("entity")).alias("canonical")).distinct(), "pii-entities")
     state = distinct.withColumn("attempt", F.lit(0))
     own = distinct.select(space, F.col("canonical").alias("c"))
-    for _ in range(MOST_ROUNDS):
+    for _ in range(LAST_ROUND):
         drawn = written(state.withColumn("c", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canonical"), F.col("attempt"), key))).withColumn("space", space), "pii-drawn")
         first = drawn.groupBy("space", "c").agg(F.min(F.struct("canonical", "kind")).alias("keeps"), F.count("*").alias("n"))
         clash = drawn.join(first.where("n > 1"), ["space", "c"]).where(F.struct("canonical", "kind") != F.col("keeps")).select("kind", "canonical").union(drawn.join(own, ["space", "c"], "left_semi").select("kind", "canonical")).distinct()
@@ -155,6 +160,8 @@ def redraws(found: DataFrame, key: str = KEY) -> DataFrame | None:
         if clash.isEmpty():
             break
         state = drawn.join(clash.withColumn("again", F.lit(1)), ["kind", "canonical"], "left").select("kind", "canonical", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+    else:
+        raise RuntimeError(f"surrogates still clash after {LAST_ROUND} draws")
     again = written(state.where("attempt > 0"), "pii-redraws")
     return None if again.isEmpty() else again
 

@@ -423,6 +423,23 @@ def test_pii_names_stay_distinct(spark):
     assert len(made) == len(set(made.values())) == 62 and not set(made.values()) & set(own)
 
 
+def test_pii_crowded_space_is_redrawn_to_the_end(spark):
+    # the corpus itself takes all addresses of this shape
+    own = [f"{a}@{b}.de" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    df = docs_of(spark, [" ".join(own[k : k + 26]) for k in range(0, 676, 26)])
+    made = [m for r in pii.replace_entities(df).collect() for m in r.text.split()]
+    assert len(made) == len(set(made)) == 676 and not set(made) & set(own)
+
+
+def test_pii_full_space_is_an_error(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(pii, "LAST_ROUND", 3)
+    monkeypatch.setattr(pii, "surrogate", lambda kind, entity, attempt, key=pii.KEY: F.lit("10.1.1.1"))
+    with pytest.raises(RuntimeError):
+        pii.replace_entities(docs_of(spark, ["ip 20.30.40.1", "ip 20.30.40.2"])).collect()
+
+
 # --- op10 -------------------------------------------------------------------------------------
 
 PAGE = "<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li>Menu</li><li>More</li></ul></nav><div class='cookie-notice'>We use cookies</div><article><h1>Head {k}</h1><p>Some <b>bold</b> text &amp; more<br>line\n two {k}<p>Next&nbsp;one</p><form><input>Sign</form><div id=comments><p>First!</p></div></article><aside>Side</aside><footer>&copy; site</footer><script>var a='</p>';</script></body></html>"
