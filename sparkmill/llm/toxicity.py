@@ -1,19 +1,27 @@
-"""Toxicity by nearest labelled examples.
-
-A bounded, class-balanced sample of labelled texts is the index: terms that tell the classes apart
-(by the signed root of the likelihood ratio of the sample's document frequencies, in standard
-deviations, which also holds for a term that one class never has) make the vocabulary, and
-each example is a TF-IDF vector over it. Posting lists are kept as blocks of examples; the largest
-weight of a term within a block bounds what the block's examples can score. A text's exact nearest
-neighbours by cosine come from visiting blocks in falling order of that bound, until it no longer
-reaches the k-th best. Neighbours vote, weighted by how near they are; a logistic fit on the sample's
-own leave-one-out votes, weighted to the sample's class rates, turns votes into probabilities. The
-neighbours' ids and cosines are the evidence.
-
-Defined results: a text that is null, empty or without a term of the vocabulary has no neighbour,
-and scores what such labelled texts score. Without labelled rows of both classes every score is the
-rate of label 1 (0.0 without labels). Repeated rows each get their row. Ties between neighbours go
-to the example whose text hashes lower.
+"""Toxicity by nearest labelled passages.
+
+What makes a text toxic is a few words of it; the cosine of whole texts drowns them. So labelled
+texts are indexed by passage, and a text is scored passage by passage. A passage is a word, as a
+TF-IDF vector over its n-grams: its beginnings of EDGES letters and the whole word. Equal passages are
+held once, with the number of labelled texts of either class that hold them; near copies among these
+texts count once. No term is left out for what it says of the classes.
+
+Passages are held in the order of their letters, in blocks of BLOCK. An inverted index has, for each
+term and block, the largest weight of the term there, and the postings. The exact NEIGHBOURS nearest
+passages of LEAST_COSINE or more come from visiting blocks in falling order of the bound that the largest
+weights give, until it falls below what is already found. Neighbours vote with their texts of either
+class, weighted by distance; the log odds of the two, each as a share of its class, are the passage's
+evidence. A document's evidence is that of its BEST passages, as far as it speaks for label 1. A
+logistic fit on leave-one-out evidence of labelled texts, weighted to the class rates, turns it into a
+probability. The best passages, their nearest labelled texts and cosines are given as the reason.
+
+Bounds: the labelled sample has per_class distinct texts a class, of any length, those whose texts hash lowest; the
+passages of the index are those of two sample texts or more, a passage of one text alone proving nothing.
+
+Defined results: a null or empty text, or one of whose passages none speaks for label 1, scores what
+no evidence scores. Without labelled rows of both classes every score is the rate of label 1 (0.0
+without labels). Repeated rows each get their row. Ties between neighbours go to the passage that is
+first in code point order. Only the named columns are read, under names of their own; others are passed on if `keep` names them.
 """
 
 from __future__ import annotations
@@ -22,77 +30,176 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.llm.common import slices, texts_of, written
 
-#: Bounds of the labelled sample: examples a class, and characters of an example.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 20_000
-VOCABULARY, LEAST_Z, LEAST_LOG_ODDS = 4096, 4.0, 1.0
-NEIGHBOURS, BLOCK = 25, 64
+#: Bound of the labelled sample: distinct texts a class; those of them that the calibration scores again.
+SAMPLE_PER_CLASS, CALIBRATED_PER_CLASS = 1500, 300
+EDGES = (3, 4, 5, 6)
+NEIGHBOURS, LEAST_COSINE, BLOCK = 32, 0.3, 64
+#: Passages that a document is judged by.
+BEST = 2
 THRESHOLD = 0.7
+#: Distinct words whose evidence a worker keeps from one slice of rows to the next.
+REMEMBERED = 400_000
+
+_words = re.compile(r"\w+").findall
+
+
+def passages_of(text: str) -> set[str]:
+    return set(_words(text.lower()))
+
+
+def terms_of(passage: str) -> list[str]:
+    """Its beginnings, and the whole passage, which ends in a blank."""
+    return [passage[:n] for n in EDGES if len(passage) >= n] + [f"{passage} "]
+
+
+def closeness(cosine: np.ndarray) -> np.ndarray:
+    """Weight of a neighbour's vote: 1 for an equal passage, and less the farther it is."""
+    return 0.05 / (1.05 - np.minimum(cosine, 1.0))
+
+
+class PassageIndex:
+    """Block-max inverted index over the passages of labelled texts.
+
+    examples: id, passages and label of the labelled texts; rate: of label 1 among all labelled texts.
+    """
+
+    def __init__(self, examples: list[tuple[int, set[str], int]], rate: float, least_texts: int = 2):
+        self.rate = rate
+        self.totals = [sum(1 for *_, y in examples if y == k) for k in (0, 1)]
+        held: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        counts = (Counter(), Counter())
+        for i, passages, y in examples:
+            counts[y].update(passages)
+            for p in passages:
+                held[y].setdefault(p, i)
+        self.passages = sorted(p for p in counts[0].keys() | counts[1].keys() if counts[0][p] + counts[1][p] >= least_texts)
+        self.texts = np.array([[counts[y][p] for p in self.passages] for y in (0, 1)], np.float64).reshape(2, -1)
+        self.example = np.array([[held[y].get(p, 0) for p in self.passages] for y in (0, 1)], np.int64).reshape(2, -1)
+        df = Counter(t for p in self.passages for t in terms_of(p))
+        self.terms = {t: k for k, t in enumerate(df)}
+        self.idf = np.log((1 + len(self.passages)) / (1 + np.fromiter(df.values(), np.float64, len(df)))) + 1
+        self.unknown = math.log(1 + len(self.passages)) + 1
+        term, place, weight = [], [], []
+        for k, p in enumerate(self.passages):
+            at = [self.terms[t] for t in terms_of(p)]
+            w = self.idf[at]
+            term += at
+            place += [k] * len(at)
+            weight.append(w / math.sqrt(float(w @ w)))
+        term, place, weight = np.array(term, np.int64), np.array(place, np.int64), np.concatenate([*weight, np.empty(0)])
+        order = np.lexsort((place, term))
+        term, self.place, self.weight = term[order], place[order].astype(np.int32), weight[order]
+        # an entry is a term in a block
+        block = self.place // BLOCK
+        new = np.ones(len(term), bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        starts = np.nonzero(new)[0]
+        self.block, self.start = block[starts], np.append(starts, len(term))
+        self.most = np.maximum.reduceat(self.weight, starts) if len(starts) else np.empty(0)
+        self.first = np.searchsorted(term[starts], np.arange(len(self.terms) + 1))
+        self.slope, self.offset = 0.0, 0.0
+
+    def where(self) -> dict[str, int]:
+        return {p: k for k, p in enumerate(self.passages)}
+
+    def nearest(self, passages: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of the passages its nearest of the index, as three columns: which passage, place and cosine; exact, in falling order of cosine."""
+        none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        query, row, missing = [], [], np.zeros(len(passages))
+        for k, p in enumerate(passages):
+            for t in terms_of(p):
+                r = self.terms.get(t)
+                if r is None:
+                    missing[k] += 1
+                else:
+                    query.append(k)
+                    row.append(r)
+        if not row:
+            return none
+        query, row = np.array(query, np.int64), np.array(row, np.int64)
+        norm = np.sqrt(np.bincount(query, self.idf[row] ** 2, len(passages)) + missing * self.unknown**2)
+        weight = self.idf[row] / norm[query]
+        # which blocks can hold a neighbour
+        entry, of = spread(self.first[row], self.first[row + 1])
+        key = query[of] * (1 + len(self.passages) // BLOCK) + self.block[entry]
+        _, same = np.unique(key, return_inverse=True)
+        bound = np.bincount(same, weight[of] * self.most[entry])
+        likely = bound[same] >= LEAST_COSINE - 1e-12
+        entry, of = entry[likely], of[likely]
+        if not len(entry):
+            return none
+        # their postings
+        posting, at = spread(self.start[entry], self.start[entry + 1])
+        of = of[at]
+        pair, same = np.unique(query[of] * len(self.passages) + self.place[posting], return_inverse=True)
+        cosine = np.bincount(same, weight[of] * self.weight[posting])
+        near = cosine >= LEAST_COSINE - 1e-12
+        query, place, cosine = pair[near] // len(self.passages), pair[near] % len(self.passages), cosine[near]
+        order = np.lexsort((place, -cosine.round(12), query))
+        query, place, cosine = query[order], place[order], cosine[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        return tuple(x[rank < NEIGHBOURS] for x in (query, place, cosine))
+
+    def evidence(self, query: np.ndarray, place: np.ndarray, cosine: np.ndarray, size: int, without: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+        """Log odds of label 1 that each query's neighbours vote for; without: a label, and which neighbours a text of it holds that isn't to count."""
+        if not min(self.totals):
+            return np.zeros(size)
+        doubt = 1 / min(self.totals)
+        w = closeness(cosine)
+        shares = [np.bincount(query, w * (self.texts[y][place] - (without[1] if without and without[0] == y else 0)), size) / self.totals[y] for y in (0, 1)]
+        return np.log((shares[1] + doubt) / (shares[0] + doubt))
 
-_terms = re.compile(r"\w+").findall
-
-
-def terms_of(text: str) -> list[str]:
-    return _terms(text.lower())
-
-
-@dataclass
-class BlockMaxIndex:
-    """Postings by term in blocks of examples, with each block's largest weight."""
-
-    ids: list[int]
-    labels: np.ndarray
-    vocabulary: dict[str, int]
-    idf: np.ndarray
-    weights: np.ndarray  # terms x examples, examples of unit length, padded to whole blocks
-    block_max: np.ndarray  # terms x blocks
-    slope: float = 1.0
-    offset: float = 0.0
-    empty_score: float = 0.0
-
-    def vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and weights of a text's terms, of unit length."""
-        counts = Counter([self.vocabulary[w] for w in words if w in self.vocabulary])
-        at = np.fromiter(counts, np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[at]
-        return at, w / (np.linalg.norm(w) or 1.0)
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive cosine, ties by place; exact."""
-        bound = w @ self.block_max[at]
-        best_at, best = np.empty(0, np.int64), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) == k and bound[b] < best[-1] - 1e-12):
-                break
-            span = np.arange(b * BLOCK, (b + 1) * BLOCK)
-            got = w @ self.weights[at, b * BLOCK : (b + 1) * BLOCK]
-            keep = (got > 0) & (span != skip)
-            best_at, best = np.concatenate([best_at, span[keep]]), np.concatenate([best, got[keep]])
-            order = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[order], best[order]
-        return best_at, best
-
-    def vote(self, at: np.ndarray, near: np.ndarray) -> float:
-        """Distance-weighted share of label 1, as log odds, smoothed by one neighbour's worth of doubt."""
-        v = 1 / (1.0001 - np.minimum(near, 1.0))
-        ones = float(v[self.labels[at] == 1].sum())
-        zeros = float(v.sum()) - ones
-        return math.log((ones + 0.5) / (zeros + 0.5))
-
-    def score(self, words: list[str]) -> tuple[float, np.ndarray, np.ndarray]:
-        at, w = self.vector(words)
-        where, near = self.nearest(at, w) if len(at) else (np.empty(0, np.int64), np.empty(0))
-        if not len(where):
-            return self.empty_score, where, near
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * self.vote(where, near))))), where, near
+    def probability(self, evidence: np.ndarray | list[float]) -> float:
+        if not min(self.totals):
+            return self.rate
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * strongest(evidence)))))
+
+    def calibrate(self, examples: list[tuple[int, set[str], int]], per_class: int = CALIBRATED_PER_CLASS) -> None:
+        """Fit slope and offset on leave-one-out evidence of the first per_class examples of each class."""
+        if not min(self.totals):
+            return
+        places, numbers = self.where(), {}
+        chosen = [e for y in (0, 1) for e in [e for e in examples if e[2] == y][:per_class]]
+        of = [np.array([numbers.setdefault(p if p in places else beginning(p), len(numbers)) for p in passages], np.int64) for _, passages, _ in chosen]
+        query, place, cosine = self.nearest(list(numbers))
+        first = np.searchsorted(query, np.arange(len(numbers) + 1))
+        xs, held = [], np.zeros(len(self.passages))
+        for (_, passages, y), own in zip(chosen, of, strict=True):
+            mine = [places[p] for p in passages if p in places]
+            held[mine] = 1
+            flat, at = spread(first[own], first[own + 1])
+            xs.append(strongest(self.evidence(at, place[flat], cosine[flat], len(own), (y, held[place[flat]]))))
+            held[mine] = 0
+        y = np.array([y for *_, y in chosen])
+        taken = np.bincount(y, minlength=2)
+        self.slope, self.offset = logistic(np.array(xs), y, np.where(y == 1, self.rate / taken[1], (1 - self.rate) / taken[0]) * len(y))
+        self.slope = max(self.slope, 0.0)
+
+
+def spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges first..end, one range after the other, and the range that each is of."""
+    size = end - first
+    of = np.repeat(np.arange(len(size)), size)
+    return np.arange(len(of)) - np.repeat(np.cumsum(size) - size - first, size), of
+
+
+def beginning(word: str) -> str:
+    """What a word that no labelled text holds is looked up by: its vector is that of its longest beginning, and of a whole word that is unknown."""
+    return word[: EDGES[-1]] + "\0"
+
+
+def strongest(evidence: np.ndarray | list[float]) -> float:
+    """The evidence of the BEST passages, as far as it speaks for label 1."""
+    return float(sum(sorted((e for e in evidence if e > 0), reverse=True)[:BEST]))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -101,95 +208,112 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     beta = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ beta, -30, 30)))
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (weight * (y - p)) - 1e-3 * beta)
-        beta = beta + step
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(2), a.T @ (weight * (y - p)) - 1e-2 * beta)
+        beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return float(beta[0]), float(beta[1])
 
 
-def deviations(have: tuple[int, int], of: list[int]) -> float:
-    """Root of the likelihood ratio that a term, which `have` of `of` examples hold in each class, is equally frequent in both."""
-    p = sum(have) / sum(of)
-    cells = [(k, m * q) for h, m in zip(have, of, strict=True) for k, q in ((h, p), (m - h, 1 - p))]
-    return math.sqrt(max(0.0, 2 * sum(k * math.log(k / e) for k, e in cells if k)))
-
-
-def build_index(examples: list[tuple[int, str, int]], rate: float) -> BlockMaxIndex:
-    """examples: id, text and label, in the order that breaks ties; rate: of label 1 among all labelled rows."""
-    words = [terms_of(t) for _, t, _ in examples]
-    labels = np.array([y for _, _, y in examples], np.int64)
-    df = (Counter(), Counter())
-    for ws, y in zip(words, labels, strict=True):
-        df[y].update(set(ws))
-    n = [max(1, int((labels == y).sum())) for y in (0, 1)]
-    ranked = []
-    for t in df[0].keys() | df[1].keys():
-        a, b = df[1][t] + 0.5, df[0][t] + 0.5
-        odds = math.log(a / (n[1] - a + 1)) - math.log(b / (n[0] - b + 1))
-        z = deviations((df[0][t], df[1][t]), n)
-        if z >= LEAST_Z and abs(odds) >= LEAST_LOG_ODDS:
-            ranked.append((-z, t))
-    vocabulary = {t: k for k, (_, t) in enumerate(sorted(ranked)[:VOCABULARY])}
-    idf = np.array([math.log((1 + len(examples)) / (1 + df[0][t] + df[1][t])) + 1 for t in vocabulary])
-    size = -(-max(1, len(examples)) // BLOCK) * BLOCK
-    weights = np.zeros((len(vocabulary), size))
-    index = BlockMaxIndex([i for i, _, _ in examples], np.concatenate([labels, np.zeros(size - len(labels), np.int64)]), vocabulary, idf, weights, np.zeros((len(vocabulary), size // BLOCK)))
-    vectors = [index.vector(ws) for ws in words]
-    for e, (at, w) in enumerate(vectors):
-        weights[at, e] = w
-    index.block_max = weights.reshape(len(vocabulary), -1, BLOCK).max(2) if len(vocabulary) else index.block_max
-    # calibration: each example is scored by the others
-    weight = np.where(labels == 1, rate / n[1], (1 - rate) / n[0]) * len(labels)
-    votes = np.full(len(examples), np.nan)
-    for e, (at, w) in enumerate(vectors):
-        where, near = index.nearest(at, w, skip=e) if len(at) else (np.empty(0, np.int64), np.empty(0))
-        if len(where):
-            votes[e] = index.vote(where, near)
-    has = ~np.isnan(votes)
-    none = ~has
-    index.empty_score = float((weight[none] * labels[none]).sum() / weight[none].sum()) if none.any() else rate
-    if has.any() and 0 < labels[has].mean() < 1:
-        index.slope, index.offset = logistic(votes[has], labels[has], weight[has])
-        index.slope = max(index.slope, 0.0)
-    elif has.any():
-        index.slope, index.offset = 1.0, 0.0
+class Scorer:
+    """An index, with the evidence of the words that a worker has met."""
+
+    def __init__(self, index: PassageIndex):
+        self.index, self.places = index, index.where()
+        self.values: dict[str, float] = {}
+        self.reasons: dict[str, list[dict]] = {}
+
+    def learn(self, words: list[str]) -> None:
+        index = self.index
+        keys = {w: w if w in self.places else beginning(w) for w in words}
+        distinct = list(dict.fromkeys(keys.values()))
+        query, place, cosine = index.nearest(distinct)
+        evidence = index.evidence(query, place, cosine, len(distinct))
+        first = np.searchsorted(query, np.arange(len(distinct) + 1)).tolist()
+        number = {k: n for n, k in enumerate(distinct)}
+        for w, key in keys.items():
+            n = number[key]
+            e = float(evidence[n])
+            self.values[w] = e if e > 0 and first[n + 1] > first[n] else 0.0
+            if self.values[w]:
+                near = range(first[n], min(first[n + 1], first[n] + 3))
+                labels = [int(index.texts[1][place[k]] > 0) for k in near]
+                self.reasons[w] = [{"passage": w, "id": int(index.example[y][place[k]]), "label": y, "cosine": float(cosine[k])} for k, y in zip(near, labels, strict=True)]
+
+    def score(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
+        """Score, and the nearest labelled texts of the best passages, for each text."""
+        if len(self.values) > REMEMBERED:
+            self.values.clear()
+            self.reasons.clear()
+        split = [passages_of(t) for t in texts]
+        new = sorted(set().union(*split).difference(self.values))
+        for at in range(0, len(new), 5000):
+            self.learn(new[at : at + 5000])
+        value, out = self.values.__getitem__, []
+        for words in split:
+            best = sorted([(-e, w) for w, e in zip(words, map(value, words), strict=True) if e])[:BEST]
+            out.append((self.index.probability([-e for e, _ in best]), [r for _, w in best for r in self.reasons[w]]))
+        return out
+
+
+def near_copies_once(examples: list[tuple[int, set[str], int]]) -> list[tuple[int, set[str], int]]:
+    """The examples without those of whose words the same four hash lowest as of an earlier one with the same label."""
+    seen, out = set(), []
+    for i, passages, y in examples:
+        key = (y, *sorted(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in passages)[:4])
+        if key not in seen:
+            seen.add(key)
+            out.append((i, passages, y))
+    return out
+
+
+def build_index(examples: list[tuple[int, set[str], int]], rate: float) -> PassageIndex:
+    once = near_copies_once(examples)
+    index = PassageIndex(once, rate)
+    index.calibrate(once)
     return index
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> BlockMaxIndex:
-    """Fit on at most per_class labelled texts a class, those whose ids hash lowest; docs holds the texts to learn from."""
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> PassageIndex:
+    """Fit on at most per_class distinct labelled texts a class, those that hash lowest; docs holds the texts to learn from."""
+    spark = docs.sparkSession
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
+    texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     # ids and hashes only until the sample is known: texts aren't shuffled
-    usable = docs.where((F.length(text_col) > 0) & (F.length(text_col) <= SAMPLE_CHARS))
-    known = written(usable.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).join(marked, "id"), "toxicity-labelled")
+    known = written(texts.select("id", "h").join(marked, "id").groupBy("y", "h").agg(F.min("id").alias("id")), "toxicity-labelled")
     rates = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy("h", F.xxhash64("id"), "id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_class)
-    texts = usable.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), ["id", "h"]).select("id", "text", "y", "k").dropDuplicates(["k", "y"]).collect()  # per_class bounds the broadcast
+    chosen = [r for y in rates for r in known.where(F.col("y") == y).orderBy("h", "id").limit(per_class).collect()]
     total = sum(rates.values())
-    if not sample:
-        return BlockMaxIndex([], np.zeros(0, np.int64), {}, np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)))
-    return build_index([(r.id, r.text, r.y) for r in sorted(sample, key=lambda r: (r.k, r.y))], rates.get(1, 0) / total)
+    if not chosen:
+        return PassageIndex([], 0.0)
+    wanted = spark.createDataFrame([(r.id, r.h, r.y) for r in chosen], texts.select("id", "h").schema.add("y", "integer"))  # per_class bounds the broadcast
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 3):
+            words = pa.array([sorted(passages_of(t)) for t in texts_of(batch.column(3))], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), words], names=["id", "h", "y", "words"])
+
+    sample = texts.join(F.broadcast(wanted), ["id", "h"]).select("id", "h", "y", "text").mapInArrow(run, "id long, h long, y int, words array<string>").collect()
+    examples = {(r.h, r.y): (r.id, set(r.words), r.y) for r in sample}  # rows that repeat an id and text are one example
+    return build_index([examples[k] for k in sorted(examples)], rates.get(1, 0) / total)
 
 
-def score_documents(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
-    """Returns id_col, keep's and extra's columns, and under names score, predicted, and evidence: the neighbours' ids, labels and cosines."""
+def score_documents(docs: DataFrame, index: PassageIndex, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
+    """Returns id_col, keep's and extra's columns, and under names score, predicted, and evidence: the best passages with their nearest labelled texts, labels and cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
-    rows = docs.select(id_col, *keep, *(c.alias(k) for k, c in (extra or {}).items()), F.col(text_col).alias("_text"))
-    passed = rows.columns[:-1]
-    kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+    given = [F.col(c) for c in (id_col, *keep)] + list((extra or {}).values())
+    passed = [id_col, *keep, *(extra or {})]
+    rows = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(given)), F.col(text_col).alias("whole"))
+    kind = pa.list_(pa.struct([("passage", pa.string()), ("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix: BlockMaxIndex = shared.value
+        scorer = Scorer(shared.value)
         for batch in slices(batches, len(passed)):
-            got = [ix.score(terms_of(t)) for t in texts_of(batch.column(len(passed)))]
-            scores = [s for s, _, _ in got]
-            evidence = [[{"id": ix.ids[a], "label": int(ix.labels[a]), "cosine": float(c)} for a, c in zip(at[:5], near[:5], strict=True)] for _, at, near in got]
+            got = scorer.score(texts_of(batch.column(len(passed))))
+            scores = [s for s, _ in got]
             columns = [batch.column(k) for k in range(len(passed))]
-            columns += [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array(evidence, kind)]
+            columns += [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([e for _, e in got], kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*passed, *names])
 
-    fields = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in passed]
-    return rows.mapInArrow(run, ", ".join([*fields, f"{names[0]} double", f"{names[1]} int", f"{names[2]} array<struct<id:bigint,label:int,cosine:double>>"]))
+    fields = [f"`{c}` {rows.schema[f'c{k}'].dataType.simpleString()}" for k, c in enumerate(passed)]
+    return rows.mapInArrow(run, ", ".join([*fields, f"{names[0]} double", f"{names[1]} int", f"{names[2]} array<struct<passage:string,id:bigint,label:int,cosine:double>>"]))

@@ -253,42 +253,99 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
 # --- op1, op4, op7 ----------------------------------------------------------------------------
 
 
-def test_block_max_neighbours_are_exact():
+def plain_vector(passage, index):
+    """Passage's TF-IDF vector over its beginnings and itself, from the definition."""
+    if not hasattr(index, "df"):
+        index.df = defaultdict(int)
+        for p in index.passages:
+            for t in toxicity.terms_of(p):
+                index.df[t] += 1
+    df = lambda t: index.df.get(t, 0)
+    v = {t: np.log((1 + len(index.passages)) / (1 + df(t))) + 1 for t in toxicity.terms_of(passage)}
+    norm = sum(x * x for x in v.values()) ** 0.5
+    return {t: x / norm for t, x in v.items()}
+
+
+def plain_neighbours(passage, index):
+    q = plain_vector(passage, index)
+    cosines = [(-round(sum(q.get(t, 0) * x for t, x in plain_vector(p, index).items()), 9), k) for k, p in enumerate(index.passages)]
+    return [(k, -c) for c, k in sorted(cosines) if -c >= toxicity.LEAST_COSINE][: toxicity.NEIGHBOURS]
+
+
+def toxic_examples(rng, n=120):
+    """Clean words share beginnings with each other and with the insults, which are endings on two stems."""
+    endings = ["a", "er", "ung", "lich", "heit", "isch", "or", "ent"]
+    clean = [rng.choice(["mor", "morning", "haus", "hausta", "ab", "q"]) + rng.choice(endings) + rng.choice(endings) for _ in range(300)]
+    insults = [stem + rng.choice(endings) + rng.choice(endings) for stem in ("moronic", "hausidiot") for _ in range(30)]
+    return [(k, set(rng.choices(clean, k=25)) | (set(rng.choices(insults, k=3)) if k % 4 == 0 else set()), int(k % 4 == 0)) for k in range(n)], insults
+
+
+def test_nearest_passages_scores_and_reasons_equal_the_definition(monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
     rng = random.Random(8)
-    examples = [(k, sentence(rng, 20, 40) + (" vile" * (k % 4) if k % 2 else ""), k % 2) for k in range(400)]
-    index = toxicity.build_index(examples, 0.1)
-    at, w = index.vector(toxicity.terms_of("vile w1 w2 w3 vile"))
-    where, near = index.nearest(at, w)
-    full = w @ index.weights[at]
-    order = sorted(range(len(full)), key=lambda e: (-full[e], e))[: toxicity.NEIGHBOURS]
-    assert list(where) == [e for e in order if full[e] > 0] and np.allclose(near, full[where])
-
-
-def test_terms_of_toxic_texts_only_are_kept():
-    rng = random.Random(12)
-    plain = lambda: sentence(rng, 20, 400)
-    toxic = [f"{plain()} {'achlicher' if k < 14 else 'idiot'}" for k in range(305)]
-    clean = [plain() for _ in range(1500)]
-    index = toxicity.build_index([(k, t, int(k < 305)) for k, t in enumerate(toxic + clean)], 0.1)
-    assert {"achlicher", "idiot"} <= set(index.vocabulary)
-    assert index.score(["achlicher"])[0] >= toxicity.THRESHOLD > index.score(["unknown"])[0]
-    # the bar is a number of texts, whatever the size of the sample
-    assert toxicity.deviations((0, 12), [1500, 1500]) >= toxicity.LEAST_Z > toxicity.deviations((0, 11), [1500, 1500])
-    assert toxicity.deviations((0, 12), [9000, 9000]) >= toxicity.LEAST_Z
+    examples, insults = toxic_examples(rng)
+    index = toxicity.build_index(examples, 0.2)
+    queries = [*index.passages[::9], "moronicxy", "hausidiotunglichx", "hau", "ha", "zzz", "é", "x" * 9000]
+    query, place, cosine = index.nearest(queries)
+    votes = index.evidence(query, place, cosine, len(queries))
+    scorer = toxicity.Scorer(index)
+    for k, w in enumerate(queries):
+        want = plain_neighbours(w, index)
+        assert [int(p) for p in place[query == k]] == [p for p, _ in want]
+        assert cosine[query == k] == pytest.approx([c for _, c in want])
+        near = [(p, 0.05 / (1.05 - min(c, 1.0))) for p, c in want]
+        one, zero = (sum(x * index.texts[y][p] for p, x in near) / index.totals[y] + 1 / min(index.totals) for y in (1, 0))
+        assert votes[k] == pytest.approx(np.log(one / zero))
+        x = index.slope * max(votes[k], 0) + index.offset
+        (score, reason), = scorer.score([w.upper() + " " + w])
+        assert score == pytest.approx(1 / (1 + np.exp(-x)))
+        assert [(r["passage"], r["cosine"]) for r in reason] == ([(w.upper().lower(), pytest.approx(c)) for _, c in want[:3]] if votes[k] > 0 and want else [])
+        for r in reason:
+            assert next(y for i, _, y in examples if i == r["id"]) == r["label"]
+    (bad, _), (good, _) = scorer.score(["mora moronicneu ab " + insults[0], "mora ab"])
+    assert bad >= toxicity.THRESHOLD > good
+
+
+def test_toxicity_calibration_leaves_each_text_out():
+    """Texts whose words no other text has, though they occur twice in it, are no evidence for themselves."""
+    rng = random.Random(1)
+    examples, _ = toxic_examples(rng)
+    index = toxicity.PassageIndex(examples, 0.2)
+    _, own, y = examples[0]
+    places = index.where()
+    want = []
+    for p in own:
+        near = [(k, 0.05 / (1.05 - min(c, 1.0))) for k, c in plain_neighbours(p if p in places else p[:6] + "\0", index)]
+        share = [sum(x * (index.texts[z][k] - (z == y and index.passages[k] in own)) for k, x in near) / index.totals[z] + 1 / min(index.totals) for z in (0, 1)]
+        want.append(np.log(share[1] / share[0]))
+    seen = []
+    real = index.evidence
+    index.evidence = lambda *a: seen.append(real(*a)) or seen[-1]
+    index.calibrate(examples[:1] + examples[1:3])
+    mine = next(v for v in seen if len(v) == len(own) and np.allclose(sorted(v), sorted(want)))
+    assert mine is not None and index.slope >= 0
+
+
+def test_near_copies_of_examples_count_once():
+    base = {f"w{k}" for k in range(200)}
+    copies = [(k, base | {f"x{k}"}, 1) for k in range(50)]
+    assert len(toxicity.near_copies_once([*copies, (99, base, 0), (100, {"other"}, 1)])) < 12
 
 
 def test_toxicity_scores(spark):
     rng = random.Random(9)
-    texts = [sentence(rng, 30, 200) + (" awful slur" if k % 4 == 0 else "") for k in range(400)] + [None, "", "ÄÖ"]
-    df = docs_of(spark, texts)
-    labels = spark.createDataFrame([(k, int(k % 4 == 0), 1) for k in range(0, 400, 2)] + [(401, None, 0), (None, 1, 1), (0, 1, 1)], "doc_id long, toxic int, quality int")
+    texts = [sentence(rng, 30, 200) + (" vile scum filth" if k % 5 == 0 else "") for k in range(300)] + [None, "", "  ", sentence(rng, 30, 200), "word " * 300_000 + "vile filth"]
+    df = docs_of(spark, texts).withColumnRenamed("label", "whole").withColumnRenamed("lang", "c0")
+    labels = spark.createDataFrame([(k, int(k % 5 == 0), "t") for k in range(300)] + [(7, None, "t"), (304, 1, "t")], "doc_id long, toxic int, text string")
     index = toxicity.learn(df, labels)
-    got = {r.doc_id: r for r in toxicity.score_documents(df, index).collect()}
-    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got.values())
-    assert all(got[k].predicted == int(k % 4 == 0) for k in range(400) if k % 2)
-    assert got[0].evidence and got[400].predicted == 0 and got[401].score == got[400].score
+    got = {r.doc_id: r for r in toxicity.score_documents(df, index, keep=("whole", "c0")).collect()}
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 for r in got.values()) and {r.c0 for r in got.values()} == {"en"}
+    assert all(got[k].predicted == int(k % 5 == 0) for k in range(300))
+    assert got[300].score == got[301].score == got[302].score < 0.3 and got[0].evidence[0].label == 1 and got[304].predicted == 1
     none = toxicity.learn(df.limit(0), labels)
-    assert {r.predicted for r in toxicity.score_documents(df, none).collect()} == {0}
+    assert {r.score for r in toxicity.score_documents(df, none).collect()} == {0.0}
+    one = toxicity.learn(df, labels.where("toxic = 1"))
+    assert {r.score for r in toxicity.score_documents(df, one).collect()} == {1.0}
     assert toxicity.score_documents(df.limit(0), index).collect() == []
 
 
