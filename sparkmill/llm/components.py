@@ -2,7 +2,8 @@
 
 Alternates large-star and small-star steps (Kiverie et al., "Connected components in MapReduce and
 beyond"): each step replaces a node's links by links to the smallest node it knows, so every
-component ends as a star around its smallest node. Each round is written to the shared folder.
+component ends as a star around its smallest node. Each round is written to the shared folder, and
+deleted once the next one is. A graph that isn't settled after ROUNDS rounds is an error.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import written
+from sparkmill.llm.common import discard, written
 
 ROUNDS = 60
 
@@ -31,7 +32,9 @@ def stars(links: DataFrame) -> DataFrame:
         # small star: a node's smaller neighbours, and itself, hang on the smallest of them
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.col("v").alias("x"), "m").where("x <> m").union(small_least.select(F.col("u").alias("x"), "m"))
-        edges = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        after = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        discard(edges)
+        edges = after
         # settled once every node has one link, and no centre has one itself
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:

@@ -1,19 +1,22 @@
 """Exact Jaccard self-join on word n-grams by vertical partitioning.
 
-Every document is the set of hashes of its n-grams. One global order of n-grams, rare before
-frequent, is cut into FRAGMENTS; a set falls into a segment for each fragment, overlaps are counted
+Every document is the set of 64-bit hashes of its n-grams. One global order of n-grams, rare ones by hash before
+those that are known to be frequent, is cut into FRAGMENTS; a set falls into a segment for each fragment, overlaps are counted
 segment by segment, in separate rows, and sum up to a pair's intersection.
 
 Which pairs are counted: two sets as alike as the threshold share one of their first n-grams in the
 global order (the prefix), and their sizes and parity bitmaps differ little; both bounds are exact.
-Documents with equal sets are one class from the start. Pairs come in two passes, so that groups of
-near copies do not turn into all their pairs. First each prefix n-gram links its smallest member to the
-others. Then, for the n-grams whose members the links found so far leave in several components, the pairs that lie
-across components are counted too. Pairs within a component add nothing to what a document can reach.
+Documents with equal sets are one class from the start. An n-gram's bucket, the classes with it in their prefix, never turns
+into all its pairs. First each bucket's smallest member meets the others. Then only buckets whose members the links found
+so far leave in several components go on, with what is left of them: CENTRES members, and in each further round CENTRES times as many, meet
+the others, and are done with; components are found anew after each round. Once no more than PAIRS_LEFT
+pairs a class lie across components, those are looked at all together. Pairs within a component add nothing to
+what a document can reach. What leaves a bucket are the pairs that sizes and bitmaps allow, nearly all of them links.
 
 Defined results: words are runs of anything but ASCII white space, A-Z in lower case. A text with
 fewer words than n is one n-gram, its whole word sequence; without words the set is empty and links
-with nothing. Repeated ids are one node whose texts' links all count; each row keeps its own n_shingles.
+with nothing. Repeated ids are one node whose texts' links all count, and each row keeps its own n_shingles; their rows
+without words still link with nothing. Only the id and text columns are read, under names of their own.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import bytes_of, slices, written
+from sparkmill.llm.common import bytes_of, discard, slices, written
 from sparkmill.llm.components import stars
 
 #: Words of an n-gram and the threshold, as a percentage.
@@ -34,10 +37,12 @@ WORDS, PERCENT = 3, 90
 FRAGMENTS = 8
 #: Bits of the smallest parity bitmap.
 LEAST_BITS = 256
-#: N-grams are hashed to so many bits; the upper three tell the fragment.
-HASH_BITS = 48
 #: The order of n-grams is fitted on about SAMPLE_DOCS documents: what two of them or more share, up to FREQUENT_KEPT n-grams, comes last. Any order gives the same result.
 SAMPLE_DOCS, FREQUENT_KEPT = 10_000, 500_000
+#: Members of a bucket that meet all others in a round, and the pairs a class that are few enough to be looked at without further rounds.
+CENTRES, PAIRS_LEFT = 8, 20
+#: Members of a bucket that one task holds against its centres, about.
+BLOCK_ROWS = 4096
 
 
 def shingles(text: bytes, n: int) -> np.ndarray:
@@ -46,7 +51,7 @@ def shingles(text: bytes, n: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.int64)
     if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words)) >> (64 - HASH_BITS)], np.int64)
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words))], np.uint64).view(np.int64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = len(h) - n + 1
     mixed = np.zeros(size, np.uint64)
@@ -55,7 +60,19 @@ def shingles(text: bytes, n: int) -> np.ndarray:
             mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) + h[k : k + size]
         mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(29)
-    return np.unique((mixed >> np.uint64(64 - HASH_BITS)).astype(np.int64))
+    return np.unique(mixed.view(np.int64))
+
+
+def set_digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes())
+
+
+def rank_of(s: np.ndarray, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Place of each n-gram among the frequent ones (keys, sorted, with their places), from 1 on; 0 for the others."""
+    if not len(keys):
+        return np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
+    return np.where(keys[at] == s, places[at] + 1, 0)
 
 
 def frequent(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
@@ -64,8 +81,8 @@ def frequent(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     The order only has to be the same everywhere for the join to be exact; what is kept bounds the broadcast.
     """
     total = docs.agg(F.count("*")).first()[0]
-    part = int(min(1.0, SAMPLE_DOCS / max(total, 1)) * 2**20)
-    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(2**20)) < part).select(F.col(text_col).alias("text"))
+    part = max(1, int(min(1.0, SAMPLE_DOCS / max(total, 1)) * 2**48))
+    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(2**48)) < part).select(F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 0):
@@ -76,30 +93,26 @@ def frequent(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     return np.array([r.g for r in top.select("g").collect()][::-1], np.int64)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, parity and prefix of each row. The parity bitmap has a bit or two a member, a power of two in all: whether an even or odd number of members fall on each bit."""
-    often = frequent(docs, text_col, n)
-    order = np.argsort(often, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((often[order], order.astype(np.int64)))
+def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, order) -> DataFrame:
+    """doc_id, n_shingles, digest, parity and prefix of each row. The parity bitmap has a bit or two a member, a power of two in all: whether an even or odd number of members fall on each bit.
+
+    order: a broadcast of the frequent n-grams, sorted, and their places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, places = shared.value
+        keys, places = order.value
         for batch in slices(batches, 1):
             size, digest, parity, prefix = [], [], [], []
             for text in bytes_of(batch.column(1)):
                 s = shingles(text, n)
                 size.append(len(s))
-                digest.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                digest.append(set_digest(s) if len(s) else None)
                 width = max(LEAST_BITS, 1 << (len(s) - 1).bit_length()) if len(s) else LEAST_BITS
                 bits = np.bincount(s & (width - 1), minlength=width) & 1
                 parity.append(np.packbits(bits.astype(np.uint8)).view(np.int64))
                 # sets of size m with the least overlap m * percent / 100 share one of the first m - that + 1
                 first = len(s) - -(-len(s) * percent // 100) + 1 if len(s) else 0
-                if len(keys) and len(s):
-                    at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-                    rank = np.where(keys[at] == s, places[at] + 1, 0)
-                    s = s[np.lexsort((s, rank))]
-                prefix.append(s[:first])
+                prefix.append(s[np.lexsort((s, rank_of(s, keys, places)))][:first])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -130,100 +143,120 @@ def differing_bits(p: Column, q: Column) -> Column:
     return F.when(F.greatest(F.size(p), F.size(q)) <= 2 * short, differ).otherwise(0)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, segments_of, percent: int) -> DataFrame:
-    """pairs: a, b. Those whose overlaps, counted by fragment and summed, reach the threshold.
-
-    Sizes and parity bitmaps come first: the number of bits in which two bitmaps differ is at most
-    the number of n-grams in only one of the sets. Nearly all pairs left after that are links.
-    """
-    one = sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    two = sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
+def may_link(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Column:
+    """Whether sizes and parity bitmaps allow a link: the number of bits in which two bitmaps differ is at most the number of n-grams in only one of the sets."""
     # 100 * i >= percent * (na + nb - i), so that na + nb - 2 * i is at most this
-    most = F.col("na") + F.col("nb") - 2 * F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent))
-    likely = written(pairs.join(one, "a").join(two, "b").where(differing_bits(F.col("pa"), F.col("pb")) <= most).select("a", "b", "na", "nb"), "likely-pairs")
+    most = na + nb - 2 * F.ceil(percent * (na + nb) / (100 + percent))
+    return alike_in_size(na, nb, percent) & (differing_bits(pa, pb) <= most)
 
-    wanted = likely.select(F.col("a").alias("rep")).union(likely.select(F.col("b").alias("rep"))).distinct()
-    segments = written(segments_of(wanted), "segments")
-    left = segments.select(F.col("rep").alias("a"), "fragment", F.col("segment").alias("sa"))
-    right = segments.select(F.col("rep").alias("b"), "fragment", F.col("segment").alias("sb"))
-    each = likely.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
-    # a fragment of which either has nothing adds nothing
-    found = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
-    shared = found.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("shared"))
-    total = shared.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-    return total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b", "shared")
+
+def segments_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, order) -> DataFrame:
+    """node, fragment, segment: of the sets of the wanted nodes, made again from their texts. The last fragment has the frequent n-grams, the others equal shares of the order of the rest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, places = order.value
+        for batch in slices(batches, 2, 512):
+            nodes, fragment, segment = [], [], []
+            for node, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_of(batch.column(2)), strict=True):
+                s = shingles(text, n)
+                if set_digest(s) != digest:
+                    continue  # another text of a repeated id
+                often = rank_of(s, keys, places) > 0
+                rare = s[~often]
+                cuts = np.searchsorted(rare, [-(1 << 63) + (k << 64) // (FRAGMENTS - 1) for k in range(1, FRAGMENTS - 1)])
+                for k, part in enumerate([*np.split(rare, cuts), s[often]]):
+                    if len(part):
+                        nodes.append(node), fragment.append(k), segment.append(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(fragment, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, segment)]), pa.int32()), pa.array(np.concatenate([*segment, np.empty(0, np.int64)])))],
+                names=["node", "fragment", "segment"],
+            )
+
+    one = wanted.join(sets, "node").select("node", "digest", F.col("least").alias("doc_id"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(one, "doc_id").select("node", "digest", "text")
+    return texts.mapInArrow(run, "node long, fragment int, segment array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Returns id_col, n_shingles, component_id, and class_id: the smallest id with the same set (its own, if that is empty)."""
-    rows = signatures(docs, id_col, text_col, n, percent)
+    often = frequent(docs, text_col, n)
+    by_hash = np.argsort(often, kind="stable")
+    order = docs.sparkSession.sparkContext.broadcast((often[by_hash], by_hash.astype(np.int64)))
+    rows = signatures(docs, id_col, text_col, n, percent, order)
     filled = rows.where("n_shingles > 0")
-    sets = written(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "sets")
-    ids = filled.groupBy("doc_id").agg(F.count("*").alias("k"), F.countDistinct("digest").alias("sets")).where("k > 1").agg(F.count("*").alias("ids"), F.max("sets").alias("sets")).first()
-    repeated = ids.ids > 0
-    if repeated and ids.sets > 1:
-        return _with_repeated_ids(docs, id_col, text_col, n, percent)
-
-    member = sets.select("rep", "n", F.explode("prefix").alias("g"))
-    buckets = member.groupBy("g").agg(F.count("*").alias("size"), F.min(F.struct("rep", "n")).alias("first")).where("size > 1")
+    distinct = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+    sets = written(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
+    parity = sets.select("node", "n", "parity")
+
+    def verified(likely: DataFrame) -> DataFrame:
+        """likely: a, b, na, nb. Those whose overlaps, counted by fragment and summed, reach the threshold."""
+        wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+        segments = written(segments_of(docs, sets.select("node", "digest", "least"), wanted, id_col, text_col, n, order), "segments")
+        left = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa"))
+        right = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
+        each = likely.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
+        # a fragment of which either has nothing adds nothing; rows that repeat an id and text give a segment twice
+        shared = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("sa", "sb")).alias("shared")).distinct()
+        total = shared.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+        found = written(total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"), "links-found")
+        discard(segments)
+        return found
+
+    member = sets.select("node", "n", F.explode("prefix").alias("g"))
+    buckets = member.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("first")).where("k > 1")
     member = written(member.join(buckets.select("g", "first"), "g"), "prefix-members")
-    first_pass = written(
-        member.where((F.col("rep") != F.col("first.rep")) & alike_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("first.rep").alias("a"), F.col("rep").alias("b")).distinct(), "pairs"
-    )
-
-    def segments_of(wanted: DataFrame) -> DataFrame:
-        """rep, fragment, segment: of the sets of the wanted documents, made again from their texts."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 1, 512):
-                ids, fragment, segment = [], [], []
-                for i, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
-                    s = shingles(text, n)
-                    cuts = np.searchsorted(s, np.arange(1, FRAGMENTS) << (HASH_BITS - FRAGMENTS.bit_length() + 1))
-                    for k, part in enumerate(np.split(s, cuts)):
-                        if len(part):
-                            ids.append(i), fragment.append(k), segment.append(part)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(fragment, pa.int32()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, segment)]), pa.int32()), pa.array(np.concatenate([*segment, np.empty(0, np.int64)])))],
-                    names=["rep", "fragment", "segment"],
-                )
-
-        texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(wanted, "rep", "left_semi")
-        made = texts.mapInArrow(run, "rep long, fragment int, segment array<long>")
-        return made.dropDuplicates(["rep", "fragment"]) if repeated else made
-
-    links = written(verified(first_pass, sets, segments_of, percent), "links-found")
+    # first pass: each bucket's smallest member and the others
+    pairs = member.where((F.col("node") != F.col("first.node")) & alike_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    one, two = parity.toDF("a", "na", "pa"), parity.toDF("b", "nb", "pb")
+    ends = may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
+    likely = written(pairs.join(one, "a").join(two, "b").where(ends).select("a", "b", "na", "nb"), "likely-pairs")
+    links = verified(likely)
+    seen, rest = likely.select("a", "b"), member.where(F.col("node") != F.col("first.node")).select("g", "node", "n")
+    links = links.union(same_ids(filled, sets))
     component = written(stars(links), "components")
-
-    # second pass: across the components that share a prefix n-gram
-    placed = member.join(component.select(F.col("node").alias("rep"), "component"), "rep", "left").select("g", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    mixed = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("g")
-    placed = written(placed.join(mixed, "g", "left_semi"), "mixed-members")
-    one, two = placed.select("g", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), placed.select("g", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = one.join(two, "g").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike_in_size(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
-    across = written(across.join(first_pass, ["a", "b"], "left_anti"), "pairs")
-    if not across.isEmpty():
-        more = verified(across, sets, segments_of, percent)
-        component = written(stars(links.select("a", "b").union(more.select("a", "b"))), "components")
-    classes = sets.select("digest", F.col("rep").alias("class_id"))
-    return (
-        rows.select("doc_id", "n_shingles", "digest")
-        .join(classes, "digest", "left")
-        .join(component.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
-        .select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
-    )
-
-
-def _with_repeated_ids(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """The join over distinct texts under ids of their own, then joined again through the given ids."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = rows.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text").groupBy("own").agg(F.first("text").alias("text"))
-    found = written(near_duplicates(own, "own", "text", n, percent), "by-text")
-    keyed = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("own")).join(found, "own")
-    keyed = written(keyed, "keyed")
-    groups = keyed.where("n_shingles > 0").groupBy("component_id").agg(F.min("doc_id").alias("a"))
-    links = keyed.where("n_shingles > 0").join(groups, "component_id").select("a", F.col("doc_id").alias("b"))
-    component = stars(links).select(F.col("node").alias("doc_id"), "component")
-    classes = keyed.groupBy("class_id").agg(F.min("doc_id").alias("least"))
-    out = keyed.join(component, "doc_id", "left").join(classes, "class_id", "left")
-    return out.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"))
+    classes = sets.count()
+
+    round_ = 0
+    while True:
+        # what is left of the buckets that mix components
+        placed = rest.join(component, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("component"))
+        mixed = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low <> high").select("g", "k")
+        placed = written(placed.join(mixed, "g"), "mixed-members")
+        parts = placed.groupBy("g", "component").agg(F.count("*").alias("k"))
+        across = parts.groupBy("g").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
+        left = across.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
+        if not left:
+            break
+        last = left <= PAIRS_LEFT * classes
+        chance = F.pmod(F.xxhash64("g", "node", F.lit(round_)), F.lit(2**30)) / F.lit(float(2**30)) * F.col("k") < float(CENTRES ** (round_ + 1))
+        whole = placed.join(parity.select("node", "parity"), "node").withColumn("centre", F.lit(True) if last else chance).withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS).cast("int"))
+        # a large bucket lies in blocks, each of which meets the centres
+        centres = whole.where("centre").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"), F.col("component").alias("cx"))
+        others = whole.select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"), F.col("component").alias("cy"), F.col("centre").alias("other"))
+        # two centres meet once
+        once = ~F.col("other") | (F.col("x") < F.col("y"))
+        met = centres.join(others, (centres["g"] == others["g"]) & (centres["block"] == others["block"]) & (F.col("cx") != F.col("cy")) & once & may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent))
+        low = F.col("x") < F.col("y")
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
+        likely = written(pairs.join(seen, ["a", "b"], "left_anti"), "likely-pairs")
+        if not likely.isEmpty():
+            links = links.union(verified(likely))
+            component = written(stars(links), "components")
+            seen = seen.union(likely.select("a", "b"))
+        if last:
+            break
+        rest = placed.withColumn("centre", chance).where("NOT centre").select("g", "node", "n")
+        round_ += 1
+
+    named = sets.join(component, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
+    reached = named.groupBy("component").agg(F.min("least").alias("smallest"))
+    named = named.join(reached, "component").select("digest", F.col("least").alias("class_id"), "smallest")
+    return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def same_ids(filled: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links between the sets of ids that have several."""
+    several = filled.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("doc_id", "low")
+    nodes = sets.select("digest", "node")
+    both = filled.select("doc_id", "digest").join(several, "doc_id").where("digest <> low").distinct()
+    return both.join(nodes, "digest").join(nodes.toDF("low", "a"), "low").select("a", F.col("node").alias("b"))

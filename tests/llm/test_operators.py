@@ -63,6 +63,26 @@ def test_ngram_join_equals_brute_force(spark, n, percent):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_groups(list(enumerate(texts)), n, percent))
 
 
+def test_ngram_join_rounds_of_centres(spark, monkeypatch):
+    """Chains of near copies that share n-grams and mostly don't link, looked at by a few centres a round and in blocks."""
+    monkeypatch.setattr(ngram_join, "CENTRES", 2)
+    monkeypatch.setattr(ngram_join, "PAIRS_LEFT", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 5)
+    rng = random.Random(12)
+    shared = sentence(rng, 40, 900)
+    texts = []
+    for _ in range(3):
+        w = sentence(rng, 30, 900).split()
+        for _ in range(14):
+            for _ in range(rng.randrange(1, 4)):
+                w[rng.randrange(len(w))] = f"y{rng.randrange(900)}"
+            texts.append(shared + " " + " ".join(w))
+    got = ngram_join.near_duplicates(docs_of(spark, texts).withColumnRenamed("lang", "node").withColumnRenamed("source", "digest"), n=3, percent=80).collect()
+    want = brute_groups(list(enumerate(texts)), 3, 80)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(want)
+    assert 3 < len({c for *_, c in want}) < len(texts)
+
+
 @pytest.mark.parametrize("percent", [40, 90])
 def test_ngram_join_over_parity_widths(spark, percent):
     """Sizes on both sides of a power of two, so that one bitmap is folded, and more than twice apart."""
@@ -77,6 +97,9 @@ def test_ngram_join_repeated_ids_and_empty_table(spark):
     texts = ["a b c d", "e f g h", "a b c d", "e f g h", "q r s t", "q r s t"]
     got = ngram_join.near_duplicates(docs_of(spark, texts, ids=[1, 1, 2, 3, 5, 5])).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (5, 5), (5, 5)]
+    # a row without words of an id that has others links with nothing
+    got = ngram_join.near_duplicates(docs_of(spark, ["a b c d", None, "a b c d"], ids=[4, 4, 2])).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(2, 2, 2), (4, 0, 4), (4, 2, 2)]
     assert ngram_join.near_duplicates(docs_of(spark, texts).limit(0)).collect() == []
 
 
