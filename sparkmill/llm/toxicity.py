@@ -27,7 +27,9 @@ first in code point order. Only the named columns are read, under names of their
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import slices, texts_of, written
+from sparkmill.llm.common import discard, slices, texts_of, written
 
 #: Bound of the labelled sample: distinct texts a class; those of them that the calibration scores again.
 SAMPLE_PER_CLASS, CALIBRATED_PER_CLASS = 1500, 300
@@ -223,59 +225,11 @@ class Scorer:
         self.values: dict[str, float] = {}
         self.reasons: dict[str, list[dict]] = {}
 
-    def learn(self, words: list[str]) -> None:
-        index = self.index
-        keys = {w: w if w in self.places else beginning(w) for w in words}
-        distinct = list(dict.fromkeys(keys.values()))
-        query, place, cosine = index.nearest(distinct)
-        evidence = index.evidence(query, place, cosine, len(distinct))
-        first = np.searchsorted(query, np.arange(len(distinct) + 1)).tolist()
-        number = {k: n for n, k in enumerate(distinct)}
-        for w, key in keys.items():
-            n = number[key]
-            e = float(evidence[n])
-            self.values[w] = e if e > 0 and first[n + 1] > first[n] else 0.0
-            if self.values[w]:
-                near = range(first[n], min(first[n + 1], first[n] + 3))
-                labels = [int(index.texts[1][place[k]] > 0) for k in near]
-                self.reasons[w] = [{"passage": w, "id": int(index.example[y][place[k]]), "label": y, "cosine": float(cosine[k])} for k, y in zip(near, labels, strict=True)]
-
-    def score(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
-        """Score, and the nearest labelled texts of the best passages, for each text."""
-        if len(self.values) > REMEMBERED:
-            self.values.clear()
-            self.reasons.clear()
-        split = [passages_of(t) for t in texts]
-        new = sorted(set().union(*split).difference(self.values))
-        for at in range(0, len(new), 5000):
-            self.learn(new[at : at + 5000])
-        value, out = self.values.__getitem__, []
-        for words in split:
-            best = sorted([(-e, w) for w, e in zip(words, map(value, words), strict=True) if e])[:BEST]
-            out.append((self.index.probability([-e for e, _ in best]), [r for _, w in best for r in self.reasons[w]]))
-        return out
-
-
-def near_copies_once(examples: list[tuple[int, set[str], int]]) -> list[tuple[int, set[str], int]]:
-    """The examples without those of whose words the same four hash lowest as of an earlier one with the same label."""
-    seen, out = set(), []
-    for i, passages, y in examples:
-        key = (y, *sorted(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in passages)[:4])
-        if key not in seen:
-            seen.add(key)
-            out.append((i, passages, y))
-    return out
-
-
-def build_index(examples: list[tuple[int, set[str], int]], rate: float) -> PassageIndex:
-    once = near_copies_once(examples)
-    index = PassageIndex(once, rate)
-    index.calibrate(once)
-    return index
-
-
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> PassageIndex:
-    """Fit on at most per_class distinct labelled texts a class, those that hash lowest; docs holds the texts to learn from."""
+    def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> bytes:
+    """A pickled index of at most per_class distinct labelled texts a class, those that hash lowest; docs holds the texts to learn from.
+
+    One task builds it, from as many texts as the bound allows, so that the driver only passes it on.
+    """
     spark = docs.sparkSession
     marked = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     texts = docs.where(F.length(text_col) > 0).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
@@ -283,22 +237,41 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = written(texts.select("id", "h").join(marked, "id").groupBy("y", "h").agg(F.min("id").alias("id")), "toxicity-labelled")
     rates = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = [r for y in rates for r in known.where(F.col("y") == y).orderBy("h", "id").limit(per_class).collect()]
-    total = sum(rates.values())
+    discard(known)
+    rate = rates.get(1, 0) / max(1, sum(rates.values()))
     if not chosen:
-        return PassageIndex([], 0.0)
+        return pickle.dumps(PassageIndex([], rate))
     wanted = spark.createDataFrame([(r.id, r.h, r.y) for r in chosen], texts.select("id", "h").schema.add("y", "integer"))  # per_class bounds the broadcast
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 3):
-            words = pa.array([sorted(passages_of(t)) for t in texts_of(batch.column(3))], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), words], names=["id", "h", "y", "words"])
+            each = pa.array([sorted(passages_of(t)) for t in texts_of(batch.column(3))], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), batch.column(2), each], names=["id", "h", "y", "words"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        examples: dict[tuple, tuple] = {}  # rows that repeat an id and text are one example
+        for batch in batches:
+            for i, h, y, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                examples[h, y] = (i, set(map(sys.intern, own)), y)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build_index([examples[k] for k in sorted(examples)], rate))], pa.binary())], names=["index"])
+
+    sample = texts.join(F.broadcast(wanted), ["id", "h"]).select("id", "h", "y", "text").mapInArrow(words, "id long, h long, y int, words array<string>")
+    return bytes(sample.repartition(1).mapInArrow(build, "index binary").first().index)
+
+
+_SCORERS: dict[int, Scorer] = {}
+
 
-    sample = texts.join(F.broadcast(wanted), ["id", "h"]).select("id", "h", "y", "text").mapInArrow(run, "id long, h long, y int, words array<string>").collect()
-    examples = {(r.h, r.y): (r.id, set(r.words), r.y) for r in sample}  # rows that repeat an id and text are one example
-    return build_index([examples[k] for k in sorted(examples)], rates.get(1, 0) / total)
+def scorer_of(index: bytes) -> Scorer:
+    """One scorer a worker and index; workers are used again, so what it has learnt stays."""
+    key = xxhash.xxh3_64_intdigest(index)
+    if key not in _SCORERS:
+        _SCORERS.clear()
+        _SCORERS[key] = Scorer(pickle.loads(index))
+    return _SCORERS[key]
 
 
-def score_documents(docs: DataFrame, index: PassageIndex, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
+def score_documents(docs: DataFrame, index: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
     """Returns id_col, keep's and extra's columns, and under names score, predicted, and evidence: the best passages with their nearest labelled texts, labels and cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     given = [F.col(c) for c in (id_col, *keep)] + list((extra or {}).values())
@@ -307,7 +280,7 @@ def score_documents(docs: DataFrame, index: PassageIndex, id_col: str = "doc_id"
     kind = pa.list_(pa.struct([("passage", pa.string()), ("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for batch in slices(batches, len(passed)):
             got = scorer.score(texts_of(batch.column(len(passed))))
             scores = [s for s, _ in got]
