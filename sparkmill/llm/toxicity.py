@@ -225,7 +225,58 @@ class Scorer:
         self.values: dict[str, float] = {}
         self.reasons: dict[str, list[dict]] = {}
 
-    def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> bytes:
+    def learn(self, words: list[str]) -> None:
+        index = self.index
+        keys = {w: w if w in self.places else beginning(w) for w in words}
+        distinct = list(dict.fromkeys(keys.values()))
+        query, place, cosine = index.nearest(distinct)
+        evidence = index.evidence(query, place, cosine, len(distinct))
+        first = np.searchsorted(query, np.arange(len(distinct) + 1)).tolist()
+        number = {k: n for n, k in enumerate(distinct)}
+        for w, key in keys.items():
+            n = number[key]
+            e = float(evidence[n])
+            self.values[w] = e if e > 0 and first[n + 1] > first[n] else 0.0
+            if self.values[w]:
+                near = range(first[n], min(first[n + 1], first[n] + 3))
+                labels = [int(index.texts[1][place[k]] > 0) for k in near]
+                self.reasons[w] = [{"passage": w, "id": int(index.example[y][place[k]]), "label": y, "cosine": float(cosine[k])} for k, y in zip(near, labels, strict=True)]
+
+    def score(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
+        """Score, and the nearest labelled texts of the best passages, for each text."""
+        if len(self.values) > REMEMBERED:
+            self.values.clear()
+            self.reasons.clear()
+        split = [passages_of(t) for t in texts]
+        new = sorted(set().union(*split).difference(self.values))
+        for at in range(0, len(new), 5000):
+            self.learn(new[at : at + 5000])
+        value, out = self.values.__getitem__, []
+        for words in split:
+            best = sorted([(-e, w) for w, e in zip(words, map(value, words), strict=True) if e])[:BEST]
+            out.append((self.index.probability([-e for e, _ in best]), [r for _, w in best for r in self.reasons[w]]))
+        return out
+
+
+def near_copies_once(examples: list[tuple[int, set[str], int]]) -> list[tuple[int, set[str], int]]:
+    """The examples without those of whose words the same four hash lowest as of an earlier one with the same label."""
+    seen, out = set(), []
+    for i, passages, y in examples:
+        key = (y, *sorted(xxhash.xxh64_intdigest(p.encode("utf-8", "surrogatepass")) for p in passages)[:4])
+        if key not in seen:
+            seen.add(key)
+            out.append((i, passages, y))
+    return out
+
+
+def build_index(examples: list[tuple[int, set[str], int]], rate: float) -> PassageIndex:
+    once = near_copies_once(examples)
+    index = PassageIndex(once, rate)
+    index.calibrate(once)
+    return index
+
+
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> bytes:
     """A pickled index of at most per_class distinct labelled texts a class, those that hash lowest; docs holds the texts to learn from.
 
     One task builds it, from as many texts as the bound allows, so that the driver only passes it on.
@@ -256,7 +307,7 @@ class Scorer:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build_index([examples[k] for k in sorted(examples)], rate))], pa.binary())], names=["index"])
 
     sample = texts.join(F.broadcast(wanted), ["id", "h"]).select("id", "h", "y", "text").mapInArrow(words, "id long, h long, y int, words array<string>")
-    return bytes(sample.repartition(1).mapInArrow(build, "index binary").first().index)
+    return bytes(sample.repartition(1).mapInArrow(build, "index binary").first()["index"])
 
 
 _SCORERS: dict[int, Scorer] = {}
