@@ -48,8 +48,8 @@ NEIGHBOURS, LEAST_COSINE, BLOCK = 32, 0.3, 64
 #: Passages that a document is judged by.
 BEST = 2
 THRESHOLD = 0.7
-#: Distinct words whose evidence a worker keeps from one slice of rows to the next.
-REMEMBERED = 400_000
+#: Distinct passages whose evidence a worker keeps from one slice of rows to the next.
+REMEMBERED = 250_000
 
 _words = re.compile(r"\w+").findall
 
@@ -171,7 +171,7 @@ class PassageIndex:
             return
         places, numbers = self.where(), {}
         chosen = [e for y in (0, 1) for e in [e for e in examples if e[2] == y][:per_class]]
-        of = [np.array([numbers.setdefault(p if p in places else beginning(p), len(numbers)) for p in passages], np.int64) for _, passages, _ in chosen]
+        of = [np.array([numbers.setdefault(k, len(numbers)) for k in sorted(keys_of(passages, places))], np.int64) for _, passages, _ in chosen]
         query, place, cosine = self.nearest(list(numbers))
         first = np.searchsorted(query, np.arange(len(numbers) + 1))
         xs, held = [], np.zeros(len(self.passages))
@@ -194,9 +194,10 @@ def spread(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(of)) - np.repeat(np.cumsum(size) - size - first, size), of
 
 
-def beginning(word: str) -> str:
-    """What a word that no labelled text holds is looked up by: its vector is that of its longest beginning, and of a whole word that is unknown."""
-    return word[: EDGES[-1]] + "\0"
+def keys_of(passages: set[str], places: dict[str, int]) -> set[str]:
+    """What the passages are looked up by: a word that no labelled text holds has the vector of its longest beginning, and of an unknown whole word. Those of one vector count once."""
+    end = EDGES[-1]
+    return {p if p in places else p[:end] + "\0" for p in passages}
 
 
 def strongest(evidence: np.ndarray | list[float]) -> float:
@@ -218,44 +219,42 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 
 
 class Scorer:
-    """An index, with the evidence of the words that a worker has met."""
+    """An index, with the evidence of the passages that a worker has met."""
 
     def __init__(self, index: PassageIndex):
         self.index, self.places = index, index.where()
-        self.values: dict[str, float] = {}
-        self.reasons: dict[str, list[dict]] = {}
-
-    def learn(self, words: list[str]) -> None:
-        index = self.index
-        keys = {w: w if w in self.places else beginning(w) for w in words}
-        distinct = list(dict.fromkeys(keys.values()))
-        query, place, cosine = index.nearest(distinct)
-        evidence = index.evidence(query, place, cosine, len(distinct))
-        first = np.searchsorted(query, np.arange(len(distinct) + 1)).tolist()
-        number = {k: n for n, k in enumerate(distinct)}
-        for w, key in keys.items():
-            n = number[key]
-            e = float(evidence[n])
-            self.values[w] = e if e > 0 and first[n + 1] > first[n] else 0.0
-            if self.values[w]:
-                near = range(first[n], min(first[n + 1], first[n] + 3))
-                labels = [int(index.texts[1][place[k]] > 0) for k in near]
-                self.reasons[w] = [{"passage": w, "id": int(index.example[y][place[k]]), "label": y, "cosine": float(cosine[k])} for k, y in zip(near, labels, strict=True)]
+        self.known: dict[str, float] = {}
+
+    def learn(self, keys: list[str]) -> None:
+        query, place, cosine = self.index.nearest(keys)
+        evidence = self.index.evidence(query, place, cosine, len(keys))
+        evidence[np.bincount(query, minlength=len(keys)) == 0] = 0.0
+        self.known.update(zip(keys, np.maximum(evidence, 0.0).tolist(), strict=True))
+
+    def reasons(self, keys: list[str]) -> dict[str, list[dict]]:
+        """The nearest labelled texts of each of the passages."""
+        out: dict[str, list[dict]] = {k: [] for k in keys}
+        for q, at, c in zip(*(x.tolist() for x in self.index.nearest(keys)), strict=True):
+            if len(out[keys[q]]) < 3:
+                label = int(self.index.texts[1][at] > 0)
+                out[keys[q]].append({"passage": keys[q].rstrip("\0"), "id": int(self.index.example[label][at]), "label": label, "cosine": c})
+        return out
 
     def score(self, texts: list[str]) -> list[tuple[float, list[dict]]]:
         """Score, and the nearest labelled texts of the best passages, for each text."""
-        if len(self.values) > REMEMBERED:
-            self.values.clear()
-            self.reasons.clear()
-        split = [passages_of(t) for t in texts]
-        new = sorted(set().union(*split).difference(self.values))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        split = [keys_of(passages_of(t), self.places) for t in texts]
+        new = sorted(set().union(*split).difference(self.known))
         for at in range(0, len(new), 5000):
             self.learn(new[at : at + 5000])
-        value, out = self.values.__getitem__, []
-        for words in split:
-            best = sorted([(-e, w) for w, e in zip(words, map(value, words), strict=True) if e])[:BEST]
-            out.append((self.index.probability([-e for e, _ in best]), [r for _, w in best for r in self.reasons[w]]))
-        return out
+        value = self.known.__getitem__
+        best = [sorted([(-e, w) for w, e in zip(keys, map(value, keys), strict=True) if e])[:BEST] for keys in split]
+        wanted = sorted({w for b in best for _, w in b})
+        reasons: dict[str, list[dict]] = {}
+        for at in range(0, len(wanted), 5000):
+            reasons |= self.reasons(wanted[at : at + 5000])
+        return [(self.index.probability([-e for e, _ in b]), [r for _, w in b for r in reasons[w]]) for b in best]
 
 
 def near_copies_once(examples: list[tuple[int, set[str], int]]) -> list[tuple[int, set[str], int]]:
