@@ -246,14 +246,14 @@ class Scorer:
             self.known.clear()
         split = [keys_of(passages_of(t), self.places) for t in texts]
         new = sorted(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 5000):
-            self.learn(new[at : at + 5000])
+        for at in range(0, len(new), 2000):
+            self.learn(new[at : at + 2000])
         value = self.known.__getitem__
         best = [sorted([(-e, w) for w, e in zip(keys, map(value, keys), strict=True) if e])[:BEST] for keys in split]
         wanted = sorted({w for b in best for _, w in b})
         reasons: dict[str, list[dict]] = {}
-        for at in range(0, len(wanted), 5000):
-            reasons |= self.reasons(wanted[at : at + 5000])
+        for at in range(0, len(wanted), 2000):
+            reasons |= self.reasons(wanted[at : at + 2000])
         return [(self.index.probability([-e for e, _ in b]), [r for _, w in b for r in reasons[w]]) for b in best]
 
 
@@ -331,7 +331,7 @@ def score_documents(docs: DataFrame, index: bytes, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorer_of(shared.value)
-        for batch in slices(batches, len(passed)):
+        for batch in slices(batches, len(passed), 256):
             got = scorer.score(texts_of(batch.column(len(passed))))
             scores = [s for s, _ in got]
             columns = [batch.column(k) for k in range(len(passed))]
