@@ -1,13 +1,14 @@
 """Byte-level BPE by prefix-sharing trie traversal.
 
 Distinct words (pieces of the pre-tokeniser) are put in byte order, so that walking them visits a
-trie depth first. Each node keeps the last token of the encoding of its prefix, where that token
-starts, and the ids so far. One rule extends a node by a byte: of the vocabulary's tokens that end
+trie depth first. Each node on the way keeps the last token of the encoding of its prefix and where that token
+starts; a word's ids are read back from its end by way of those starts, so memory is in proportion to the longest word. One rule extends a node by a byte: of the vocabulary's tokens that end
 the new prefix, exactly one may follow the last token of the prefix before it; two tokens may be
 neighbours if BPE, run over their joined bytes, leaves them apart. What words share is encoded once.
 
 Nulls count as the empty text; an empty text has no tokens, the hash of nothing and decodes to
-nothing. Repeated rows each get their row. Texts and pieces have no length limit.
+nothing. Repeated rows each get their row. Texts and pieces have no length limit. Columns other than the id, the text and those
+that `keep` names are not read.
 """
 
 from __future__ import annotations
@@ -102,20 +103,17 @@ class PrefixBpe:
     def encode_sorted(self, words: list[bytes]) -> Iterator[tuple[str, bytes]]:
         """Ids, joined by commas, of each of the distinct words, which come in byte order, and the bytes that the ids decode to."""
         token_at, neighbours, token_bytes = self.ends.get, self.neighbours, self.token_bytes
-        last, text, decoded, before = [-1], [""], [b""], b""
+        last, starts, before = [-1], [0], b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
             while shared < most and before[shared] == word[shared]:
                 shared += 1
-            del last[shared + 1 :], text[shared + 1 :], decoded[shared + 1 :]
+            del last[shared + 1 :], starts[shared + 1 :]
             for at in range(shared + 1, len(word) + 1):
                 start = at - 1
                 while (token := token_at(word[start:at])) is not None:
                     if token >= 0:
                         if not start:
-                            last.append(token)
-                            text.append(str(token))
-                            decoded.append(token_bytes[token])
                             break
                         key = last[start] << 20 | token
                         if (fits := neighbours.get(key)) is None:
@@ -123,12 +121,16 @@ class PrefixBpe:
                                 neighbours.clear()
                             fits = neighbours[key] = self.may_follow(last[start], token)
                         if fits:
-                            last.append(token)
-                            text.append(f"{text[start]},{token}")
-                            decoded.append(decoded[start] + token_bytes[token])
                             break
                     start -= 1
-            yield text[-1], decoded[-1]
+                last.append(token)
+                starts.append(start)
+            ids, at = [], len(word)
+            while at:
+                ids.append(last[at])
+                at = starts[at]
+            ids.reverse()
+            yield ",".join(map(str, ids)), b"".join([token_bytes[i] for i in ids])
             before = word
 
     def learn(self, pieces: set[str]) -> None:

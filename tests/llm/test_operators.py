@@ -237,6 +237,27 @@ def test_bpe_equals_the_library(spark):
     assert bpe.encode_documents(docs_of(spark, texts).limit(0), path).collect() == []
 
 
+def test_bpe_of_a_very_long_piece():
+    """A script without blanks makes one piece of a whole text; memory is in proportion to it."""
+    P = pytest.importorskip("public_tokenizers")
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    with open(path, "rb") as f:
+        coder = bpe.PrefixBpe(f.read())
+    rng = random.Random(3)
+    long = ["".join(rng.choice("abcdefgh") for _ in range(200_000)), "".join(chr(rng.randrange(0x4E00, 0x4E80)) for _ in range(60_000))]
+    tracemalloc.start()
+    got = coder.encode([long[0], long[1], long[0][:-1] + "é"])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lib = Tokenizer.from_file(path)
+    assert [ids for ids, _ in got[:2]] == [",".join(map(str, lib.encode(t, add_special_tokens=False).ids)) for t in long]
+    assert [d.decode() for _, d in got[:2]] == long and most < 500e6
+
+
 def test_bpe_forgets_beyond_its_bound(monkeypatch):
     P = pytest.importorskip("public_tokenizers")
     with open(P.path("byte_bpe_50k.json"), "rb") as f:
