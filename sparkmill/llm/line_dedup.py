@@ -9,9 +9,10 @@ many sites: its lines stand in one text.
 One copy of each boilerplate line stays: its first, in the row with the smallest id (then smallest
 text hash, then position). So nothing vanishes from the corpus altogether.
 
-Defined results: blank lines are neither counted nor removed. A null text stays null, with 0
+Defined results: lines are trimmed of blanks (U+0020) only, so a line of a tab or a carriage return is a line; blank lines are neither counted nor removed. A null text stays null, with 0
 lines; a null site counts as a site of its own. Rows that repeat both id and text keep or lose the
-same lines. A text whose lines all go becomes the empty text.
+same lines. A text whose lines all go becomes the empty text. Columns of any name pass through, but for n_lines and
+n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def line_key(line: Column) -> Column:
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """A row a line that isn't blank: doc_id, digest (of the text), site, pos, h, g."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(site_col), F.lit("\u0000")).alias("site"), F.xxhash64(text_col).alias("digest"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.when(F.col(site_col).isNull(), "none").otherwise(F.concat(F.lit("="), F.col(site_col))).alias("site"), F.xxhash64(text_col).alias("digest"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     key = line_key(F.col("line"))
     return rows.where(F.trim("line") != "").select("doc_id", "digest", "site", "pos", key.getField("h").alias("h"), key.getField("g").alias("g"))
 
@@ -66,17 +67,18 @@ def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = written(boilerplate(lines, least), "boilerplate")
     places = lines.join(found.select("h", "g", "first"), ["h", "g"])
     others = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("digest") != F.col("first.digest")) | (F.col("pos") != F.col("first.pos"))
-    gone = places.where(others).groupBy("doc_id", "digest").agg(F.collect_set("pos").alias("_gone"))
-    base = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "_gone")
-    joined = base.join(gone, ["_id", "_digest"], "left")
-    split = F.split(text_col, "\n")
-    kept = F.filter(split, lambda line, at: ~F.array_contains(F.col("_gone"), at))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    gone = places.where(others).groupBy(F.col("doc_id").alias("id"), "digest").agg(F.collect_set("pos").alias("gone"))
+    # the documents' own columns stay together, whatever their names
+    base = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    joined = base.join(gone, ["id", "digest"], "left")
+    own = F.col("row").getField(text_col)
+    split = F.split(own, "\n")
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")), lambda at: F.get(split, at))
+    text = F.when(F.col("gone").isNull(), own).otherwise(F.array_join(kept, "\n"))
+    columns = [(text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
     n_lines = F.coalesce(F.size(F.filter(split, lambda line: F.trim(line) != "")), F.lit(0)).cast("long")
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(n_lines)
-    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    n_lines = F.when(own.isNull(), F.lit(0).cast("long")).otherwise(n_lines)
+    return joined.select(*columns, n_lines.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def oracle_sql(least: int = LEAST_SITES) -> str:
