@@ -1,10 +1,11 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 The words of each source, its documents laid end to end in a pseudorandom order, are cut into blocks
-of a fixed number of words. The output is shards of slots; each shard's slots are dealt to sources in
-proportion to the targets, whole parts first and what is left by a multinomial draw. The n-th slot
-of a source takes block n of the source under a keyed permutation of its blocks (swap-or-not rounds, which
-permute any range exactly), once round for each pass over the source. Slots and blocks meet by a join
+of a fixed number of words. A source has as many output slots as its target asks for, and each slot falls on a shard by an even
+draw of its own: so the counts of a source over the shards are multinomial, given their total, and
+every source's total is its quota, whatever its size. The n-th slot
+of a source takes block n of the source under a keyed permutation of its blocks (a Feistel network on a grid
+just as large as the range, walked on until it is back in the range), once round for each pass over the source. Slots and blocks meet by a join
 on source and block index. No block is taken more than CAP times, so no document is either.
 
 Sources by code point, null last, weigh WEIGHTS in turn. Their targets share `share` of all words; a
@@ -12,7 +13,7 @@ target stops at CAP times its source's words and the rest goes to the others by
 
 Defined results: documents without words have size 0 and are never taken; a null source is a source
 of its own; all that is drawn hashes ids and a seed, so runs agree. Rows that repeat an id, text and
-source are laid out one after the other, each with its own words.
+source are laid out one after the other, each with its own words. Columns of any name may accompany the documents.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 from sparkmill.llm.common import WORD_PATTERN, written
 
-BLOCK_WORDS, ROUNDS = 32, 6
-#: A shard has SHARD_SLOTS slots, or more where there would be over MOST_SHARDS shards; a task makes about TASK_SLOTS slots.
-SHARD_SLOTS, MOST_SHARDS, TASK_SLOTS = 4096, 50_000, 100_000
+BLOCK_WORDS, ROUNDS = 32, 4
+#: Slots of a shard, about. Slots are made from stretches of slots, and those from long stretches, so that none comes of one task.
+SHARD_SLOTS, STRETCH, LONG_STRETCH = 4096, 4096, 2**24
+#: Slots that a task makes, about.
+TASK_SLOTS = 100_000
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
 #: Documents that are laid out in one task, about.
 RUN_DOCS = 4096
@@ -36,6 +39,11 @@ def word_count(text_col: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def named(source: Column) -> Column:
+    """A source's name, or that it has none."""
+    return F.when(source.isNull(), "none").otherwise(F.concat(F.lit("="), source))
+
+
 def unit(*parts: Column | str) -> Column:
     """A pseudorandom number in [0, 1) from what it hashes."""
     return F.shiftrightunsigned(F.xxhash64(*[F.lit(p) if isinstance(p, str) else p for p in parts]), 11) / F.lit(float(2**53))
@@ -95,55 +103,56 @@ def plan(sizes: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     )
 
 
+def dealt_slots(planned: DataFrame, seed: str, total: float) -> DataFrame:
+    """s, blocks, at, shard: a row for each slot of each source. A quota's fraction is one more slot with that probability."""
+    shards = max(1, math.ceil(total / SHARD_SLOTS))
+    whole = F.floor("quota")
+    rows = planned.select(named(F.col("source")).alias("s"), "blocks", "quota").where(F.col("quota") > 0)
+    rows = rows.withColumn("n", F.least(CAP * F.col("blocks"), whole + (unit("rest", F.lit(seed), F.col("s")) < F.col("quota") - whole).cast("long")).cast("long")).where("n > 0")
+    tasks = math.ceil(total / TASK_SLOTS) + 1
+    for size in (LONG_STRETCH, STRETCH):  # few small rows become many: they are dealt out before that
+        low, high = (F.lit(0), F.col("n")) if size == LONG_STRETCH else (F.col("low"), F.col("high"))
+        start = F.explode(F.sequence(low.cast("long"), high - 1, F.lit(size).cast("long")))
+        rows = rows.select("s", "blocks", "n", start.alias("low")) if size == LONG_STRETCH else rows.select("s", "blocks", "n", F.col("high").alias("end"), start.alias("low"))
+        end = F.col("n") if size == LONG_STRETCH else F.col("end")
+        rows = rows.select("s", "blocks", "n", "low", F.least(F.col("low") + size, end).alias("high")).repartition(tasks, "s", "low")
+    slots = rows.select("s", "blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("at"))
+    return slots.withColumn("shard", F.pmod(F.xxhash64(F.lit("shard"), F.lit(seed), "s", "at"), F.lit(shards)))
+
+
 def shard_counts(planned: DataFrame, seed: str, total: float) -> DataFrame:
-    """shard, source, n: how many of the shard's slots each source gets, and first, its number of slots in the shards before.
+    """shard, source, n: how many of the shard's slots each source has."""
+    counts = dealt_slots(planned, seed, total).groupBy("shard", "s").agg(F.count("*").alias("n"))
+    return counts.join(planned.select("source", named(F.col("source")).alias("s")), "s").select("shard", "source", "n")
+
+
+def slots(planned: DataFrame, seed: str, total: float) -> DataFrame:
+    """shard, at, s, block, lap: the block of its source that each output slot takes."""
+    rows = dealt_slots(planned, seed, total).withColumn("lap", F.floor(F.col("at") / F.col("blocks")).cast("int"))
+    rows = rows.select("shard", "at", "s", "lap", "blocks", F.pmod("at", "blocks").alias("x"), F.xxhash64(F.lit(seed), F.col("s"), F.col("lap")).alias("key"))
+    return rows.select("shard", "at", "s", permuted(F.col("x"), F.col("blocks"), F.col("key")).alias("block"), "lap")
 
-    A source's share of a shard has a whole part, which it gets, and a rest. The rests add up to the
-    slots left in the shard, each of which is drawn from the sources with the rests as probabilities. Where they
-    don't add up to a whole number, one more slot is drawn with what is over as probability, so that counts are expected to equal the quotas.
+
+def permuted(x: Column, n: Column, key: Column) -> Column:
+    """Where a keyed permutation of 0..n-1 takes x.
+
+    The grid has a columns and b rows, n cells at least and fewer than n + a. ROUNDS times a cell's column is
+    moved on by a hash of its row, and then its row by a hash of its column; both can be undone, so cells are permuted.
+    A cell beyond the range is permuted again until it is in it, which it is after as many steps as there are such cells at most.
     """
-    shards = max(1, min(MOST_SHARDS, math.ceil(total / SHARD_SLOTS)))
-    everything = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy(F.col("source").isNull(), F.encode("source", "UTF-8"))
-    shares = (
-        planned.where(F.col("quota") > 0)
-        .withColumn("shards", F.lit(shards))
-        .withColumn("share", F.col("quota") / F.col("shards"))
-        .withColumn("whole", F.floor("share"))
-        .withColumn("rest", F.col("share") - F.col("whole"))
-        .withColumn("rests", F.sum("rest").over(everything))
-        .withColumn("upto", F.sum("rest").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("from", F.col("upto") - F.col("rest"))
-    )
-    parts = shares.withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))))
-    parts = parts.withColumn("left", (F.floor("rests") + (unit("left", F.lit(seed), F.col("shard")) < F.col("rests") - F.floor("rests")).cast("int")).cast("int"))
-    # draws: one number a slot that is left; a source gets those that fall in its stretch of the rests
-    draws = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("left"))), lambda i: unit("draw", F.lit(seed), F.col("shard"), i) * F.col("rests"))
-    hits = F.size(F.filter(draws, lambda u: (u >= F.col("from")) & (u < F.col("upto"))))
-    drawn = F.when(F.col("left") >= 1, hits).otherwise(0)
-    counted = parts.withColumn("n", (F.col("whole") + drawn).cast("long"))
-    earlier = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("first", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("shard", "source", "blocks", "n", "first")
-
-
-def slots(counts: DataFrame, seed: str, total: float) -> DataFrame:
-    """shard, slot, source, block, lap: the block of its source that each output slot takes."""
-    # few small rows become many: they are dealt out before that
-    rows = counts.where(F.col("n") > 0).repartition(math.ceil(total / TASK_SLOTS) + 1, "shard", "source")
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    rows = rows.withColumn("at", F.col("first") + F.col("k")).where(F.col("at") < CAP * F.col("blocks"))
-    rows = rows.withColumn("lap", F.floor(F.col("at") / F.col("blocks")).cast("int")).withColumn("x", F.pmod("at", "blocks"))
-    key = F.concat_ws("|", F.lit(seed), F.coalesce("source", F.lit("\u0000")), "lap")
-    rows = rows.withColumn("key", F.xxhash64(key))
-
-    def turn(x: Column, r: Column) -> Column:
-        # x and its partner, k - x mod n, trade places if a bit that both share says so
-        partner = F.pmod(F.pmod(F.xxhash64(r, F.col("key")), F.col("blocks")) - x, F.col("blocks"))
-        chosen = F.transform(F.array(partner), lambda p: F.when(F.pmod(F.xxhash64(-r, F.col("key"), F.greatest(x, p)), F.lit(2)) == 1, p).otherwise(x))
-        return F.element_at(chosen, 1)
-
-    rows = rows.withColumn("x", F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.col("x"), turn))
-    return rows.select("shard", "k", "source", F.col("x").alias("block"), "lap")
+    a = F.ceil(F.sqrt(n))
+    b = F.ceil(n / a)
+
+    def moved(z: Column) -> Column:
+        column, row = F.pmod(z, a), F.floor(z / a)
+        for r in range(ROUNDS):
+            column = F.pmod(column + F.pmod(F.xxhash64(F.lit(2 * r), key, row), a), a)
+            row = F.pmod(row + F.pmod(F.xxhash64(F.lit(2 * r + 1), key, column), b), b)
+        return row * a + column
+
+    once = moved(x)
+    walk = F.aggregate(F.sequence(F.lit(0), (a * b - n).cast("int")), once, lambda z, _: F.when(z < n, z).otherwise(moved(z)))
+    return F.when(once < n, once).otherwise(walk)
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -152,11 +161,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     planned = written(plan(sizes, block_words), "mix-plan")
     total = planned.agg(F.sum("quota")).first()[0] or 0.0
-    return placed, planned, slots(shard_counts(planned, seed, total), seed, total)
+    return placed, planned, slots(planned, seed, total)
 
 
 def spans(placed: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Join documents and the output's slots by source and block: doc_id, start, size, block, shard, k, lap, from and words (within the document).
+    """Join documents and taken blocks by source and block: doc_id, digest, s, start, size, block, words (of the block within the document), and taken's other columns.
 
     Slots and blocks are dealt by source and block index, so a large source spreads over all tasks.
     """
@@ -164,27 +173,26 @@ def spans(placed: DataFrame, taken: DataFrame, block_words: int = BLOCK_WORDS) -
     parts = placed.where(F.col("size") > 0).withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block_words), last)))
     begin = F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0))
     end = F.least((F.col("block") + 1) * block_words - F.col("start"), F.col("size"))
-    parts = parts.select("doc_id", "digest", F.coalesce("source", F.lit("\u0000")).alias("s"), "start", "size", "block", begin.alias("from"), (end - begin).alias("words"))
-    chosen = taken.select(F.coalesce("source", F.lit("\u0000")).alias("s"), "block", "shard", "k", "lap")
+    parts = parts.select("doc_id", "digest", named(F.col("source")).alias("s"), "start", "size", "block", (end - begin).alias("words"))
     # both sides grow with the corpus, though slots come of a small table
-    return parts.hint("merge").join(chosen.hint("merge"), ["s", "block"])
+    return parts.hint("merge").join(taken.hint("merge"), ["s", "block"])
 
 
 def taken_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, size, source_size, target, taken for every row of docs."""
     placed, planned, chosen = mix(docs, id_col, text_col, source_col, seed, block_words)
     # a block that is taken twice counts twice: counting before the join keeps it narrow
-    times = chosen.groupBy("source", "block").agg(F.count("*").alias("times"))
-    got = spans(placed, times.select("source", "block", F.lit(0).alias("shard"), F.col("times").alias("k"), F.lit(0).alias("lap")), block_words)
-    got = got.groupBy("s", "doc_id", "start", "size").agg(F.sum(F.col("words") * F.col("k")).alias("taken"))
-    rows = placed.withColumn("s", F.coalesce("source", F.lit("\u0000"))).join(got, ["s", "doc_id", "start", "size"], "left")
-    named = planned.select(F.coalesce("source", F.lit("\u0000")).alias("s"), "source_size", "target")
-    return rows.join(named, "s", "left").select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    times = chosen.groupBy("s", "block").agg(F.count("*").alias("times"))
+    got = spans(placed, times, block_words)
+    got = got.groupBy("s", "doc_id", "start", "size").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows = placed.withColumn("s", named(F.col("source"))).join(got, ["s", "doc_id", "start", "size"], "left")
+    aims = planned.select(named(F.col("source")).alias("s"), "source_size", "target")
+    return rows.join(aims, "s", "left").select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def numbered(rows: DataFrame, keys: list[str], repeated: bool) -> DataFrame:
     """Rows that agree in keys get different numbers, so that each meets one other."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) if repeated else F.lit(1))
+    return rows.withColumn("number", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) if repeated else F.lit(1))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -194,21 +202,22 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks, joined by single spaces. Documents of which nothing is taken are left out.
     """
     placed, _, chosen = mix(docs, id_col, text_col, source_col, seed, block_words)
-    keys = ["_id", "_digest"]
-    narrow = placed.where("size > 0").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.coalesce("source", F.lit("\u0000")).alias("s"), "start", "size")
+    keys = ["id", "digest"]
+    narrow = placed.where("size > 0").select(F.col("doc_id").alias("id"), "digest", named(F.col("source")).alias("s"), "start", "size")
     repeated = not narrow.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1").isEmpty()
-    laps = spans(placed, chosen, block_words).groupBy("s", "start", "lap").agg(F.sort_array(F.collect_set("block")).alias("_blocks"), F.sum("words").alias("_words"))
-    laps = laps.groupBy("s", "start").agg(F.collect_list(F.struct("lap", "_blocks", "_words")).alias("_laps"))  # two at most
-    found = numbered(narrow, keys, repeated).hint("merge").join(laps.hint("merge"), ["s", "start"]).select(*keys, "_n", F.col("start").alias("_start"), F.col("size").alias("_size"), "_laps")
-    rows = docs.select("*", F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_digest"))
-    rows = numbered(rows, keys, repeated).hint("merge").join(found.hint("merge"), [*keys, "_n"]).withColumn("_lap", F.explode("_laps"))
-    words = F.regexp_extract_all(F.col(text_col), F.lit(f"({WORD_PATTERN})"), F.lit(1))
+    laps = spans(placed, chosen, block_words).groupBy("s", "start", "lap").agg(F.sort_array(F.collect_set("block")).alias("blocks"), F.sum("words").alias("words"))
+    laps = laps.groupBy("s", "start").agg(F.collect_list(F.struct("lap", "blocks", "words")).alias("laps"))  # two at most
+    found = numbered(narrow, keys, repeated).hint("merge").join(laps.hint("merge"), ["s", "start"]).select(*keys, "number", "start", "size", "laps")
+    # the documents' own columns stay together, whatever their names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))
+    rows = numbered(rows, keys, repeated).hint("merge").join(found.hint("merge"), [*keys, "number"]).withColumn("lap", F.explode("laps"))
+    own = F.col("row").getField(text_col)
+    words = F.regexp_extract_all(own, F.lit(f"({WORD_PATTERN})"), F.lit(1))
 
     def part(b: Column) -> Column:
-        begin = F.greatest(b * block_words - F.col("_start"), F.lit(0))
-        return F.slice(words, (begin + 1).cast("int"), ((b + 1) * block_words - F.col("_start") - begin).cast("int"))
+        begin = F.greatest(b * block_words - F.col("start"), F.lit(0))
+        return F.slice(words, (begin + 1).cast("int"), ((b + 1) * block_words - F.col("start") - begin).cast("int"))
 
-    some = F.array_join(F.flatten(F.transform(F.col("_lap._blocks"), part)), " ")
-    text = F.when(F.col("_lap._words") == F.col("_size"), F.col(text_col)).otherwise(some)
-    rows = rows.withColumn("_text", text)
-    return rows.select(*(F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    some = F.array_join(F.flatten(F.transform(F.col("lap.blocks"), part)), " ")
+    text = F.when(F.col("lap.words") == F.col("size"), own).otherwise(some)
+    return rows.select(*((text if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -144,6 +144,8 @@ def test_line_dedup_equals_brute_force(spark):
         want[i] = None if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if x.strip(" ") not in bad or first[x.strip(" ")] == (i, p))
     got = {r.doc_id: r.text for r in line_dedup.remove_boilerplate(df).collect()}
     assert got == want
+    odd = df.toDF("id", "gone", "row", "digest", "site", "pos", "h")
+    assert {r.id: r.gone for r in line_dedup.remove_boilerplate(odd, "id", "gone", "digest").collect()} == want
     assert line_dedup.remove_boilerplate(df.limit(0)).collect() == []
 
 
@@ -213,6 +215,27 @@ def test_mixed_documents_hold_the_words_taken(spark):
         assert set(own) <= set(by_id[r.doc_id].split())
         words[r.doc_id] += len(own)
     assert words == {k: v for k, v in taken.items() if v}
+    odd = df.toDF("id", "row", "digest", "s", "number", "lap", "laps")
+    rows = mixing.mixed_documents(odd, "id", "row", "s").collect()
+    assert rows and rows[0].__fields__ == odd.columns and {r.id for r in rows} == set(words)
+
+
+def test_mixing_knows_null_from_any_name(spark):
+    texts = ["a " * 64, "b " * 64, "c " * 64, "d " * 64]
+    got = mixing.taken_words(docs_of(spark, texts, sources=[None, "", "\u0000", "none"])).collect()
+    assert len(got) == 4 and {r.source_size for r in got} == {64}
+
+
+def test_mixing_permutes_each_source(spark):
+    planned = spark.createDataFrame([("a", 1001, 1700.0), (None, 7, 14.0), ("b", 1, 1.0)], "source string, blocks long, quota double")
+    rows = mixing.slots(planned, "mix", 1715.0).collect()
+    taken = defaultdict(list)
+    for r in rows:
+        taken[r.s, r.lap].append(r.block)
+    assert {k: len(v) for k, v in taken.items()} == {("=a", 0): 1001, ("=a", 1): 699, ("none", 0): 7, ("none", 1): 7, ("=b", 0): 1}
+    assert all(len(set(v)) == len(v) for v in taken.values()) and set(taken["=a", 0]) == set(range(1001))
+    order = [r.block for r in sorted((r for r in rows if r.s == "=a" and r.lap == 0), key=lambda r: r.at)]
+    assert abs(np.corrcoef(order[:-1], order[1:])[0, 1]) < 0.1 and abs(np.corrcoef(order, range(1001))[0, 1]) < 0.1
 
 
 # --- op9 --------------------------------------------------------------------------------------
