@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 
-from sparkmill.llm.common import slices, texts_of
+from sparkmill.llm.common import held, slices, texts_of
 
 # The pattern by which the byte-level pre-tokeniser cuts a text into pieces.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces that a worker remembers from one slice of its rows to the next.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 64
 
@@ -167,18 +168,6 @@ class PrefixBpe:
         return out
 
 
-_CODERS: dict[int, PrefixBpe] = {}
-
-
-def coder(raw: bytes) -> PrefixBpe:
-    """One coder a worker and vocabulary; workers are used again, so what it has learnt stays."""
-    key = hash(raw)
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = PrefixBpe(raw)
-    return _CODERS[key]
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Encode each whole text and decode it again.
 
@@ -191,7 +180,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     kept = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = coder(vocabulary.value)
+        bpe = held(("bpe", xxhash.xxh3_64_intdigest(vocabulary.value)), lambda: PrefixBpe(vocabulary.value))
         for batch in slices(batches, len(kept)):
             coded = bpe.encode(texts_of(batch.column(len(kept))))
             decoded = [d.decode("utf-8", "replace") for _, d in coded]

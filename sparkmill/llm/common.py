@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -73,6 +75,18 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int
                 yield batch.slice(start, end - start)
 
 
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], Any]) -> Any:
+    """What make returns, kept by the worker for its next tasks until something else is asked for: a worker holds one operator's model at a time."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [x or "" for x in column.to_pylist()]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import bytes_of, discard, slices, written
+from sparkmill.llm.common import bytes_of, discard, held, slices, written
 from sparkmill.llm.components import stars
 
 #: Words of an n-gram and the threshold, as a percentage.
@@ -100,8 +100,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("ngrams", dict)  # drops what other operators left
         keys, places = order.value
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, 1024):
             size, digest, parity, prefix = [], [], [], []
             for text in bytes_of(batch.column(1)):
                 s = shingles(text, n)

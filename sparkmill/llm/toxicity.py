@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import discard, slices, texts_of, written
+from sparkmill.llm.common import discard, held, slices, texts_of, written
 
 #: Bound of the labelled sample: distinct texts a class; those of them that the calibration scores again.
 SAMPLE_PER_CLASS, CALIBRATED_PER_CLASS = 1500, 300
@@ -49,7 +49,7 @@ NEIGHBOURS, LEAST_COSINE, BLOCK = 32, 0.3, 64
 BEST = 2
 THRESHOLD = 0.7
 #: Distinct passages whose evidence a worker keeps from one slice of rows to the next.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 _words = re.compile(r"\w+").findall
 
@@ -309,18 +309,6 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return bytes(sample.repartition(1).mapInArrow(build, "index binary").first()["index"])
 
 
-_SCORERS: dict[int, Scorer] = {}
-
-
-def scorer_of(index: bytes) -> Scorer:
-    """One scorer a worker and index; workers are used again, so what it has learnt stays."""
-    key = xxhash.xxh3_64_intdigest(index)
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(pickle.loads(index))
-    return _SCORERS[key]
-
-
 def score_documents(docs: DataFrame, index: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), extra: dict[str, Column] | None = None, threshold: float = THRESHOLD, names: tuple[str, str, str] = ("score", "predicted", "evidence")) -> DataFrame:
     """Returns id_col, keep's and extra's columns, and under names score, predicted, and evidence: the best passages with their nearest labelled texts, labels and cosines."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
@@ -330,7 +318,7 @@ def score_documents(docs: DataFrame, index: bytes, id_col: str = "doc_id", text_
     kind = pa.list_(pa.struct([("passage", pa.string()), ("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = scorer_of(shared.value)
+        scorer = held(("toxicity", xxhash.xxh3_64_intdigest(shared.value)), lambda: Scorer(pickle.loads(shared.value)))
         for batch in slices(batches, len(passed), 256):
             got = scorer.score(texts_of(batch.column(len(passed))))
             scores = [s for s, _ in got]
