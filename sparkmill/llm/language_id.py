@@ -14,16 +14,16 @@ labelled row at all every text does. Ties go to the language that comes first by
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import slices, texts_of
+from sparkmill.llm.common import held, slices, texts_of
 
 #: Bounds of the labelled sample and of a language's training string.
 SAMPLE_DOCS, SAMPLE_CHARS, TRAINING_CHARS = 200, 20_000, 40_000
@@ -31,10 +31,11 @@ SAMPLE_DOCS, SAMPLE_CHARS, TRAINING_CHARS = 200, 20_000, 40_000
 REMEMBERED = 400_000
 UNKNOWN = "und"
 
-_letters = re.compile(r"[^\W\d_]+").findall
+_letters = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
 
 
 def words_of(text: str) -> list[str]:
+    """Runs of letters, by Unicode category, with the marks on them."""
     return _letters(text.lower())
 
 
@@ -113,26 +114,17 @@ class CrossParser:
         return out
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
-def parser(training: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(training.items())))
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(training)
-    return _PARSERS[key]
-
-
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> dict[str, str]:
-    """Training strings by language, from at most sample_docs texts a language of at most SAMPLE_CHARS characters.
+    """Training strings by language, from at most sample_docs texts a language.
 
-    Which texts: those whose ids hash lowest. The row limit is applied before the shuffle, so what
-    reaches the driver is bounded by languages x sample_docs x SAMPLE_CHARS.
+    Which texts: those whose ids hash lowest; of a long one, the words of one stretch of SAMPLE_CHARS characters, which starts
+    where its hash says. The row limit is applied before the shuffle, so what reaches the driver is bounded by languages x sample_docs x SAMPLE_CHARS.
     """
+    room = F.greatest(F.length(text_col) - SAMPLE_CHARS, F.lit(0)) + 1
+    stretch = F.substr(F.col(text_col), (F.pmod(F.xxhash64(F.lit("stretch"), F.col(id_col)), room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
     ranked = (
-        labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-        .where(F.col("lang").isNotNull() & (F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
+        labelled.select(F.col(lang_col).alias("lang"), stretch.alias("text"), F.xxhash64(id_col, text_col).alias("h"))
+        .where(F.col("lang").isNotNull() & (F.length("text") > 0))
         .withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
         .where(F.col("k") <= sample_docs)
         .select("lang", "text")
@@ -160,7 +152,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     rows = docs.select(id_col, *(c.alias(k) for k, c in (extra or {}).items()), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = parser(shared.value)
+        p = held(("language", hash(tuple(sorted(shared.value.items())))), lambda: CrossParser(shared.value))
         for batch in slices(batches, len(names)):
             got = p.parse(texts_of(batch.column(len(names))))
             columns = [batch.column(k) for k in range(len(names))]
