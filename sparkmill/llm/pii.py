@@ -2,7 +2,7 @@
 
 One pattern finds all kinds of entities; a text is split at them, and each is replaced by a
 surrogate of its kind: digits by digits, letters by letters of their script and case, hexadecimal by
-hexadecimal; numbers with a valid check digit get a valid one; addresses keep their shape, telephone numbers their
+hexadecimal; cards with a valid check digit get a valid one, and IBANs valid check digits; addresses keep their shape, telephone numbers their
 country code, e-mail addresses their top-level domain; first names after a title become names of that
 title's gender. What replaces what is drawn from SHA-2 over a key, the kind, and the entity without its punctuation
 and case, so an entity has one surrogate wherever and however it is written.
@@ -47,6 +47,9 @@ NAMES = {
 }
 # First letter and count of the letters of a script and case, as code points.
 SCRIPTS = {"latin": (0x61, 26, 0x41, 26), "greek": (0x3B1, 25, 0x391, 17), "cyrillic": (0x430, 32, 0x410, 32)}
+# Telephone country codes of one and two digits; others have three.
+SHORT_CODES = ["1", "7"]
+MIDDLE_CODES = ["20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"]
 KEY = "sparkmill"
 #: Draws in an entity's own length, and draws at all.
 MOST_ROUNDS, LAST_ROUND = 8, 40
@@ -101,6 +104,22 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, v: a + v)
 
 
+def iban_checked(iban: Column) -> Column:
+    """iban with the check digits, its third and fourth, that make it valid: 98 less the remainder by 97 of the rest, letters counting from 10 on."""
+    bare = F.regexp_replace(iban, " ", "")
+    turned = F.concat(F.substr(bare, F.lit(5)), F.substring(bare, 1, 2), F.lit("00"))
+    value = lambda c: F.when(c.rlike("^[0-9]$"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.transform(F.split(turned, ""), value), F.lit(0), lambda r, v: (F.when(v > 9, r * 100 + v).otherwise(r * 10 + v) % 97).cast("int"))
+    return F.concat(F.substring(iban, 1, 2), F.lpad((98 - rest).cast("string"), 2, "0"), F.substr(iban, F.lit(5)))
+
+
+def country_length(phone: Column) -> Column:
+    """How many characters of a telephone number its plus sign and country code are, by its digits alone, however it is punctuated."""
+    digits = F.regexp_replace(phone, "[^0-9]", "")
+    length = F.when(F.substring(digits, 1, 1).isin(SHORT_CODES), 1).when(F.substring(digits, 1, 2).isin(MIDDLE_CODES), 2).otherwise(3)
+    return F.when(length == 1, F.length(F.regexp_extract(phone, r"^\+\d", 0))).when(length == 2, F.length(F.regexp_extract(phone, r"^\+\d[^0-9]*\d", 0))).otherwise(F.length(F.regexp_extract(phone, r"^\+\d[^0-9]*\d[^0-9]*\d", 0)))
+
+
 def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) -> Column:
     of = canonical(kind, entity)
     draw = lambda keep, what=entity: redrawn(key, kind, what, of, attempt, keep)
@@ -115,9 +134,9 @@ def surrogate(kind: Column, entity: Column, attempt: Column, key: str = KEY) ->
     more = F.when(attempt < MOST_ROUNDS, "").otherwise(F.array_join(F.transform(F.sequence(F.lit(MOST_ROUNDS), F.greatest(attempt, F.lit(MOST_ROUNDS))), letter), ""))
     out = F.when(kind == "email", F.concat(more, draw(F.lit(0), head), top)).when(kind == "secret", F.concat(draw(F.lit(0)), more))
     out = out.when(kind == "ipv4", F.concat_ws(".", *[octet(i) for i in range(4)]))
-    out = out.when(kind == "access_key", draw(F.lit(4))).when(kind == "iban", draw(F.lit(2)))
+    out = out.when(kind == "access_key", draw(F.lit(4))).when(kind == "iban", iban_checked(draw(F.lit(2))))
     out = out.when((kind == "card") & valid, fixed).when(kind == "card", drawn)
-    out = out.when(kind == "phone", draw(F.length(F.regexp_extract(entity, r"^\+\d{1,3}(?=[ .\-(])|^\+\d", 0))))
+    out = out.when(kind == "phone", draw(country_length(entity)))
     for name, names in NAMES.items():
         listed = F.array(*map(F.lit, names))
         parts = F.transform(F.sequence(F.lit(0), attempt), lambda i: F.element_at(listed, (number(key, kind, of, attempt, i) % len(names) + 1).cast("int")))  # noqa: B023

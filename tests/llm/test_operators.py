@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -420,6 +421,10 @@ def test_toxicity_scores(spark):
     assert toxicity.score_documents(df.limit(0), index).collect() == []
 
 
+def test_letters_are_told_by_category():
+    assert language_id.words_of("½ ² ٣ _ 4 ") == [] and language_id.words_of("Ab1é e\u0301x") == ["ab", "é", "e\u0301x"]
+
+
 def test_cross_parsing_counts_longest_matches():
     text = " abracadabra "
     a = language_id.SuffixAutomaton(text)
@@ -528,6 +533,18 @@ def test_pii_surrogates(spark):
     assert pii.replace_entities(df.limit(0)).collect() == []
 
 
+def test_pii_punctuation_and_check_digits(spark):
+    texts = ["+49 170 1234567 or +491701234567 or +49(170)1234567", "+1 212 555 0100 and +12125550100", "+353 86 123 4567, +353861234567", "pay DE16 0110 1650 7255 4349 22 or DE16011016507255434922"]
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs_of(spark, texts)).collect()}
+    digits = lambda t: {"".join(c for c in x if c.isalnum()) for x in re.findall(r"\+[\d ()]+\d", t)}
+    for k, code in ((0, "49"), (1, "1"), (2, "353")):
+        assert len(digits(got[k])) == 1 and digits(got[k]) != digits(texts[k]) and min(digits(got[k])).startswith(code)
+    ibans = {x.replace(" ", "") for x in re.findall(r"DE[\d ]+\d", got[3])}
+    assert len(ibans) == 1
+    iban = min(ibans)
+    assert iban != "DE16011016507255434922" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
 def test_pii_clashes_are_drawn_again(spark, monkeypatch):
     from pyspark.sql import functions as F
 
