@@ -27,8 +27,8 @@ from sparkmill.llm.common import held, slices, texts_of
 # The pattern by which the byte-level pre-tokeniser cuts a text into pieces.
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-#: Pieces that a worker remembers from one slice of its rows to the next.
-REMEMBERED = 300_000
+#: Pieces, and pairs of neighbouring tokens, that a worker remembers from one slice of its rows to the next.
+REMEMBERED = 200_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 64
 
@@ -72,7 +72,7 @@ class PrefixBpe:
         self.neighbours: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
+        self.written = {str(i): b for i, b in self.token_bytes.items()}
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The symbols at the token's right (1) or left (0) end, innermost first, each with the rank that absorbs it."""
@@ -101,9 +101,9 @@ class PrefixBpe:
             else:
                 j += 1
 
-    def encode_sorted(self, words: list[bytes]) -> Iterator[tuple[str, bytes]]:
-        """Ids, joined by commas, of each of the distinct words, which come in byte order, and the bytes that the ids decode to."""
-        token_at, neighbours, token_bytes = self.ends.get, self.neighbours, self.token_bytes
+    def encode_sorted(self, words: list[bytes]) -> Iterator[str]:
+        """Ids, joined by commas, of each of the distinct words, which come in byte order."""
+        token_at, neighbours = self.ends.get, self.neighbours
         last, starts, before = [-1], [0], b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
@@ -118,7 +118,7 @@ class PrefixBpe:
                             break
                         key = last[start] << 20 | token
                         if (fits := neighbours.get(key)) is None:
-                            if len(neighbours) > 1_000_000:
+                            if len(neighbours) > REMEMBERED:
                                 neighbours.clear()
                             fits = neighbours[key] = self.may_follow(last[start], token)
                         if fits:
@@ -131,21 +131,23 @@ class PrefixBpe:
                 ids.append(last[at])
                 at = starts[at]
             ids.reverse()
-            yield ",".join(map(str, ids)), b"".join([token_bytes[i] for i in ids])
+            yield ",".join(map(str, ids))
             before = word
 
     def learn(self, pieces: set[str]) -> None:
         new = sorted([(p.encode(), p) for p in pieces])
-        for (_, piece), (ids, decoded) in zip(new, self.encode_sorted([b for b, _ in new]), strict=True):
+        for (_, piece), ids in zip(new, self.encode_sorted([b for b, _ in new]), strict=True):
             self.ids[piece] = ids
-            self.decoded[piece] = decoded
+
+    def decode(self, ids: str) -> bytes:
+        return b"".join(map(self.written.__getitem__, ids.split(","))) if ids else b""
 
     def forget(self, pieces: set[str]) -> None:
         """Drop what goes beyond the bound: the pieces met first, most of them frequent, stay."""
         room = len(self.ids) - REMEMBERED
         for p in pieces:
             if room > 0 or len(p) > REMEMBERED_CHARS:
-                del self.ids[p], self.decoded[p]
+                del self.ids[p]
                 room -= 1
 
     def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
@@ -160,10 +162,10 @@ class PrefixBpe:
                     wanted.update(part)
         new = wanted.difference(self.ids)
         self.learn(new)
-        ids_of, decoded_of, out = self.ids.__getitem__, self.decoded.__getitem__, []
+        ids_of, out = self.ids.__getitem__, []
         for parts in split:
-            ids = [str(x) if isinstance(x, int) else ",".join(map(ids_of, x)) for x in parts]
-            out.append((",".join(ids), b"".join([self.token_bytes[x] if isinstance(x, int) else b"".join(map(decoded_of, x)) for x in parts])))
+            ids = ",".join([str(x) if isinstance(x, int) else ",".join(map(ids_of, x)) for x in parts])
+            out.append((ids, self.decode(ids)))
         self.forget(new)
         return out
 
@@ -181,7 +183,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(("bpe", xxhash.xxh3_64_intdigest(vocabulary.value)), lambda: PrefixBpe(vocabulary.value))
-        for batch in slices(batches, len(kept)):
+        for batch in slices(batches, len(kept), 256):
             coded = bpe.encode(texts_of(batch.column(len(kept))))
             decoded = [d.decode("utf-8", "replace") for _, d in coded]
             columns = [batch.column(k) for k in range(len(kept))]

@@ -50,6 +50,8 @@ BEST = 2
 THRESHOLD = 0.7
 #: Distinct passages whose evidence a worker keeps from one slice of rows to the next.
 REMEMBERED = 150_000
+#: Passages whose neighbours are looked up at once.
+LOOKED_UP = 2000
 
 _words = re.compile(r"\w+").findall
 
@@ -77,15 +79,15 @@ class PassageIndex:
     def __init__(self, examples: list[tuple[int, set[str], int]], rate: float, least_texts: int = 2):
         self.rate = rate
         self.totals = [sum(1 for *_, y in examples if y == k) for k in (0, 1)]
-        held: tuple[dict[str, int], dict[str, int]] = ({}, {})
         counts = (Counter(), Counter())
-        for i, passages, y in examples:
+        for _, passages, y in examples:
             counts[y].update(passages)
-            for p in passages:
-                held[y].setdefault(p, i)
         self.passages = sorted(p for p in counts[0].keys() | counts[1].keys() if counts[0][p] + counts[1][p] >= least_texts)
         self.texts = np.array([[counts[y][p] for p in self.passages] for y in (0, 1)], np.float64).reshape(2, -1)
-        self.example = np.array([[held[y].get(p, 0) for p in self.passages] for y in (0, 1)], np.int64).reshape(2, -1)
+        del counts
+        self.example, places = np.zeros(self.texts.shape, np.int64), self.where()
+        for i, passages, y in reversed(examples):
+            self.example[y][[places[p] for p in passages if p in places]] = i
         df = Counter(t for p in self.passages for t in terms_of(p))
         self.terms = {t: k for k, t in enumerate(df)}
         self.idf = np.log((1 + len(self.passages)) / (1 + np.fromiter(df.values(), np.float64, len(df)))) + 1
@@ -172,7 +174,9 @@ class PassageIndex:
         places, numbers = self.where(), {}
         chosen = [e for y in (0, 1) for e in [e for e in examples if e[2] == y][:per_class]]
         of = [np.array([numbers.setdefault(k, len(numbers)) for k in sorted(keys_of(passages, places))], np.int64) for _, passages, _ in chosen]
-        query, place, cosine = self.nearest(list(numbers))
+        keys = list(numbers)
+        found = [(at, self.nearest(keys[at : at + LOOKED_UP])) for at in range(0, len(keys), LOOKED_UP)]
+        query, place, cosine = (np.concatenate(x) for x in zip(*((q + at, p, c) for at, (q, p, c) in found), strict=True))
         first = np.searchsorted(query, np.arange(len(numbers) + 1))
         xs, held = [], np.zeros(len(self.passages))
         for (_, passages, y), own in zip(chosen, of, strict=True):
@@ -246,14 +250,14 @@ class Scorer:
             self.known.clear()
         split = [keys_of(passages_of(t), self.places) for t in texts]
         new = sorted(set().union(*split).difference(self.known))
-        for at in range(0, len(new), 2000):
-            self.learn(new[at : at + 2000])
+        for at in range(0, len(new), LOOKED_UP):
+            self.learn(new[at : at + LOOKED_UP])
         value = self.known.__getitem__
         best = [sorted([(-e, w) for w, e in zip(keys, map(value, keys), strict=True) if e])[:BEST] for keys in split]
         wanted = sorted({w for b in best for _, w in b})
         reasons: dict[str, list[dict]] = {}
-        for at in range(0, len(wanted), 2000):
-            reasons |= self.reasons(wanted[at : at + 2000])
+        for at in range(0, len(wanted), LOOKED_UP):
+            reasons |= self.reasons(wanted[at : at + LOOKED_UP])
         return [(self.index.probability([-e for e, _ in b]), [r for _, w in b for r in reasons[w]]) for b in best]
 
 
@@ -300,7 +304,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples: dict[tuple, tuple] = {}  # rows that repeat an id and text are one example
-        for batch in batches:
+        for batch in slices(batches, rows=32):
             for i, h, y, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 examples[h, y] = (i, set(map(sys.intern, own)), y)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build_index([examples[k] for k in sorted(examples)], rate))], pa.binary())], names=["index"])
