@@ -28,7 +28,7 @@ from sparkmill.llm.common import held, slices, texts_of
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces, and pairs of neighbouring tokens, that a worker remembers from one slice of its rows to the next.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 64
 
@@ -77,6 +77,8 @@ class PrefixBpe:
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The symbols at the token's right (1) or left (0) end, innermost first, each with the rank that absorbs it."""
         if (token, side) not in self.edges:
+            if len(self.edges) > REMEMBERED // 4:
+                self.edges.clear()
             chain, absorbed = [(token, float("inf"))], token
             while absorbed in self.halves:
                 rank = self.halves[absorbed][2]
@@ -183,7 +185,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(("bpe", xxhash.xxh3_64_intdigest(vocabulary.value)), lambda: PrefixBpe(vocabulary.value))
-        for batch in slices(batches, len(kept), 256):
+        for batch in slices(batches, len(kept), 256, 1_000_000):
             coded = bpe.encode(texts_of(batch.column(len(kept))))
             decoded = [d.decode("utf-8", "replace") for _, d in coded]
             columns = [batch.column(k) for k in range(len(kept))]

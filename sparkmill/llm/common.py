@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import re
@@ -57,15 +59,15 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(parts)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Cut batches into slices of so many rows and, where text is a text column's place, of SLICE_BYTES; a longer text comes alone."""
+def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches into slices of so many rows and, where text is a text column's place, of `most` bytes; a longer text comes alone."""
     for batch in batches:
         if text is None:
             cuts = [*range(0, batch.num_rows, rows), batch.num_rows]
         else:
             cuts, held = [0], 0
             for at, size in enumerate(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()):
-                if at > cuts[-1] and (at - cuts[-1] >= rows or held + size > SLICE_BYTES):
+                if at > cuts[-1] and (at - cuts[-1] >= rows or held + size > most):
                     cuts.append(at)
                     held = 0
                 held += size
@@ -73,6 +75,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = None, rows: int
         for start, end in zip(cuts, cuts[1:]):
             if end > start:
                 yield batch.slice(start, end - start)
+        del batch
+        pa.default_memory_pool().release_unused()
 
 
 _HELD: dict = {}
@@ -83,6 +87,8 @@ def held(key: object, make: Callable[[], Any]) -> Any:
     if key not in _HELD:
         _HELD.clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library can, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
         _HELD[key] = make()
     return _HELD[key]
 

@@ -323,7 +323,7 @@ def score_documents(docs: DataFrame, index: bytes, id_col: str = "doc_id", text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held(("toxicity", xxhash.xxh3_64_intdigest(shared.value)), lambda: Scorer(pickle.loads(shared.value)))
-        for batch in slices(batches, len(passed), 256):
+        for batch in slices(batches, len(passed), 256, 2_000_000):
             got = scorer.score(texts_of(batch.column(len(passed))))
             scores = [s for s, _ in got]
             columns = [batch.column(k) for k in range(len(passed))]
