@@ -42,20 +42,6 @@ def mean_std_display(s, d):
     return grid(s, d).groupBy("model_name").agg(F.format_string("%.3f ± %.3f", F.avg("token_f1"), F.stddev_samp("token_f1")).alias("shown"))
 
 
-SUPPORT = "round(0.55 * {a} + 0.45 * {q}, 6)"
-
-
-@query("context_support", f"""WITH t AS (SELECT a.conv_id, a.turn, {TOK3.format(x='a.text')} AS c, {TOK3.format(x='b.text')} AS q FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1),
-j AS (SELECT conv_id, turn, len(c) AS n, CASE WHEN len(list_distinct(list_concat(c, q))) = 0 THEN 0 ELSE len(list_intersect(list_distinct(c), list_distinct(q)))::DOUBLE / len(list_distinct(list_concat(c, q))) END AS x FROM t)
-SELECT conv_id, turn, round(x * CASE WHEN n < 10 THEN 0.5 ELSE 1.0 END, 6) AS support, CASE WHEN x >= 0.2 THEN 'fresh' WHEN n < 10 THEN 'stored' ELSE 'blend' END AS choice FROM j""")
-def context_support(s, d):
-    t = table(s, d, "conversations")
-    b = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("q"))
-    r = t.join(b, ["conv_id", "turn"]).select("conv_id", "turn", T.tokens(F.col("text"), 3).alias("c"), T.tokens(F.col("q"), 3).alias("q"))
-    x, n = T.jaccard(F.col("c"), F.col("q")), F.size("c")
-    return r.select("conv_id", "turn", F.round(x * F.when(n < 10, 0.5).otherwise(1.0), 6).alias("support"), F.when(x >= 0.2, "fresh").when(n < 10, "stored").otherwise("blend").alias("choice"))
-
-
 @query("energy_counter", """WITH e AS (SELECT user_id, event_id, ts, round(value * 1000)::BIGINT AS mj, lag(round(value * 1000)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS elapsed FROM events)
 SELECT user_id, event_id, round(CASE WHEN mj >= before THEN (mj - before) / 1000.0::DOUBLE ELSE 70.0::DOUBLE * elapsed END, 6) AS joules, mj < before AS wrapped FROM e WHERE before IS NOT NULL""")
 def energy_counter(s, d):

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from sparkmill.functions import text as T
 from sparkmill.operators import corpus, jobs, models, retrieval, stats
 import sparkmill.plans.evaluation  # noqa: F401
+import sparkmill.plans.scoring  # noqa: F401
 from sparkmill.plans.queries import QUERIES, SQL
 from sparkmill.sources import files, sinks
 from sparkmill.streaming import events
