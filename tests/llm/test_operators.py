@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -605,7 +606,7 @@ def test_texts_unlike_the_template_stay(spark):
     plain = "<body><div><p>Welcome to the site</p></div><section>Story {k}</section></body>"
     rare = "<body><div><p>Welcome to the site</p><p>A whole story in the rarer layout {k}</p></div></body>"
     sample = [plain.format(k=k) for k in range(8)]
-    wrapper = html_extract.infer(sample)
+    wrapper = html_extract.Wrapper(html_extract.infer(sample))
     assert [html_extract.extract(p, wrapper) for p in sample] == [f"Story {k}" for k in range(8)]
     assert html_extract.extract(rare.format(k=9), wrapper) == "A whole story in the rarer layout 9"
     rows = [(k, f"http://big.example/{k}", (rare if k % 50 == 7 else plain).format(k=k)) for k in range(200)]
@@ -616,7 +617,51 @@ def test_texts_unlike_the_template_stay(spark):
 
 def test_wrapper_has_optional_and_repeated_groups():
     w = html_extract.infer(["<body><article><p>a</p><p>b</p></article></body>", "<body><article><h1>t</h1><p>c</p></article></body>"])
-    assert "}+" in w["expression"] and "}?" in w["expression"] and all(w["main"].values())
+    assert "}+" in w["expression"] and "}?" in w["expression"]
+
+
+def test_places_of_the_expression_tell_template_from_text():
+    """Both paragraphs are in the same containers: only their groups part the notice from the story."""
+    page = "<body><div><p>{n}</p></div><hr><div><p>Story {k}</p></div></body>"
+    sample = [page.format(n="Mind the notice", k=k) for k in range(6)]
+    wrapper = html_extract.Wrapper(html_extract.infer(sample))
+    assert [html_extract.extract(p, wrapper) for p in sample] == [f"Story {k}" for k in range(6)]
+    assert html_extract.extract(page.format(n="Another", k=9), wrapper) == "Another Story 9"
+    assert html_extract.extract("<body><div><p>Mind the notice</p></div><hr><div><p>Mind the notice</p></div></body>", wrapper) == "Mind the notice"
+    copies = html_extract.Wrapper(html_extract.infer(["<body><p>One text</p></body>"] * 6))
+    assert html_extract.extract("<body><p>One text</p></body>", copies) == "One text"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='layout has-sidebar'><article><p>Kept</p><div class=sidebar>no</div></article></div></body>",
+        "<body><div class='sidebar-left'><main><p>Kept</p></main></div><div class=sidebar>no</div></body>",
+        "<body><form action=x><main><p>Kept</p><form>no</form></main></form></body>",
+        "<body><div class='with-sidebar'><p>Kept</p></div><div class=sidebar>no</div></body>",
+        "<body><article><p>Kept</p></article><section class=comments><article>no</article></section></body>",
+        "<body><aside><article>no</article></aside><p>Kept</p></body>",
+        "<body><main><p title=\"5>4\" lang='x>y'>Kept</p></main></body>",
+        "<body><main><p title='x>Kept</p></main>",
+    ],
+)
+def test_articles_outrank_class_names(page):
+    assert html_extract.extract(page, None) == "Kept"
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!x ", "<a '", "<div>x", "<span class=ad>x", "<div><section>x", "</div>x", "<a title= "])
+def test_long_broken_pages_take_time_in_proportion(piece):
+    start = time.perf_counter()
+    html_extract.extract(piece * 20_000, None)
+    assert time.perf_counter() - start < 5
+
+
+def test_salted_wrappers_give_the_same(spark, monkeypatch):
+    page = "<body><div><p>Notice</p></div><section>Story {k}</section></body>"
+    df = spark.createDataFrame([(k, f"http://h{k % 2}.example/", page.format(k=k), 1) for k in range(40)] + [(50, None, None, 1)], "page_id long, url string, html string, salt int")
+    whole = sorted(html_extract.extract_pages(df).collect())
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", -1)
+    assert sorted(html_extract.extract_pages(df).collect()) == whole and whole[3].text == "Story 3"
 
 
 # --- pipeline ---------------------------------------------------------------------------------
