@@ -3,8 +3,10 @@
 Rotations are learnt on a bounded sample: each starts from a random rotation of the centred sample's
 principal axes and alternates between the signs of the rotated sample and the rotation that best
 turns the sample into those signs (an orthogonal Procrustes problem). The signs are a balanced
-binary code. The codes' substrings of CHUNK_BITS bits are the Hamming tables: vectors that agree in one
-substring meet, and their cosine is computed in double precision from the vectors themselves.
+binary code. The codes' substrings are the Hamming tables: vectors that agree in one
+substring meet, and their cosine is computed in double precision from the vectors themselves. Substrings grow with the
+logarithm of the table, so that a bucket holds some BUCKET_ROWS vectors at any size, and tables are added as longer
+substrings agree less often; short vectors get more rotations to fill them.
 
 Equal vectors are one class from the start, with a count. A bucket of a table may be large: its rows
 are dealt to blocks, and each pair of blocks is a task of its own, which returns a row for each of its
@@ -18,6 +20,7 @@ A repeated id is a vector for each of its rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +34,20 @@ from sparkmill.llm.components import stars
 LEAST_COSINE = 0.95
 #: Bound of the sample that the rotations are learnt on.
 SAMPLE_ROWS = 4000
-ROTATIONS, CHUNK_BITS, ITERATIONS = 4, 16, 30
+TABLES, LEAST_CHUNK_BITS, ITERATIONS = 16, 16, 30
+#: Vectors of a bucket, on average, from which substrings get longer; and the chance that a bit of two vectors at the least cosine agrees, by their angle.
+BUCKET_ROWS, AGREEING = 64, 0.9
 #: Vectors of a bucket that one task compares with as many others.
 BLOCK_ROWS = 1024
 
 
-def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, iterations: int = ITERATIONS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def tables_for(rows: int) -> tuple[int, int]:
+    """Bits of a substring, and tables, for so many vectors."""
+    bits = max(LEAST_CHUNK_BITS, math.ceil(math.log2(max(rows, 1) / BUCKET_ROWS)))
+    return bits, math.ceil(TABLES * AGREEING ** (LEAST_CHUNK_BITS - bits))
+
+
+def learn_rotations(x: np.ndarray, rotations: int, iterations: int = ITERATIONS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """Mean of the sample, and one matrix a rotation that turns a centred vector into what its code is the sign of."""
     mean = x.mean(0)
     centred = x - mean
@@ -54,13 +65,11 @@ def learn_rotations(x: np.ndarray, rotations: int = ROTATIONS, iterations: int =
     return mean, np.stack(out)
 
 
-def codes_of(x: np.ndarray, mean: np.ndarray, rotations: np.ndarray) -> np.ndarray:
-    """Substrings of the codes: a column of CHUNK_BITS bits a table. Codes are padded with zeros to whole substrings."""
-    bits = np.concatenate([(x - mean) @ r >= 0 for r in rotations], 1)
-    short = -bits.shape[1] % CHUNK_BITS
-    bits = np.pad(bits, ((0, 0), (0, short)))
-    powers = 1 << np.arange(CHUNK_BITS, dtype=np.int64)
-    return bits.reshape(len(x), -1, CHUNK_BITS) @ powers
+def codes_of(x: np.ndarray, mean: np.ndarray, rotations: np.ndarray, chunk_bits: int, tables: int) -> np.ndarray:
+    """Substrings of the codes: a column of chunk_bits bits a table. The rotations' bits suffice for all tables; those beyond are left out."""
+    bits = np.concatenate([(x - mean) @ r >= 0 for r in rotations], 1)[:, : chunk_bits * tables]
+    powers = 1 << np.arange(chunk_bits, dtype=np.int64)
+    return bits.reshape(len(x), tables, chunk_bits) @ powers
 
 
 def usable(column: str):
@@ -148,8 +157,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     good = rows.where(usable("v")).select("vec_id", F.transform("v", lambda c: c.cast("double") + F.lit(0.0)).alias("v"))
     classes = written(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("v")), "vector-classes")
-    dims = [r.dim for r in classes.groupBy("dim").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "dim").collect()]
-    parts = [_found(classes.where(F.col("dim") == d), d, least, sample_rows) for d in dims]
+    dims = classes.groupBy("dim").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "dim").collect()
+    parts = [_found(classes.where(F.col("dim") == r.dim), r.dim, r.k, least, sample_rows) for r in dims]
     none = rows.sparkSession.createDataFrame([], "rep long, links long, root long")
     found = none
     for p in parts:
@@ -168,14 +177,15 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     return member.union(bad).select(F.col("vec_id").alias(id_col), "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
 
 
-def _found(classes: DataFrame, dim: int, least: float, sample_rows: int) -> DataFrame:
+def _found(classes: DataFrame, dim: int, count: int, least: float, sample_rows: int) -> DataFrame:
     """rep, links, root: for the classes of one vector length."""
     spark = classes.sparkSession
     sample = [r.v for r in classes.orderBy(F.xxhash64("v"), "rep").limit(sample_rows).select("v").collect()]
     x = np.array(sample, np.float64).reshape(len(sample), dim)
     peak = np.abs(x).max(1, keepdims=True)
     x = x / peak
-    model = spark.sparkContext.broadcast(learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True)))
+    bits, tables = tables_for(count)
+    model = spark.sparkContext.broadcast(learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), math.ceil(bits * tables / dim)))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mean, rotations = model.value
@@ -185,7 +195,7 @@ def _found(classes: DataFrame, dim: int, least: float, sample_rows: int) -> Data
             v = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, dim)
             v = v / np.abs(v).max(1, keepdims=True)
             v = v / np.linalg.norm(v, axis=1, keepdims=True)
-            c = codes_of(v, mean, rotations)
+            c = codes_of(v, mean, rotations, bits, tables)
             wide = pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, dim), pa.int32()), pa.array(v.ravel()))
             chunks = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, c.shape[1]), pa.int32()), pa.array(c.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), wide, chunks], names=["rep", "copies", "unit", "codes"])

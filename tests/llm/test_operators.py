@@ -319,6 +319,22 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch):
     assert embedding_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("dim", [16, 64, 768])
+@pytest.mark.parametrize("rows", [1000, 10**9])
+def test_tables_find_pairs_at_the_least_cosine(dim, rows):
+    """Pairs at cosine 0.95 exactly, by codes as they would be for so many rows."""
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((1500, dim)))
+    aside = rng.standard_normal((1500, dim))
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * unit(aside - (aside * x).sum(1, keepdims=True) * x)
+    bits, tables = embedding_dedup.tables_for(rows)
+    assert bits == (16 if rows == 1000 else 24) and rows / 2**bits <= embedding_dedup.BUCKET_ROWS
+    model = embedding_dedup.learn_rotations(x, -(-bits * tables // dim), iterations=5)
+    one, two = (embedding_dedup.codes_of(v, *model, bits, tables) for v in (x, y))
+    assert (one == two).any(1).mean() >= 0.9
+
+
 # --- op1, op4, op7 ----------------------------------------------------------------------------
 
 
