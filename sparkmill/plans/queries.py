@@ -200,13 +200,13 @@ def judge_json_parse(s, d):
     return p.select("doc_id", "cfg", clamp("o.correctness").alias("correctness"), clamp("o.completeness").alias("completeness"), ok.alias("parse_ok"))
 
 
-@query("mcq_prompt", "SELECT item_id, CASE WHEN length(text) > 50 THEN 'Reference:' || chr(10) || text || chr(10) ELSE '' END || 'Question: ' || substr(text, 1, 40) || chr(10) || array_to_string(['A. ' || substr(text, 1, 5), 'B. ' || substr(text, 6, 5), 'C. ' || substr(text, 11, 5)], chr(10)) AS prompt FROM benchmark")
+@query("mcq_prompt", "SELECT item_id, CASE WHEN length(text) > 50 THEN 'Reference:' || chr(10) || text || chr(10) ELSE '' END || 'Question: ' || text || chr(10) || array_to_string(['A. ' || substr(text, 1, 5), 'B. ' || substr(text, 6, 5), 'C. ' || substr(text, 11, 5)], chr(10)) AS prompt FROM benchmark")
 def mcq_prompt(s, d):
     t = F.col("text")
     choices = F.array(F.substring(t, 1, 5), F.substring(t, 6, 5), F.substring(t, 11, 5))
     lines = F.transform(choices, lambda c, i: F.concat(F.char(65 + i), F.lit(". "), c))
     ref = F.when(F.length(t) > 50, F.concat(F.lit("Reference:\n"), t, F.lit("\n"))).otherwise("")
-    return table(s, d, "benchmark").select("item_id", F.concat(ref, F.lit("Question: "), F.substring(t, 1, 40), F.lit("\n"), F.array_join(lines, "\n")).alias("prompt"))
+    return table(s, d, "benchmark").select("item_id", F.concat(ref, F.lit("Question: "), t, F.lit("\n"), F.array_join(lines, "\n")).alias("prompt"))
 
 
 @query("row_keys", GRID + "SELECT doc_id, cfg, benchmark || '|' || question_id || '|' || model_name AS relaxed, substr(sha256(benchmark || '|' || question_id || '|' || model_name), 1, 16) AS short, regexp_replace(model_name || '/' || benchmark, '[^A-Za-z0-9._\\-]+', '_', 'g') AS slug FROM grid")
@@ -384,14 +384,8 @@ def faithfulness_table(s, d):
     return t.withColumn("model_name", F.coalesce("model_name", F.lit("pooled")))
 
 
-@query("weighted_merge", GRID + ", r AS (SELECT doc_id % 4 AS run, benchmark, model_name, count(*) AS n, avg(token_f1) AS m FROM grid WHERE doc_id % 11 > 0 GROUP BY 1, 2, 3) SELECT benchmark, model_name, sum(n)::BIGINT AS n, round(sum(n * m) / sum(n), 6) AS mean FROM r GROUP BY 1, 2")
+@query("weighted_merge", GRID + ", r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 4 ELSE doc_id % 4 END AS run, benchmark, model_name, count(*) AS n, avg(token_f1) AS m FROM grid GROUP BY 1, 2, 3) SELECT benchmark, model_name, sum(n)::BIGINT AS n, round(sum(n * m) / sum(n), 6) AS mean FROM r GROUP BY 1, 2")
 def weighted_merge(s, d):
-    r = grid(s, d).where("doc_id % 11 > 0").groupBy((F.col("doc_id") % 4).alias("run"), "benchmark", "model_name").agg(F.count("*").alias("n"), F.avg("token_f1").alias("m"))
-    return r.groupBy("benchmark", "model_name").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("m")) / F.sum("n"), 6).alias("mean"))
-
-
-@query("weighted_merge_whole", GRID + ", r AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 4 ELSE doc_id % 4 END AS run, benchmark, model_name, count(*) AS n, avg(token_f1) AS m FROM grid GROUP BY 1, 2, 3) SELECT benchmark, model_name, sum(n)::BIGINT AS n, round(sum(n * m) / sum(n), 6) AS mean FROM r GROUP BY 1, 2")
-def weighted_merge_whole(s, d):
     run = F.when(F.col("doc_id") % 11 == 0, 4).otherwise(F.col("doc_id") % 4)
     r = grid(s, d).groupBy(run.alias("run"), "benchmark", "model_name").agg(F.count("*").alias("n"), F.avg("token_f1").alias("m"))
     return r.groupBy("benchmark", "model_name").agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.col("m")) / F.sum("n"), 6).alias("mean"))
@@ -432,17 +426,10 @@ def routing_confusion(s, d):
 
 # --- statistics ------------------------------------------------------------------------------
 
-@query("paired_mcnemar", GRID + """, p AS (SELECT benchmark, model_key, question_id, bool_or(correct) FILTER (WHERE rag_flag) AS rag, bool_or(correct) FILTER (WHERE NOT rag_flag) AS no FROM grid WHERE doc_id % 13 < 2 GROUP BY ALL),
+@query("paired_mcnemar", GRID + """, p AS (SELECT benchmark, model_key, question_id, bool_or(correct) FILTER (WHERE rag_flag) AS rag, bool_or(correct) FILTER (WHERE NOT rag_flag) AS no FROM grid GROUP BY ALL),
 k AS (SELECT benchmark, model_key, count(*) FILTER (WHERE no AND NOT rag) AS b, count(*) FILTER (WHERE rag AND NOT no) AS c FROM p GROUP BY 1, 2)
 SELECT benchmark, model_key, b, c, CASE WHEN b + c > 0 THEN round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))) FROM unnest(range(0, least(b, c) + 1)) AS u(i))), 6) END AS p FROM k""")
 def paired_mcnemar(s, d):
-    return paired(grid(s, d).where("doc_id % 13 < 2"))
-
-
-@query("paired_mcnemar_whole", GRID + """, p AS (SELECT benchmark, model_key, question_id, bool_or(correct) FILTER (WHERE rag_flag) AS rag, bool_or(correct) FILTER (WHERE NOT rag_flag) AS no FROM grid GROUP BY ALL),
-k AS (SELECT benchmark, model_key, count(*) FILTER (WHERE no AND NOT rag) AS b, count(*) FILTER (WHERE rag AND NOT no) AS c FROM p GROUP BY 1, 2)
-SELECT benchmark, model_key, b, c, CASE WHEN b + c > 0 THEN round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) + (b + c) * ln(0.5))) FROM unnest(range(0, least(b, c) + 1)) AS u(i))), 6) END AS p FROM k""")
-def paired_mcnemar_whole(s, d):
     return paired(grid(s, d))
 
 
@@ -453,30 +440,20 @@ def paired(rows: DataFrame) -> DataFrame:
     return k.withColumn("p", F.round(stats.mcnemar(F.col("b"), F.col("c")), 6))
 
 
-def boot_sql(rows: str, group: str, value: str, order: str, resamples: int = 200) -> str:
+def boot_sql(rows: str, group: str, value: str, order: str, resamples: int) -> str:
     return f"""v AS (SELECT {group} AS g, {value}::DOUBLE AS v, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS i FROM {rows}), n AS (SELECT g, count(*) AS n, avg(v) AS mean FROM v GROUP BY 1),
 dr AS (SELECT g, n, b, ('0x' || substr(md5('17-' || g || '-' || b || '-' || j), 1, 8))::BIGINT % n AS i FROM n, unnest(range(0, {resamples})) AS x(b), unnest(range(0, n)) AS y(j)),
 m AS (SELECT g, b, avg(v) AS m FROM dr JOIN v USING (g, i) GROUP BY 1, 2), k AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY m, b) - 1 AS k FROM m)
 SELECT n.g AS {group}, n.n AS n, round(mean, 6) AS mean, round(max(m) FILTER (WHERE k = {resamples // 40}), 6) AS low, round(max(m) FILTER (WHERE k = {resamples - resamples // 40}), 6) AS high FROM n JOIN k USING (g) GROUP BY n.g, n.n, mean"""
 
 
-@query("bootstrap_ci", GRID + ", f AS (SELECT * FROM grid WHERE doc_id % 10 = 3), " + boot_sql("f", "model_name", "token_f1", "doc_id"))
+@query("bootstrap_ci", GRID + ", " + boot_sql("grid", "model_name", "token_f1", "doc_id", 2000))
 def bootstrap_ci(s, d):
-    return stats.bootstrap_ci(grid(s, d).where("doc_id % 10 = 3"), "model_name", "token_f1", "doc_id", resamples=200)
-
-
-@query("bootstrap_ci_whole", GRID + ", " + boot_sql("grid", "model_name", "token_f1", "doc_id", 2000))
-def bootstrap_ci_whole(s, d):
     return stats.bootstrap_ci(grid(s, d), "model_name", "token_f1", "doc_id")
 
 
-@query("cluster_bootstrap", GRID + ", f AS (SELECT model_name, doc_id % 20 AS cluster, avg(correct::INT) AS acc FROM grid GROUP BY 1, 2), " + boot_sql("f", "model_name", "acc", "cluster"))
+@query("cluster_bootstrap", GRID + ", f AS (SELECT model_name, doc_id % 20 AS cluster, avg(correct::INT) AS acc FROM grid GROUP BY 1, 2), " + boot_sql("f", "model_name", "acc", "cluster", 2000))
 def cluster_bootstrap(s, d):
-    return stats.bootstrap_ci(cluster_accuracy(s, d), "model_name", "acc", "cluster", resamples=200)
-
-
-@query("cluster_bootstrap_whole", GRID + ", f AS (SELECT model_name, doc_id % 20 AS cluster, avg(correct::INT) AS acc FROM grid GROUP BY 1, 2), " + boot_sql("f", "model_name", "acc", "cluster", 2000))
-def cluster_bootstrap_whole(s, d):
     return stats.bootstrap_ci(cluster_accuracy(s, d), "model_name", "acc", "cluster")
 
 

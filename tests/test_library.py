@@ -92,15 +92,15 @@ def test_bootstrap_draws_2000_times(spark):
 
 def test_bootstrap_takes_the_whole_grid(spark):
     n = spark.read.parquet(f"{DATA}/documents.parquet").count()
-    assert {r.n for r in QUERIES["bootstrap_ci_whole"](spark, DATA).collect()} == {n}
+    assert {r.n for r in QUERIES["bootstrap_ci"](spark, DATA).collect()} == {n}
 
 
 def test_merge_and_pairs_take_the_whole_grid(spark):
     docs = [r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id").collect()]
-    assert sum(r.n for r in QUERIES["weighted_merge_whole"](spark, DATA).collect()) == 4 * len(docs)
+    assert sum(r.n for r in QUERIES["weighted_merge"](spark, DATA).collect()) == 4 * len(docs)
     right = lambda i, c: (i * 7 + c * 3) % 4 == i % 4
     want = {(m, f): sum(right(i, x) and not right(i, y) for i in docs) for m, no, rag in (("slm", 0, 1), ("llm", 2, 3)) for f, x, y in (("b", no, rag), ("c", rag, no))}
-    got = QUERIES["paired_mcnemar_whole"](spark, DATA).collect()
+    got = QUERIES["paired_mcnemar"](spark, DATA).collect()
     assert want == {(m, f): sum(r[f] for r in got if r.model_key == m) for m in ("slm", "llm") for f in "bc"}
 
 
