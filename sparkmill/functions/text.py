@@ -113,3 +113,41 @@ def without_thinking(text: Column) -> Column:
     """What follows the first closing think tag, without further think blocks."""
     after = F.when(F.lower(text).contains("</think>"), F.regexp_replace(text, r"(?is)^.*?</think>", "")).otherwise(text)
     return F.trim(F.regexp_replace(after, r"(?is)<think>.*?</think>", ""))
+
+
+def answer_letter(answer: Column) -> Column:
+    """The option letter that an answer is or begins with, in capitals; empty if none."""
+    t = F.upper(F.trim(F.coalesce(answer, F.lit(""))))
+    return F.when(t.rlike(r"^\p{L}$"), t).otherwise(F.regexp_extract(t, r"^([A-Z])(?:[^\p{L}\p{N}_]|$)", 1))
+
+
+def json_list(text: Column) -> Column:
+    """The non-empty strings of a JSON list; an empty list for what isn't one."""
+    parsed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
+    return F.filter(F.coalesce(parsed, F.array().cast("array<string>")), lambda x: x != "")
+
+
+def _choices(text: Column) -> tuple[Column, Column]:
+    """Options as a map if the JSON is an object, as a list if it is one; else null."""
+    t = F.trim(text)
+    return F.when(t.startswith("{"), F.from_json(text, "map<string,string>")), F.when(t.startswith("["), F.from_json(text, "array<string>"))
+
+
+def option_text(choices: Column, letter: Column) -> Column:
+    """The text of a letter's option, without the letter before it: by key, by place, or by the letter it starts with."""
+    named, listed = _choices(choices)
+    lead = F.concat(F.lit(r"(?i)^\s*\Q"), letter, F.lit(r"\E[.):\-]\s*"))
+    key = F.get(F.filter(F.map_keys(named), lambda k: F.upper(F.substring(F.trim(k), 1, 1)) == letter), F.lit(0))
+    items = F.transform(listed, F.trim)
+    marked = F.get(F.filter(items, lambda x: F.regexp_like(x, lead)), F.lit(0))
+    place = F.ascii(letter) - 65
+    item = F.coalesce(F.when(place >= 0, F.get(items, place)), marked)
+    return F.coalesce(F.trim(F.try_element_at(named, letter)), F.trim(F.try_element_at(named, key)), F.trim(F.regexp_replace(item, lead, F.lit(""))), F.lit(""))
+
+
+def option_lines(choices: Column) -> Column:
+    """Options as lines with their letters: of an object by key, of a list the first six."""
+    named, listed = _choices(choices)
+    by_key = F.transform(F.array_sort(F.map_keys(named)), lambda k: F.concat(k, F.lit(". "), F.element_at(named, k)))
+    by_place = F.transform(F.slice(listed, 1, 6), lambda x, i: F.concat(F.char(65 + i), F.lit(". "), x))
+    return F.coalesce(by_key, by_place, F.array().cast("array<string>"))

@@ -1,6 +1,7 @@
 """Operators of the library: each query against its SQL on the smallest tables, golden cases, sources, sinks and streams."""
 
 import hashlib
+import re
 import json
 import math
 import os
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sparkmill.functions import text as T
 from sparkmill.operators import corpus, jobs, models, retrieval, stats
 import sparkmill.plans.evaluation  # noqa: F401
+import sparkmill.plans.rows  # noqa: F401
 import sparkmill.plans.scoring  # noqa: F401
 from sparkmill.plans.queries import QUERIES, SQL
 from sparkmill.sources import files, sinks
@@ -163,3 +165,32 @@ def test_stream_windows(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).agg(F.sum("n")).first()[0]
     assert 0 < got <= src.count()
+
+
+def test_rouge_l_equals_the_table_of_prefixes(spark):
+    def length(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    turns = {(r.conv_id, r.turn): re.findall("[a-z0-9]+", (r.text or "").lower()) for r in spark.read.parquet(f"{DATA}/conversations.parquet").collect()}
+    got = QUERIES["rouge_l"](spark, DATA).collect()
+    assert got
+    for r in got:
+        a, b = turns[r.conv_id, r.turn], turns[r.conv_id, r.turn - 1]
+        assert r.f == pytest.approx(2 * length(a, b) / max(len(a) + len(b), 1), abs=1e-6)
+
+
+@pytest.mark.parametrize(
+    ("choices", "letter", "text"),
+    [('{"B. x":" two "}', "B", "two"), ('["A) one","two"]', "A", "one"), ('["A) one","two"]', "B", "two"), ('["x","d - four"]', "D", ""), ("[", "A", ""), (None, "A", ""), ("[]", "A", ""), ('["d: four"]', "D", "four"), ('["x"]', ".", "")],
+)
+def test_option_text(spark, choices, letter, text):
+    assert value(spark, T.option_text(F.lit(choices).cast("string"), F.lit(letter))) == text
+
+
+@pytest.mark.parametrize(("answer", "letter"), [("b", "B"), ("c) yes", "C"), ("D\nx", "D"), ("Both", ""), ("a_b", ""), (None, ""), (" e", "E"), ("5", "")])
+def test_answer_letter(spark, answer, letter):
+    assert value(spark, T.answer_letter(F.lit(answer).cast("string"))) == letter
