@@ -1,4 +1,4 @@
-"""Retrieval for whole batches of queries: BM25, lexical and dense ranking, fusion, gates, packing, metrics."""
+"""Retrieval for whole batches of queries: dense ranking, fusion, gates, packing, metrics; BM25 and lexical ranking are in topk."""
 
 from __future__ import annotations
 
@@ -15,24 +15,6 @@ def ranked(scored: DataFrame, by: list, k: int, query: str = "query_id") -> Data
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy(*by))).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """docs: id, text; queries: query_id, text. query_id, id, score, rank; repeated query tokens count repeatedly.
-
-    Only the postings of the queries' own tokens are kept: documents are scanned once, and what is
-    joined are tokens, their frequency and the document's length. Document frequencies come from those postings.
-    """
-    q = queries.select("query_id", F.explode(T.tokens(F.col("text"), 3)).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qf"))
-    tokened = docs.select("id", T.tokens(F.col("text"), 3).alias("t")).withColumn("dl", F.size("t"))
-    stats = tokened.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"))
-    postings = tokened.select("id", "dl", F.explode("t").alias("token")).join(q.select("token").distinct(), "token", "left_semi").groupBy("id", "dl", "token").agg(F.count("*").alias("tf"))
-    df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg")))
-    weighted = postings.join(df, "token").crossJoin(F.broadcast(stats)).select("token", "id", weight.alias("w"))  # stats is one row
-    scored = q.join(weighted, "token").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qf") * F.col("w")), 6).alias("score")).where("score > 0")
-    return ranked(scored, [F.desc("score"), F.desc("id")], k)
-
-
 def lexical_score(query: Column, body: Column, q: Column, b: Column) -> Column:
     """Jaccard, plus 0.08 for each of at most 40 shared tokens, plus 0.02 for each query token of five characters or more inside the body."""
     shared = F.size(F.array_intersect(q, b))
@@ -40,18 +22,6 @@ def lexical_score(query: Column, body: Column, q: Column, b: Column) -> Column:
     return F.round(T.jaccard(q, b) + 0.08 * F.least(shared, F.lit(40)) + 0.02 * inside, 6)
 
 
-def lexical(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Pairs that share a token, scored by lexical_score; score desc, body length desc, id.
-
-    Candidates come from the queries' tokens, counted per pair; a substring match alone makes no candidate.
-    """
-    q = queries.select("query_id", F.col("text").alias("qtext"), F.array_distinct(T.tokens(F.col("text"), 3)).alias("q"))
-    d = docs.select("id", F.col("text").alias("body"), F.array_distinct(T.tokens(F.col("text"), 3)).alias("b"))
-    pairs = q.select("query_id", F.explode("q").alias("t")).join(d.select("id", F.explode("b").alias("t")), "t").select("query_id", "id").distinct()
-    scored = pairs.join(q, "query_id").join(d, "id").select("query_id", "id", lexical_score(F.col("qtext"), F.col("body"), F.col("q"), F.col("b")).alias("score"), F.length("body").alias("length"))
-    return ranked(scored, [F.desc("score"), F.desc("length"), "id"], k).drop("length")
-
-
 def fuse(*lists: DataFrame, k: int = 10, c: int = RRF_K) -> DataFrame:
     """Reciprocal-rank fusion of lists (query_id, id, rank); ties by the first list's rank, then the second's."""
     rows = None

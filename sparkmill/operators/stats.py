@@ -5,22 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkmill.sources.shared import written
+
+
+#: Rows of values up to which they are broadcast to the draws instead of the draws being shuffled to them.
+BROADCAST_ROWS = 1_000_000
+
 
 def bootstrap_ci(values: DataFrame, group: str, value: str, order: str, resamples: int = 2000, alpha: float = 0.05, seed: str = "17") -> DataFrame:
     """group, mean, low, high: percentile bootstrap of the mean; draw j of resample b takes row hash(seed, group, b, j) mod n.
 
-    Resamples are dealt to tasks before their draws are made, as the few rows that they come of are one task's.
+    Resamples are dealt to tasks before their draws are made, as the few rows that they come of are one task's. Up to a counted size the values
+    go to the draws, which are then added up where they are made and never shuffled.
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).alias("i"))
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"))
-    draws = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(resamples // 20 + 1, "g", "b").withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "g", "b", "j")), 1, 8), 16, 10).cast("long")
-    means = draws.withColumn("i", h % F.col("n")).join(rows, ["g", "i"]).groupBy("g", "b").agg(F.avg("v").alias("m"))
+    rows = written(rows, "bootstrap-values")
+    near = F.broadcast if rows.count() <= BROADCAST_ROWS else lambda df: df
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    tasks = max(resamples // 20 + 1, 2 * values.sparkSession.sparkContext.defaultParallelism)
+    draws = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition(tasks, "g", "b")
+    lead = F.concat_ws("-", F.lit(seed), "g", "b", F.lit(""))
+    draws = draws.withColumn("lead", lead).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    h = F.conv(F.substring(F.md5(F.concat("lead", F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
+    means = draws.select("g", "b", (h % F.col("n")).alias("i")).join(near(rows), ["g", "i"]).groupBy("g", "b").agg(F.avg("v").alias("m"))
     at = means.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("m", "b")) - 1)
     low, high = int(alpha / 2 * resamples), min(int((1 - alpha / 2) * resamples), resamples - 1)
     ends = at.groupBy("g").agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))
-    mean = rows.groupBy("g").agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
-    return mean.join(ends, "g").select(F.col("g").alias(group), "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return sizes.join(ends, "g").select(F.col("g").alias(group), "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 def mcnemar(b: Column, c: Column) -> Column:

@@ -109,6 +109,24 @@ def token_windows(s, d):
     return r.withColumn("start", F.explode(starts)).select("doc_id", "start", F.least(F.lit(512), F.col("n") - F.col("start")).alias("n"))
 
 
+PACK = f"""RECURSIVE p AS (SELECT doc_id, CASE WHEN len(ps) > 0 THEN ps ELSE [t] END AS ps FROM (SELECT doc_id, t, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g')), lambda x: length(x) > 40) AS ps
+  FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[ \t\n\r\f\v]+|[ \t\n\r\f\v]+$', '', 'g') AS t FROM documents) WHERE t <> '')),
+l AS (SELECT doc_id, ps, list_transform(ps, lambda x: len({WORDS.format(x='x')})) AS n FROM p),
+f AS (SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS a, n[1]::BIGINT AS held, NULL::BIGINT AS c, ps, n FROM l
+  UNION ALL SELECT doc_id, k + 1, CASE WHEN over THEN a2 ELSE a END, CASE WHEN over THEN list_sum(n[a2 + 1:k + 2]) ELSE held + n[k + 2] END, CASE WHEN over THEN a END, ps, n
+  FROM (SELECT *, held + n[k + 2] > 512 AS over, coalesce(list_min([s FOR s IN range(a, k + 1) IF list_sum(n[s + 1:k + 1]) <= 100]), k) AS a2 FROM f WHERE k + 1 < len(n))),
+r AS (SELECT doc_id, c AS a, k AS b, ps FROM f WHERE c IS NOT NULL UNION ALL SELECT doc_id, a, k + 1, ps FROM f WHERE k + 1 = len(n)),
+g AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS seg, array_to_string(ps[a + 1:b], chr(10) || chr(10)) AS t FROM r),
+w AS (SELECT doc_id, seg, t, {WORDS.format(x='t')} AS w FROM g),
+b AS (SELECT doc_id, seg, TRUE AS whole, 0 AS part, len(w) AS n, t FROM w WHERE len(w) <= 512 UNION ALL SELECT doc_id, seg, FALSE, s // 412, len(w[s + 1:s + 512]), array_to_string(w[s + 1:s + 512], ' ') FROM w, unnest(range(0, len(w), 412)) AS u(s) WHERE len(w) > 512)"""
+
+
+@query("packed_paragraphs", f"""WITH {PACK}, k AS (SELECT *, 'doc_' || doc_id || CASE WHEN seg = 0 AND part = 0 THEN '' WHEN whole THEN '_' || seg ELSE '_' || seg || '_' || part END AS source FROM b WHERE n >= 40)
+SELECT doc_id, source, source || '_c' || CASE WHEN whole THEN seg ELSE part END AS chunk_id, seg::INT AS segment, part::INT AS part, n::INT AS n_words, coalesce(sum(length(t)) OVER (PARTITION BY doc_id, seg ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset, md5(t) AS body FROM k""")
+def packed_paragraphs(s, d):
+    return corpus.packed_paragraphs(table(s, d, "documents")).withColumn("body", F.md5("text")).drop("text")
+
+
 @query("external_corpus", f"""WITH w AS (SELECT doc_id, source, {WORDS.format(x='text')} AS w FROM documents WHERE length(text) >= 120 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)),
 b AS (SELECT doc_id, source, s // 246 AS chunk, len(w[s + 1 : s + 300]) AS n FROM w, unnest(range(0, len(w), 246)) AS r(s)) SELECT doc_id, chunk, n FROM b WHERE n >= 40 ORDER BY source, doc_id, chunk LIMIT 500""")
 def external_corpus(s, d):

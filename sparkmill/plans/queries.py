@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkmill.functions import text as T
-from sparkmill.operators import corpus, jobs, retrieval, stats
+from sparkmill.operators import corpus, jobs, retrieval, stats, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -242,19 +242,38 @@ lx AS (SELECT query_id, id, round(o::DOUBLE / u + 0.08 * least(o, 40) + 0.02 * i
 
 @query("bm25_topk", f"WITH {BM25} SELECT query_id, id, score, rank::INT AS rank FROM bm")
 def bm25_topk(s, d):
-    return retrieval.bm25(doc_bodies(s, d), bench_queries(s, d))
+    return topk.bm25(topk.postings(doc_bodies(s, d), bench_queries(s, d)))
 
 
 @query("lexical_topk", f"WITH {LEX} SELECT query_id, id, score, rank::INT AS rank FROM lx")
 def lexical_topk(s, d):
-    return retrieval.lexical(doc_bodies(s, d), bench_queries(s, d))
+    docs, items = doc_bodies(s, d), bench_queries(s, d)
+    return topk.lexical(docs, items, topk.postings(docs, items))
+
+
+def greedy_sql(hits: str) -> str:
+    """Relation g (query_id, id, score, rank, kept) over ranked hits: a hit goes if it is too like one kept before it."""
+    return f'''h AS (SELECT query_id, f.id, f.score, f.rank, list_distinct({TOK3.format(x='text')}) AS t FROM {hits} f JOIN documents d ON d.doc_id = f.id),
+near AS (SELECT query_id, rank, list(before) AS near FROM (SELECT b.query_id, b.rank, a.rank AS before, len(list_intersect(a.t, b.t)) AS i, len(a.t) + len(b.t) AS n FROM h a JOIN h b ON a.query_id = b.query_id AND a.rank < b.rank) WHERE n > i AND i::DOUBLE / (n - i) >= 0.88 GROUP BY 1, 2),
+hn AS (SELECT query_id, id, score, rank, coalesce(near, []) AS near FROM h LEFT JOIN near USING (query_id, rank)),
+g AS (SELECT query_id, id, score, rank, TRUE AS kept, [rank] AS own FROM hn WHERE rank = 1
+  UNION ALL SELECT hn.query_id, hn.id, hn.score, hn.rank, NOT list_has_any(g.own, hn.near), CASE WHEN list_has_any(g.own, hn.near) THEN g.own ELSE list_append(g.own, hn.rank) END FROM g JOIN hn ON hn.query_id = g.query_id AND hn.rank = g.rank + 1)'''
+
+
+@query("lexical_overfetch", f"WITH RECURSIVE {LEX.replace('rank <= 10', 'rank <= 18')}, {greedy_sql('lx')} SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY rank))::INT AS rank FROM g WHERE kept QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 3")
+def lexical_overfetch(s, d):
+    docs, items = doc_bodies(s, d), bench_queries(s, d)
+    hits = topk.lexical(docs, items, topk.postings(docs, items), topk.fetched(3))
+    return topk.distinct_hits(docs, hits, 3)
 
 
 RRF = f"{BM25}, {LEX}, fu AS (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score, min(CASE WHEN l = 0 THEN rank END) AS r0, min(CASE WHEN l = 1 THEN rank END) AS r1 FROM (SELECT query_id, id, rank, 0 AS l FROM bm UNION ALL SELECT query_id, id, rank, 1 FROM lx) GROUP BY 1, 2), rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, r0 ASC NULLS LAST, r1 ASC NULLS LAST, id) AS rank FROM fu QUALIFY rank <= 10)"
 
 
 def hybrid(s, d) -> DataFrame:
-    return retrieval.fuse(bm25_topk(s, d), lexical_topk(s, d))
+    docs, items = doc_bodies(s, d), bench_queries(s, d)
+    p = topk.postings(docs, items)
+    return retrieval.fuse(topk.bm25(p), topk.lexical(docs, items, p))
 
 
 @query("rrf_fusion", f"WITH {RRF} SELECT query_id, id, score, rank::INT AS rank FROM rr")
@@ -302,14 +321,26 @@ GOLD = "gold AS (SELECT DISTINCT item_id AS query_id, 'doc_' || doc_id AS gold F
 
 
 def gold_documents(s, d) -> DataFrame:
-    """Documents that hold an item's text whole; candidates come from the item's first line, so that no pair is tried that shares none."""
+    """Documents that hold an item's text whole.
+
+    A passage inside a text shares each of its inner words with it, so the longest of them is the key that candidates are joined by. Passages of two words or fewer
+    have none: these few are a stated query set that goes past all documents.
+    """
     b = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = table(s, d, "documents").select("doc_id", "text")
-    # a passage inside a text shares every one of its inner words with it: the longest is the join key
-    longest = F.element_at(F.array_sort(F.transform(F.slice(T.words(F.col("passage")), F.lit(2), F.greatest(F.size(T.words(F.col("passage"))) - 2, F.lit(0))), lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), 1)
-    keyed = b.withColumn("w", longest["w"]).where("w is not null")
-    own = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w")).join(keyed.select("query_id", "w"), "w").select("doc_id", "query_id")
-    return own.join(b, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("gold")).distinct()
+    return passages_inside(docs, b).select("query_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("gold")).distinct()
+
+
+def passages_inside(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """docs: doc_id, text; passages: query_id, passage. query_id, doc_id of the texts that hold a passage."""
+    w = T.words(F.col("passage"))
+    inner = F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0)))
+    longest = F.try_element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.length(x)).alias("l"), x.alias("w")))), F.lit(1))
+    keyed = passages.withColumn("w", longest["w"])
+    own = docs.select("doc_id", F.explode(F.array_distinct(T.words(F.col("text")))).alias("w")).join(keyed.where("w is not null").select("query_id", "w"), "w").select("doc_id", "query_id")
+    found = own.join(passages, "query_id").join(docs, "doc_id").where(F.contains("text", F.col("passage"))).select("query_id", "doc_id")
+    short = keyed.where("w is null").select("query_id", "passage")
+    return found.union(docs.join(short, F.contains("text", F.col("passage"))).select("query_id", "doc_id"))
 
 
 @query("recall_mrr", f"""WITH {BM25}, {GOLD}, x AS (SELECT g.query_id, g.gold, min(rank) AS m FROM gold g LEFT JOIN bm ON bm.query_id = g.query_id AND ('doc_' || bm.id = g.gold OR starts_with('doc_' || bm.id, g.gold || '_')) GROUP BY 1, 2)
@@ -324,16 +355,24 @@ def gold_coverage(s, d):
     return table(s, d, "benchmark").join(gold_documents(s, d).select(F.col("query_id").alias("item_id")), "item_id", "left_anti").select("item_id")
 
 
-@query("context_budget")
+PACKED = """h AS (SELECT query_id, rank, coalesce(text, '') AS t FROM bm JOIN documents d ON d.doc_id = bm.id),
+p AS (SELECT query_id, 0::BIGINT AS rank, ''::VARCHAR AS context, 0::BIGINT AS used, FALSE AS done FROM h GROUP BY 1
+  UNION ALL SELECT p.query_id, h.rank, CASE WHEN used + length(t) + 2 <= 3000 THEN context || CASE WHEN used > 0 THEN chr(10) || chr(10) ELSE '' END || t
+      WHEN 3000 - used - 80 > 80 THEN context || CASE WHEN used > 0 THEN chr(10) || chr(10) ELSE '' END || substr(t, 1, (3000 - used - 80)::INT) ELSE context END,
+    CASE WHEN used + length(t) + 2 <= 3000 THEN used + length(t) + 2 ELSE used END, used + length(t) + 2 > 3000
+  FROM p JOIN h ON h.query_id = p.query_id AND h.rank = p.rank + 1 WHERE NOT done)"""
+
+
+@query("context_budget", f"WITH RECURSIVE {BM25}, {PACKED} SELECT query_id, arg_max(context, rank) AS context FROM p GROUP BY 1")
 def context_budget(s, d):
-    h = bm25_topk(s, d).join(doc_bodies(s, d), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.substring("text", 1, 900).alias("t")))).alias("h"))
+    h = bm25_topk(s, d).join(doc_bodies(s, d), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("text", F.lit("")).alias("t")))).alias("h"))
     return h.select("query_id", F.array_join(retrieval.packed(F.col("h.t"), 3000), "\n\n").alias("context"))
 
 
-@query("dedup_greedy")
+@query("dedup_greedy", f"WITH RECURSIVE {BM25}, {greedy_sql('bm')} SELECT query_id, to_json(list(id ORDER BY rank))::VARCHAR AS ids FROM g WHERE kept GROUP BY 1")
 def dedup_greedy(s, d):
     h = bm25_topk(s, d).join(doc_bodies(s, d), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("h"))
-    return h.select("query_id", F.transform(retrieval.greedy_distinct(F.col("h.text")), lambda i: F.element_at("h.id", i + 1)).alias("ids"))
+    return h.select("query_id", F.to_json(F.transform(retrieval.greedy_distinct(F.col("h.text")), lambda i: F.element_at("h.id", i + 1))).alias("ids"))
 
 
 # --- aggregates over the grid ----------------------------------------------------------------
