@@ -151,3 +151,21 @@ def option_lines(choices: Column) -> Column:
     by_key = F.transform(F.array_sort(F.map_keys(named)), lambda k: F.concat(k, F.lit(". "), F.element_at(named, k)))
     by_place = F.transform(F.slice(listed, 1, 6), lambda x, i: F.concat(F.char(65 + i), F.lit(". "), x))
     return F.coalesce(by_key, by_place, F.array().cast("array<string>"))
+
+
+def token_f1(prediction: Column, reference: Column) -> Column:
+    """F1 of two texts' tokens as multisets, 1 if both have none, 0 if one has none."""
+    p, r = tokens(prediction), tokens(reference)
+    count = lambda xs, t: F.size(F.filter(xs, lambda v: v == t))
+    both = F.aggregate(F.array_intersect(p, r), F.lit(0), lambda a, t: a + F.least(count(p, t), count(r, t)))
+    n = F.size(p) + F.size(r)
+    return F.when(n == 0, 1.0).otherwise(2 * both / n)
+
+
+def choice_scores(predicted: Column, gold: Column, choices: Column) -> Column:
+    """token_f1 of the texts of two option letters (0 unless both have one), and token_f1_label, 1 if the letters agree. choices is an array."""
+    text = lambda letter: F.coalesce(F.trim(F.get(choices, F.ascii(F.upper(F.trim(letter))) - 65)), F.lit(""))
+    p, g = F.coalesce(predicted, F.lit("")), F.coalesce(gold, F.lit(""))
+    same = (F.trim(p) != "") & (F.upper(F.trim(p)) == F.upper(F.trim(g)))
+    known = (text(p) != "") & (text(g) != "")
+    return F.struct(F.round(F.when(known, token_f1(text(p), text(g))).otherwise(0.0), 6).alias("token_f1"), same.cast("double").alias("token_f1_label"))

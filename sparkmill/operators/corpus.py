@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkmill.functions import text as T
-from sparkmill.sources.shared import spread
+from sparkmill.sources.shared import spread, written
 
 
 def offsets(texts: Column) -> Column:
@@ -95,7 +95,8 @@ def leak_guard(docs: DataFrame, held: DataFrame, least: int = 80) -> DataFrame:
 
 def numbered_batches(rows: DataFrame, order: list[str], size: int) -> DataFrame:
     """Row number and batch over a global order, without one task for all rows: counts of ranges first."""
-    ranged = rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    # written, so that counts and rows see the same ranges
+    ranged = written(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + F.col("_before")

@@ -36,35 +36,58 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_queries: int = 256) -> DataFrame:
-    """Exact inner product of each query (query_id, v) with each vector (id, v): queries go in blocks past all vectors.
+#: Bytes of query vectors that are sent to the tasks at once.
+DENSE_BLOCK_BYTES = 64 << 20
 
-    A block's queries and a batch of vectors are multiplied as matrices; each batch gives k rows a
-    query, so what is shuffled is k rows a query and batch.
+
+def dense(vectors: DataFrame, queries: DataFrame, k: int = 10, block_queries: int = 256, others_only: bool = True) -> DataFrame:
+    """Exact inner product of each query (query_id, v) with each vector (id, v); either may have corpus, which must then agree.
+
+    Queries are dealt to as many blocks as keep one below a size; a block's queries go past all vectors, and a block of queries and a batch of vectors are multiplied as matrices. Each batch gives k rows a
+    query, so what is shuffled is k rows a query and batch. others_only leaves out a vector with the query's own id.
     """
     import numpy as np
     import pyarrow as pa
 
-    q = queries.orderBy("query_id").select("query_id", "v").toArrow()  # a stated query set
-    ids = q.column("query_id").to_numpy()
-    matrix = np.array(q.column("v").to_pylist(), np.float64)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def run(batches):
-        qids, qm = shared.value
-        for batch in batches:
-            if not batch.num_rows or not len(qids):
-                continue
-            own = batch.column(0).to_numpy()
-            x = batch.column(1).flatten().to_numpy().astype(np.float64).reshape(len(own), -1)
-            for at in range(0, len(qids), block_queries):
-                s = np.round(qm[at : at + block_queries] @ x.T, 6)
-                for i, row in enumerate(s):
-                    best = np.lexsort((own, -row))[: k + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[at + i])), pa.array(own[best]), pa.array(row[best])], names=["query_id", "id", "score"])
-
-    scored = vectors.select("id", "v").mapInArrow(run, "query_id long, id long, score double").where("query_id <> id")
-    return ranked(scored, [F.desc("score"), "id"], k)
+    def with_corpus(df: DataFrame) -> DataFrame:
+        return df if "corpus" in df.columns else df.withColumn("corpus", F.lit(""))
+
+    q = with_corpus(queries).where("v is not null").select("query_id", "corpus", "v")
+    vectors = with_corpus(vectors).select("id", "corpus", "v")
+    size = q.agg(F.sum(F.size("v") * 8)).first()[0] or 0
+    blocks = 1 + size // DENSE_BLOCK_BYTES
+    id_type, query_type = vectors.schema["id"].dataType.simpleString(), q.schema["query_id"].dataType.simpleString()
+
+    def scored(shared):
+        def run(batches):
+            qids, corpora, qm = shared.value
+            for batch in batches:
+                own, place = batch.column(0).to_numpy(zero_copy_only=False), np.array(batch.column(1).to_pylist(), object)
+                if not batch.num_rows:
+                    continue
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                for corpus in set(corpora) & set(place):
+                    here, there = np.flatnonzero(corpora == corpus), np.flatnonzero(place == corpus)
+                    ids = own[there]
+                    for at in range(0, len(here), block_queries):
+                        some = here[at : at + block_queries]
+                        s = np.round(qm[some] @ x[there].T, 6)
+                        for q_at, row in zip(some, s):
+                            best = np.lexsort((ids, -row))[: k + 1]
+                            yield pa.RecordBatch.from_arrays([pa.array([qids[q_at]] * len(best)), pa.array(ids[best]), pa.array(row[best])], names=["query_id", "id", "score"])
+
+        return vectors.mapInArrow(run, f"query_id {query_type}, id {id_type}, score double")
+
+    found = None
+    for block in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow()  # a stated query set, below the size
+        if part.num_rows:
+            held = (part.column("query_id").to_pylist(), np.array(part.column("corpus").to_pylist(), object), np.array(part.column("v").to_pylist(), np.float64))
+            one = scored(vectors.sparkSession.sparkContext.broadcast(held))
+            found = one if found is None else found.union(one)
+    if found is None:
+        found = vectors.sparkSession.createDataFrame([], f"query_id {query_type}, id {id_type}, score double")
+    return ranked(found.where("query_id <> id") if others_only else found, [F.desc("score"), "id"], k)
 
 
 def hit_score(hit: Column) -> Column:
@@ -88,7 +111,7 @@ def packed(blocks: Column, most: int, margin: int = 80, least: int = 80) -> Colu
     return F.aggregate(blocks, start, step, lambda a: a["out"])
 
 
-def greedy_distinct(bodies: Column, most_alike: float = 0.88) -> Column:
+def greedy_distinct(bodies: Column, most_alike: float | Column = 0.88) -> Column:
     """Places of the texts kept, in order, when one is dropped that is too like any kept before it."""
     start = F.array().cast("array<struct<at:int,t:array<string>>>")
     numbered = F.transform(bodies, lambda b, i: F.struct(i.alias("at"), F.array_distinct(T.tokens(b, 3)).alias("t")))
