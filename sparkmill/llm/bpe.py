@@ -28,7 +28,7 @@ from sparkmill.llm.common import held, slices, texts_of
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces, and pairs of neighbouring tokens, that a worker remembers from one slice of its rows to the next.
-REMEMBERED = 100_000
+REMEMBERED = 40_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 64
 
@@ -51,8 +51,8 @@ class PrefixBpe:
         as_bytes = lambda token: bytes(letters[c] for c in token)
         vocab = spec["model"]["vocab"]
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.token_bytes: dict[int, bytes] = {i: as_bytes(t) for t, i in vocab.items() if t not in self.special}
-        self.token_bytes |= {i: t.encode() for t, i in self.special.items()}
+        token_bytes: dict[int, bytes] = {i: as_bytes(t) for t, i in vocab.items() if t not in self.special}
+        token_bytes |= {i: t.encode() for t, i in self.special.items()}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pieces = regex.compile(PIECE_PATTERN).findall
         self.rank: dict[tuple[int, int], int] = {}
@@ -62,17 +62,13 @@ class PrefixBpe:
             a, b, both = vocab[left], vocab[right], vocab[left + right]
             self.rank[a, b] = rank
             self.halves.setdefault(both, (a, b, rank))
-        # every end of a token leads to its id, or to -1 if it isn't itself a token
-        self.ends: dict[bytes, int] = {}
-        made = {t: i for i, t in self.token_bytes.items() if (i in self.halves or len(t) == 1) and i not in self.special.values()}
-        for t in made:
-            for k in range(len(t)):
-                self.ends.setdefault(t[k:], -1)
-        self.ends |= made
+        self.made = {t: i for i, t in token_bytes.items() if (i in self.halves or len(t) == 1) and i not in self.special.values()}
+        if missing := [b for b in range(256) if bytes([b]) not in self.made]:
+            raise ValueError(f"the vocabulary has no token for {len(missing)} of the bytes")
         self.neighbours: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
         self.ids: dict[str, str] = {}
-        self.written = {str(i): b for i, b in self.token_bytes.items()}
+        self.written = {str(i): b for i, b in token_bytes.items()}
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The symbols at the token's right (1) or left (0) end, innermost first, each with the rank that absorbs it."""
@@ -105,7 +101,7 @@ class PrefixBpe:
 
     def encode_sorted(self, words: list[bytes]) -> Iterator[str]:
         """Ids, joined by commas, of each of the distinct words, which come in byte order."""
-        token_at, neighbours = self.ends.get, self.neighbours
+        token_at, neighbours = self.made.get, self.neighbours
         last, starts, before = [-1], [0], b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
@@ -114,8 +110,8 @@ class PrefixBpe:
             del last[shared + 1 :], starts[shared + 1 :]
             for at in range(shared + 1, len(word) + 1):
                 start = at - 1
-                while (token := token_at(word[start:at])) is not None:
-                    if token >= 0:
+                while True:  # a byte by itself is a token, so some token ends here
+                    if (token := token_at(word[start:at])) is not None:
                         if not start:
                             break
                         key = last[start] << 20 | token
@@ -185,7 +181,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = held(("bpe", xxhash.xxh3_64_intdigest(vocabulary.value)), lambda: PrefixBpe(vocabulary.value))
-        for batch in slices(batches, len(kept), 256, 1_000_000):
+        for batch in slices(batches, len(kept), 256, 500_000):
             coded = bpe.encode(texts_of(batch.column(len(kept))))
             decoded = [d.decode("utf-8", "replace") for _, d in coded]
             columns = [batch.column(k) for k in range(len(kept))]

@@ -86,13 +86,19 @@ def held(key: object, make: Callable[[], Any]) -> Any:
     """What make returns, kept by the worker for its next tasks until something else is asked for: a worker holds one operator's model at a time."""
     if key not in _HELD:
         _HELD.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library can, freed memory goes back to the system
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
         _HELD[key] = make()
+        trim()
     return _HELD[key]
 
 
+def trim() -> None:
+    """Freed memory goes back to the system where the C library can do that."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return [x or "" for x in column.to_pylist()]
