@@ -109,7 +109,7 @@ def wilcoxon(pairs: DataFrame, a: str, b: str) -> DataFrame:
     s = r.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("rank")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("n") - F.col("up")) * F.col("rank")), F.lit(0.0)).alias("w_minus"), F.sum(t * t * t - t).alias("ties"))
     m = F.col("n").cast("double")
     z = F.when(m > 0, (F.least("w_plus", "w_minus") - m * (m + 1) / 4) / F.sqrt(m * (m + 1) * (2 * m + 1) / 24 - F.col("ties") / 48))
-    return s.withColumn("z", z).select(F.col("n").cast("long").alias("n"), "w_plus", "w_minus", F.round("z", 6).alias("z"), F.round(F.least(F.lit(1.0), 2 * normal_tail(F.abs("z"))), 5).alias("p"))
+    return s.withColumn("z", z).select(F.col("n").cast("long").alias("n"), "w_plus", "w_minus", F.round("z", 6).alias("z"), F.round(F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), 2 * normal_tail(F.abs("z")))), 5).alias("p"))
 
 
 def cohen_kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
