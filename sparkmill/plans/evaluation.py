@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkmill.functions import text as T
 from sparkmill.operators import corpus, retrieval
-from sparkmill.plans.queries import BM25, CONFIGS, DENSE, GRID, KWH, KWH_SQL, LEX, RRF, TOK, TOK3, WORDS, bm25_topk, dense_topk, doc_bodies, grid, hybrid, query, strategies, table
+from sparkmill.plans.queries import BM25, CONFIGS, DENSE, GRID, KWH_SQL, LEX, RRF, TOK, TOK3, WORDS, bm25_topk, dense_topk, doc_bodies, grid, hybrid, query, strategies, table
 
 # --- functions --------------------------------------------------------------------------------
 
@@ -202,16 +202,16 @@ def one_hot_domains(s, d):
     return table(s, d, "documents").select("doc_id", *[F.col("lang").eqNullSafe(x).cast("int").alias(x) for x in ("de", "en", "es", "fr")])
 
 
-@query("annual_cost", f"WITH {KWH_SQL} SELECT strategy, round(kwh * 365000000 * 0.12, 2) AS electricity, round(kwh * 365000000 * 0.12 + CASE WHEN strategy LIKE 'SLM%' THEN 350 ELSE 1200 END / 3.0::DOUBLE, 2) AS combined, round(kwh * 365000000 * 0.385 / 1000, 4) AS tonnes FROM k")
+@query("annual_cost", f"{KWH_SQL} SELECT strategy, round(kwh * 365000000 * 0.12, 2) AS electricity, round(kwh * 365000000 * 0.12 + CASE WHEN strategy LIKE 'SLM%' THEN 350 ELSE 1200 END / 3.0::DOUBLE, 2) AS combined, round(kwh * 365000000 * 0.385 / 1000, 4) AS tonnes FROM k")
 def annual_cost(s, d):
     year = F.col("kwh") * 365000000
     hardware = F.when(F.col("strategy").startswith("SLM"), 350).otherwise(1200) / 3.0
-    return strategies(s).select("strategy", F.round(year * 0.12, 2).alias("electricity"), F.round(year * 0.12 + hardware, 2).alias("combined"), F.round(year * 0.385 / 1000, 4).alias("tonnes"))
+    return strategies(s, d).select("strategy", F.round(year * 0.12, 2).alias("electricity"), F.round(year * 0.12 + hardware, 2).alias("combined"), F.round(year * 0.385 / 1000, 4).alias("tonnes"))
 
 
-@query("rag_energy_delta", f"WITH {KWH_SQL} SELECT split_part(a.strategy, '_', 1) AS model, round(100 * (b.kwh - a.kwh) / a.kwh, 6) AS pct FROM k a JOIN k b ON a.strategy = split_part(b.strategy, '_', 1) || '_NoRAG' AND b.strategy LIKE '%\\_RAG' ESCAPE '\\'")
+@query("rag_energy_delta", f"{KWH_SQL} SELECT split_part(a.strategy, '_', 1) AS model, round(100 * (b.kwh - a.kwh) / a.kwh, 6) AS pct FROM k a JOIN k b ON a.strategy = split_part(b.strategy, '_', 1) || '_NoRAG' AND b.strategy LIKE '%\\_RAG' ESCAPE '\\'")
 def rag_energy_delta(s, d):
-    k = strategies(s).where(F.col("strategy").isin(CONFIGS)).withColumn("model", F.substring_index("strategy", "_", 1)).withColumn("arm", F.substring_index("strategy", "_", -1))
+    k = strategies(s, d).where(F.col("strategy").isin(CONFIGS)).withColumn("model", F.substring_index("strategy", "_", 1)).withColumn("arm", F.substring_index("strategy", "_", -1))
     p = k.groupBy("model").pivot("arm", ["NoRAG", "RAG"]).agg(F.first("kwh"))
     return p.select("model", F.round(100 * (F.col("RAG") - F.col("NoRAG")) / F.col("NoRAG"), 6).alias("pct"))
 

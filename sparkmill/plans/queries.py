@@ -596,14 +596,22 @@ def reference_lookup(s, d):
 # --- energy, carbon, cost --------------------------------------------------------------------
 
 # kWh per query by strategy, grid intensity in kg per kWh, electricity price and token energy.
-KWH = [("SLM_NoRAG", 0.000052), ("SLM_RAG", 0.000052), ("LLM_NoRAG", 0.000111), ("LLM_RAG", 0.000112), ("Routing_Hybrid", 0.000101)]
 GRID_KG = [("low", 0.05), ("reference", 0.385), ("high", 0.7)]
 USD_PER_KWH, KWH_PER_TOKEN = 0.12, 1e-5
-KWH_SQL = "k(strategy, kwh) AS (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in KWH) + ")"
+#: Watts that a model draws while it answers; an answer's energy is that times its latency.
+SLM_WATTS, LLM_WATTS = 70, 150
+KWH_SQL = GRID + f""", jo AS (SELECT *, latency * CASE WHEN model_key = 'slm' THEN {SLM_WATTS} ELSE {LLM_WATTS} END AS j FROM grid),
+ro AS (SELECT doc_id, CASE WHEN {sql_hits(T.COMPLEX_WORDS, "coalesce(text, '')")} >= {sql_hits(T.SIMPLE_WORDS, "coalesce(text, '')")} THEN 'llm' ELSE 'slm' END AS route FROM documents),
+k AS (SELECT model_name AS strategy, avg(j) / 3600000.0::DOUBLE AS kwh FROM jo GROUP BY 1 UNION ALL SELECT 'Routing_Hybrid', avg(j) / 3600000.0::DOUBLE FROM jo JOIN ro USING (doc_id) WHERE rag_flag AND model_key = route HAVING count(*) > 0)"""
 
 
-def strategies(s) -> DataFrame:
-    return s.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(v).alias("kwh")) for n, v in KWH])))
+def strategies(s, d) -> DataFrame:
+    """Energy of an answer, by configuration, and when each document's text is routed to a model with retrieval."""
+    j = grid(s, d).withColumn("j", F.col("latency") * F.when(F.col("model_key") == "slm", SLM_WATTS).otherwise(LLM_WATTS))
+    route = table(s, d, "documents").select("doc_id", T.route(F.coalesce("text", F.lit(""))).alias("route"))
+    routed = j.where("rag_flag").join(route, "doc_id").where("model_key = route").agg(F.avg("j").alias("j")).where("j is not null")
+    of = lambda rows, name: rows.select(name.alias("strategy"), (F.col("j") / 3600000).alias("kwh"))
+    return of(j.groupBy("model_name").agg(F.avg("j").alias("j")), F.col("model_name")).union(of(routed, F.lit("Routing_Hybrid")))
 
 
 @query("energy_carbon", "SELECT lang, count(*) AS n, sum(n_chars)::BIGINT AS tokens, round(sum(n_chars) * 0.00001::DOUBLE, 6) AS kwh, round(sum(n_chars) * 0.00001::DOUBLE * 0.385, 6) AS kg FROM documents GROUP BY 1")
@@ -612,27 +620,27 @@ def energy_carbon(s, d):
     return table(s, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("tokens"), F.round(kwh, 6).alias("kwh"), F.round(kwh * 0.385, 6).alias("kg"))
 
 
-@query("eie_minmax", f"WITH {KWH_SQL} SELECT strategy, round((kwh - min(kwh) OVER ()) / (max(kwh) OVER () - min(kwh) OVER ()), 6) AS scaled FROM k")
+@query("eie_minmax", f"{KWH_SQL} SELECT strategy, round((kwh - min(kwh) OVER ()) / (max(kwh) OVER () - min(kwh) OVER ()), 6) AS scaled FROM k")
 def eie_minmax(s, d):
     w = Window.partitionBy()
     low, high = F.min("kwh").over(w), F.max("kwh").over(w)
-    return strategies(s).select("strategy", F.round(F.when(high == low, 0.5).otherwise((F.col("kwh") - low) / (high - low)), 6).alias("scaled"))
+    return strategies(s, d).select("strategy", F.round(F.when(high == low, 0.5).otherwise((F.col("kwh") - low) / (high - low)), 6).alias("scaled"))
 
 
-@query("pairwise_ratio", f"WITH {KWH_SQL} SELECT a.strategy AS numerator, b.strategy AS denominator, round(a.kwh / b.kwh, 6) AS ratio FROM k a, k b")
+@query("pairwise_ratio", f"{KWH_SQL} SELECT a.strategy AS numerator, b.strategy AS denominator, round(a.kwh / b.kwh, 6) AS ratio FROM k a, k b")
 def pairwise_ratio(s, d):
-    k = strategies(s)
+    k = strategies(s, d)
     return k.select(F.col("strategy").alias("numerator"), F.col("kwh").alias("x")).crossJoin(k.select(F.col("strategy").alias("denominator"), F.col("kwh").alias("y"))).select("numerator", "denominator", F.round(F.col("x") / F.col("y"), 6).alias("ratio"))
 
 
-@query("grid_carbon", f"WITH {KWH_SQL}, g(grid, kg) AS (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in GRID_KG) + ") SELECT grid, strategy, round(kwh * kg * 1000000, 4) AS kg_per_million FROM k, g")
+@query("grid_carbon", f"{KWH_SQL}, g(site, kg) AS (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in GRID_KG) + ") SELECT site AS grid, strategy, round(kwh * kg * 1000000, 4) AS kg_per_million FROM k, g")
 def grid_carbon(s, d):
     g = F.explode(F.array(*[F.struct(F.lit(n).alias("grid"), F.lit(v).alias("kg")) for n, v in GRID_KG]))
-    return strategies(s).withColumn("g", g).select("g.grid", "strategy", F.round(F.col("kwh") * F.col("g.kg") * 1000000, 4).alias("kg_per_million"))
+    return strategies(s, d).withColumn("g", g).select("g.grid", "strategy", F.round(F.col("kwh") * F.col("g.kg") * 1000000, 4).alias("kg_per_million"))
 
 
-@query("scaling_cost", f"WITH {KWH_SQL} SELECT volume, strategy, round(kwh * volume * 365 / 1000, 4) AS mwh_year, round(kwh * volume * 365 * 0.12, 2) AS usd_year FROM k, unnest([1000, 100000, 1000000]) AS v(volume)")
+@query("scaling_cost", f"{KWH_SQL} SELECT volume, strategy, round(kwh * volume * 365 / 1000, 4) AS mwh_year, round(kwh * volume * 365 * 0.12, 2) AS usd_year FROM k, unnest([1000, 100000, 1000000]) AS v(volume)")
 def scaling_cost(s, d):
     v = F.explode(F.array(*map(F.lit, [1000, 100000, 1000000])))
     year = F.col("kwh") * F.col("volume") * 365
-    return strategies(s).withColumn("volume", v).select("volume", "strategy", F.round(year / 1000, 4).alias("mwh_year"), F.round(year * USD_PER_KWH, 2).alias("usd_year"))
+    return strategies(s, d).withColumn("volume", v).select("volume", "strategy", F.round(year / 1000, 4).alias("mwh_year"), F.round(year * USD_PER_KWH, 2).alias("usd_year"))
