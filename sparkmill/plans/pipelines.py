@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkmill.functions import text as T
-from sparkmill.operators import hybrid, repair, retrieval, scoring_job, stats, topk
-from sparkmill.plans.queries import BM25, GOLD, GRID, PAIRS, TOK, TOK3, WORDS, bench_queries, doc_bodies, gold_documents, grid, query, table, turn_pairs, vectors
+from sparkmill.operators import hybrid, overlap, repair, retrieval, scoring_job, stats, topk
+from sparkmill.plans.queries import BM25, GOLD, GRID, PAIRS, TOK, TOK3, WORDS, bench_queries, boot_sql, doc_bodies, gold_documents, grid, query, table, turn_pairs, vectors
+from sparkmill.sources import files
 from sparkmill.sources.shared import shared_path, written
 
 # --- hybrid retrieval -------------------------------------------------------------------------
@@ -253,3 +254,49 @@ q AS (SELECT n, k, st / k / (n - 1) AS msr, sr / n / (k - 1) AS msc, (al - st /
 SELECT n AS targets, k AS raters, round((msr - mse) / (msr + (k - 1) * mse + k * (msc - mse) / n), 6) AS icc FROM q""")
 def icc_configurations(s, d):
     return stats.icc(grid(s, d), "question_id", "model_name", "token_f1")
+
+
+# --- texts ------------------------------------------------------------------------------------
+
+
+def bleu_sql() -> str:
+    bare = "coalesce({x}, '')"
+    for pattern, new in overlap.TOKENISER[:7]:
+        bare = f"regexp_replace({bare}, '{pattern}', '{new}', 'g')"
+    bare = f"(' ' || {bare} || ' ')"
+    for pattern, new in overlap.TOKENISER[7:]:
+        bare = f"regexp_replace({bare}, '{pattern}', '{new.replace('$', chr(92))}', 'g')"
+    tokens = "list_filter(regexp_split_to_array(" + bare.replace("{-~", "{{-~") + r", '[ \t\n\r\f\v]+'), lambda t: t <> '')"
+    return f"""WITH {PAIRS}, t AS (SELECT conv_id, turn, {tokens.format(x='pred')} AS p, {tokens.format(x='ref')} AS r FROM pairs),
+g AS (SELECT conv_id, turn, o, 0 AS side, array_to_string(p[i:i + o - 1], ' ') AS g FROM t, unnest([1, 2, 3, 4]) AS a(o), unnest(range(1, len(p) - o + 2)) AS b(i) UNION ALL SELECT conv_id, turn, o, 1, array_to_string(r[i:i + o - 1], ' ') FROM t, unnest([1, 2, 3, 4]) AS a(o), unnest(range(1, len(r) - o + 2)) AS b(i)),
+m AS (SELECT conv_id, turn, o, sum(least(p, r)) AS m FROM (SELECT conv_id, turn, o, g, count(*) FILTER (WHERE side = 0) AS p, count(*) FILTER (WHERE side = 1) AS r FROM g GROUP BY ALL) GROUP BY ALL),
+s AS (SELECT t.conv_id, t.turn, o, len(p) AS np, len(r) AS nr, len(p) - o + 1 AS n, coalesce(m, 0) AS m FROM t CROSS JOIN unnest([1, 2, 3, 4]) AS a(o) LEFT JOIN m USING (conv_id, turn, o)),
+c AS (SELECT *, count(*) FILTER (WHERE n > 0 AND m = 0) OVER (PARTITION BY conv_id, turn ORDER BY o) AS missed FROM s),
+l AS (SELECT conv_id, turn, max(np) AS np, max(nr) AS nr, sum(m) AS m, sum(CASE WHEN n <= 0 THEN 0 WHEN m > 0 THEN ln(m::DOUBLE / n) ELSE ln(1 / (pow(2.0, missed) * n)) END) AS l FROM c GROUP BY 1, 2)
+SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0 ELSE CASE WHEN np < nr THEN exp(1 - nr::DOUBLE / np) ELSE 1 END * exp(l / least(np, 4)) END, 6) AS bleu FROM l"""
+
+
+@query("sentence_bleu", bleu_sql())
+def sentence_bleu(s, d):
+    return overlap.sentence_bleu(turn_pairs(s, d), ["conv_id", "turn"], "pred", "ref")
+
+
+PROXY = f"{PAIRS}, t AS (SELECT conv_id, turn, list_distinct({TOK3.format(x='pred')}) AS p, list_distinct({TOK3.format(x='ref')}) AS r FROM pairs WHERE length(trim(ref)) >= 50), o AS (SELECT 'used' AS arm, conv_id * 100000 + turn AS at, CASE WHEN len(list_distinct(list_concat(p, r))) = 0 THEN 0 ELSE len(list_intersect(p, r))::DOUBLE / len(list_distinct(list_concat(p, r))) END AS overlap FROM t)"
+
+
+@query("faithfulness_proxy", f"WITH {PROXY}, " + boot_sql("o", "arm", "overlap", '"at"', 2000))
+def faithfulness_proxy(s, d):
+    """Mean overlap of an answer's tokens with its evidence, and its interval, over answers whose evidence has 50 characters or more."""
+    used = turn_pairs(s, d).where(F.length(F.trim("ref")) >= 50)
+    overlaps = used.select(F.lit("used").alias("arm"), (F.col("conv_id") * 100000 + F.col("turn")).alias("at"), T.jaccard(T.tokens(F.col("pred"), 3), T.tokens(F.col("ref"), 3)).alias("overlap"))
+    return stats.bootstrap_ci(overlaps, "arm", "overlap", "at")
+
+
+@query("positional_join", "SELECT position, doc_id, lang, length(text)::INT AS n FROM (SELECT *, row_number() OVER () - 1 AS position FROM documents)")
+def positional_join(s, d):
+    """Two tables that hold a document's columns apart, put side by side by the places of their rows."""
+    base, kept = shared_path(s, "columns"), ["doc_id", "lang", "text"]
+    rows = files.positioned(s, f"{d}/documents.parquet").select("position", *kept).repartitionByRange(4, "position").sortWithinPartitions("position")
+    rows.select("doc_id", "lang").write.parquet(f"{base}/left")
+    rows.select("text").write.parquet(f"{base}/right")
+    return files.positional_join(s, f"{base}/left", f"{base}/right").select("position", "doc_id", "lang", F.length("text").alias("n"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from sparkmill.functions import text as T
+from sparkmill.functions.stemmer import stem
 from sparkmill.operators import stats
 from sparkmill.plans.queries import GRID, SQL, boot_sql, grid, query, table, turn_pairs
 from sparkmill.plans.scoring import CHUNK, CITED, CONTEXTS, contexts
@@ -173,3 +174,16 @@ def rouge_l(s, d):
         return 2.0 * pd.Series(n, index=pred.index) / (pred.map(len) + ref.map(len)).clip(lower=1)
 
     return turn_pairs(s, d).select("conv_id", "turn", F.round(f(T.tokens(F.col("pred")), T.tokens(F.col("ref"))), 6).alias("f"))
+
+
+@query("rouge_l_stemmed")
+def rouge_l_stemmed(s, d):
+    """ROUGE-L's F over stemmed tokens; tokens of three letters or fewer stay."""
+
+    @pandas_udf("double")
+    def f(pred: pd.Series, ref: pd.Series) -> pd.Series:
+        stems = lambda ts: [stem(t) if len(t) > 3 else t for t in ts]
+        n = [longest_common(stems(r), stems(p)) for p, r in zip(pred, ref, strict=True)]
+        return 2.0 * pd.Series(n, index=pred.index) / (pred.map(len) + ref.map(len)).clip(lower=1)
+
+    return turn_pairs(s, d).select("conv_id", "turn", F.round(f(T.tokens(F.col("pred")), T.tokens(F.col("ref"))), 6).alias("f"))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from sparkmill.sources.shared import written
+
 
 def missing_as_null(df: DataFrame) -> DataFrame:
     """Blank text and NaN become null: inside the engine there is one missing value."""
@@ -24,9 +29,14 @@ def jsonl(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame
 
 def json_rows(spark: SparkSession, path: str, rows: str | None = None) -> DataFrame:
     """A document that is a list of rows, or an object with the rows under the field `rows` (the first list of objects, if not named)."""
+    whole = spark.read.text(path, wholetext=True).select(F.substring(F.trim(F.regexp_replace("value", r"^\uFEFF?\s+", "")), 1, 1).alias("c"))
     df = spark.read.option("multiLine", True).json(path)
+    if whole.where("c <> '['").isEmpty():
+        return df
     name = rows or next((f.name for f in df.schema if f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct"), None)
-    return df if name is None else df.select(F.explode(name).alias("_r")).select("_r.*")
+    if name is None or name not in df.columns:
+        raise ValueError(f"{path} holds no list of rows")
+    return df.select(F.explode(name).alias("_r")).select("_r.*")
 
 
 def chunk_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -75,3 +85,90 @@ def reference_map(spark: SparkSession, path: str) -> DataFrame:
 
 def corpus_profile(lines: DataFrame, marker: str = "pubmedqa_") -> DataFrame:
     return lines.agg(F.count("*").alias("n"), F.count_if(F.contains("source", F.lit(marker))).alias("n_marked"))
+
+
+# --- positions --------------------------------------------------------------------------------
+
+
+def positioned(spark: SparkSession, path: str, position: str = "position") -> DataFrame:
+    """A Parquet table with each row's place in it, from 0: files in the order of their names, rows in the order of their file.
+
+    Files are counted first, one row a file; no row is moved.
+    """
+    df = spark.read.parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before, starts = 0, []
+    for r in df.groupBy("_file").agg(F.max("_row").alias("last")).orderBy("_file").collect():
+        starts.append((r["_file"], before))
+        before += r["last"] + 1
+    first = spark.createDataFrame(starts, "_file string, _first long")
+    return df.join(first, "_file").withColumn(position, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
+
+
+def positional_join(spark: SparkSession, left: str, right: str, position: str = "position") -> DataFrame:
+    """Rows of two Parquet tables side by side, by their places; the query fails if one has more rows. Their other columns must differ."""
+    a, b = positioned(spark, left, position).withColumn("_left", F.lit(True)), positioned(spark, right, position).withColumn("_right", F.lit(True))
+    both = a.join(b, position, "full")
+    even = F.assert_true(F.col("_left").isNotNull() & F.col("_right").isNotNull(), F.lit("the tables have different numbers of rows"))
+    return both.where(even.isNull()).drop("_left", "_right")
+
+
+# --- a scan that stops ------------------------------------------------------------------------
+
+
+def capped_scan(spark: SparkSession, paths: list[str], make: Callable[[DataFrame], DataFrame], target: int, first: int = 1, growth: int = 4) -> tuple[DataFrame, int]:
+    """The first `target` rows that make gives for Parquet files, in the files' order, and how many files were read.
+
+    Files are read in waves, each so many times as large as the one before, until there are enough rows; files after the last wave are never opened. make
+    gets rows with _file and _row and keeps both, and adds _n, which numbers the rows that it makes of one. So the result is the same whatever the waves.
+    """
+    taken, read, have, wave, order = None, 0, 0, first, {p: k for k, p in enumerate(paths)}
+    while read < len(paths) and have < target:
+        some = paths[read : read + wave]
+        parts = None
+        for p in some:
+            one = spark.read.parquet(p).select("*", F.lit(order[p]).alias("_file"), F.col("_metadata.row_index").alias("_row"))
+            parts = one if parts is None else parts.unionByName(one, allowMissingColumns=True)
+        made = written(make(parts), "scanned")
+        n = made.count()
+        if have + n > target:
+            made = made.orderBy("_file", "_row", "_n").limit(target - have)
+        taken = made if taken is None else taken.unionByName(made, allowMissingColumns=True)
+        read, have, wave = read + len(some), have + n, wave * growth
+    if taken is None:
+        raise ValueError("no files, or a target of no rows")
+    return taken, read
+
+
+# --- XML --------------------------------------------------------------------------------------
+
+# The tags whose texts count, in lower case, and the shortest text.
+XML_TAGS = ["abstracttext", "sec", "p", "title", "articletitle"]
+XML_LEAST = 30
+
+
+def xml_texts(spark: SparkSession, path: str, tags: list[str] | None = None, least: int = XML_LEAST) -> DataFrame:
+    """path, text, ok: of each XML file the texts of some tags that are longer than `least`, in order, with blank lines between. A broken file has an empty text and ok false.
+
+    A tag's text is what stands before its first child; namespaces don't count. A file is one row of a task.
+    """
+    wanted = set(tags or XML_TAGS)
+
+    def run(batches):
+        import xml.etree.ElementTree as ET
+
+        for rows in batches:
+            out = []
+            for name, content in zip(rows["path"], rows["content"]):
+                try:
+                    found = [(e.tag.rpartition("}")[2].lower(), (e.text or "").strip()) for e in ET.fromstring(content).iter() if isinstance(e.tag, str)]
+                    out.append((name, "\n\n".join(t for tag, t in found if tag in wanted and len(t) > least), True))
+                except ET.ParseError:
+                    out.append((name, "", False))
+            yield pd.DataFrame(out, columns=["path", "text", "ok"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string, ok boolean")
+
+
+def enriched(base: Column, extra: Column) -> Column:
+    """The extra text where it is over 1.2 times as long as the base."""
+    return F.when(F.length(F.coalesce(extra, F.lit(""))) > 1.2 * F.length(F.coalesce(base, F.lit(""))), extra).otherwise(base)
