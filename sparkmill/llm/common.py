@@ -54,6 +54,29 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parts_of(df: DataFrame, rows: int, each: int = 100_000) -> int:
+    """Tasks for so many rows: as many as hold `each`, but two a core at least."""
+    return max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // each)
+
+
+#: Bits of the largest bitmap that tells which keys may be wanted: 262,144 words of 64.
+MOST_MARKS = 1 << 24
+
+
+def only_marked(rows: DataFrame, column: str, keys: DataFrame, key: str, count: int) -> DataFrame:
+    """rows whose column is in keys, and a few others: cheaper than a join where rows are wide or many.
+
+    Keys are put into a bitmap by their hashes, eight bits a key up to MOST_MARKS in all, whose words are broadcast; it drops fewer rows the fuller it is and never a wanted one.
+    """
+    bits = min(MOST_MARKS, max(1 << 12, 1 << (8 * count).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(bits))
+    shift = lambda name, x, c: F.call_function(name, x, (F.col(c) % 64).cast("int"))
+    word = F.floor(F.col("_at") / 64).cast("int").alias("_word")
+    marks = keys.select(at(key).alias("_at")).groupBy(word).agg(F.bit_or(shift("shiftleft", F.lit(1).cast("long"), "_at")).alias("_marks"))
+    placed = rows.withColumn("_at", at(column)).withColumn("_word", word)
+    return placed.join(F.broadcast(marks), "_word").where(shift("shiftright", F.col("_marks"), "_at").bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo parts."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(parts)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import discard, written
+from sparkmill.llm.common import discard, parts_of, written
 
 ROUNDS = 60
 
@@ -22,24 +22,34 @@ def stars(links: DataFrame) -> DataFrame:
     Links of a node to itself count for nothing; an empty table gives an empty table.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
+    before, parts = None, parts_of(edges, edges.count())
     for _ in range(ROUNDS):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # stages of few rows get few tasks, whatever the session's shuffle partitions are
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
         # large star: what is larger than the node hangs on its smallest neighbour
         large = edges.select(F.col("v").alias("node"), F.col("u").alias("larger")).join(least.withColumnRenamed("u", "node"), "node").select(F.col("larger").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = large.where("u <> v").coalesce(parts).distinct().coalesce(parts)
         # small star: a node's smaller neighbours, and itself, hang on the smallest of them
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.col("v").alias("x"), "m").where("x <> m").union(small_least.select(F.col("u").alias("x"), "m"))
-        after = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).distinct(), "links")
+        small_least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        small = large.join(small_least, "u").select(F.col("v").alias("x"), "m").where("x <> m").coalesce(parts).union(small_least.select(F.col("u").alias("x"), "m"))
+        after = written(small.select(F.col("x").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts), "links")
         discard(edges)
         edges = after
         # settled once every node has one link, and no centre has one itself
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, parts = state, parts_of(edges, state[0])
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).coalesce(parts).distinct().coalesce(parts)
+
+
+def merged(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component (node, component; every node once) after further links (a, b): only the components that links join are looked at anew."""
+    parts = parts_of(component, component.count())
+    label = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    joined = links.coalesce(parts).join(label("a"), "a").coalesce(parts).join(label("b"), "b").select(F.col("a_in").alias("a"), F.col("b_in").alias("b")).where("a <> b").coalesce(parts)
+    renamed = stars(joined).select(F.col("node").alias("component"), F.col("component").alias("_into"))
+    return written(component.join(renamed, "component", "left").select("node", F.coalesce("_into", "component").alias("component")).coalesce(parts), "components")

@@ -21,6 +21,7 @@ without words still link with nothing. Only the id and text columns are read, un
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import bytes_of, discard, held, slices, written
-from sparkmill.llm.components import stars
+from sparkmill.llm.common import bytes_of, discard, held, only_marked, parts_of, slices, written
+from sparkmill.llm.components import merged
 
 #: Words of an n-gram and the threshold, as a percentage.
 WORDS, PERCENT = 3, 90
@@ -38,7 +39,7 @@ FRAGMENTS = 8
 #: Bits of the smallest parity bitmap.
 LEAST_BITS = 256
 #: The order of n-grams is fitted on about SAMPLE_DOCS documents: what two of them or more share, up to FREQUENT_KEPT n-grams, comes last. Any order gives the same result.
-SAMPLE_DOCS, FREQUENT_KEPT = 10_000, 500_000
+SAMPLE_DOCS, FREQUENT_KEPT = 20_000, 500_000
 #: Members of a bucket that meet all others in a round, and the pairs a class that are few enough to be looked at without further rounds.
 CENTRES, PAIRS_LEFT = 8, 20
 #: Members of a bucket that one task holds against its centres, about.
@@ -90,7 +91,7 @@ def frequent(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets, np.empty(0, np.int64)]))], names=["g"])
 
     top = sample.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "g").limit(FREQUENT_KEPT)
-    return np.array([r.g for r in top.select("g").collect()][::-1], np.int64)
+    return top.select("g").toArrow().column("g").to_numpy()[::-1].copy()
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, order) -> DataFrame:
@@ -173,8 +174,10 @@ def segments_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str
                 names=["node", "fragment", "segment"],
             )
 
-    one = wanted.join(sets, "node").select("node", "digest", F.col("least").alias("doc_id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(one, "doc_id").select("node", "digest", "text")
+    one = written(wanted.join(sets, "node").select("node", "digest", F.col("least").alias("doc_id")), "wanted")
+    count = one.count()
+    likely = only_marked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", one, "doc_id", count)
+    texts = likely.join(one, "doc_id").select("node", "digest", "text").coalesce(parts_of(docs, count, 4000))
     return texts.mapInArrow(run, "node long, fragment int, segment array<long>")
 
 
@@ -189,67 +192,72 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = written(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
     parity = sets.select("node", "n", "parity")
 
+    classes = sets.count()
+    parts = parts_of(docs, classes, 20_000)
+
     def verified(likely: DataFrame) -> DataFrame:
         """likely: a, b, na, nb. Those whose overlaps, counted by fragment and summed, reach the threshold."""
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
+        wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).coalesce(parts).distinct().coalesce(parts)
         segments = written(segments_of(docs, sets.select("node", "digest", "least"), wanted, id_col, text_col, n, order), "segments")
         left = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa"))
         right = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
         each = likely.withColumn("fragment", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
         # a fragment of which either has nothing adds nothing; rows that repeat an id and text give a segment twice
-        shared = each.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("sa", "sb")).alias("shared")).distinct()
+        met = each.join(left, ["a", "fragment"]).coalesce(parts).join(right, ["b", "fragment"])
+        shared = met.select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("sa", "sb")).alias("shared")).coalesce(parts).distinct().coalesce(parts)
         total = shared.groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
-        found = written(total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b"), "links-found")
+        found = written(total.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b").coalesce(parts), "links-found")
         discard(segments)
         return found
 
     member = sets.select("node", "n", F.explode("prefix").alias("g"))
-    buckets = member.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("first")).where("k > 1")
-    member = written(member.join(buckets.select("g", "first"), "g"), "prefix-members")
+    buckets = written(member.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("first")).where("k > 1").select("g", "first").coalesce(parts), "buckets")
+    # most n-grams of prefixes are one class's own: they go before the join
+    member = written(only_marked(member, "g", buckets, "g", buckets.count()).join(buckets, "g").coalesce(parts), "prefix-members")
     # first pass: each bucket's smallest member and the others
-    pairs = member.where((F.col("node") != F.col("first.node")) & alike_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = member.where((F.col("node") != F.col("first.node")) & alike_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct().coalesce(parts)
     one, two = parity.toDF("a", "na", "pa"), parity.toDF("b", "nb", "pb")
     ends = may_link(F.col("na"), F.col("pa"), F.col("nb"), F.col("pb"), percent)
-    likely = written(pairs.join(one, "a").join(two, "b").where(ends).select("a", "b", "na", "nb"), "likely-pairs")
-    links = verified(likely)
-    seen, rest = likely.select("a", "b"), member.where(F.col("node") != F.col("first.node")).select("g", "node", "n")
-    links = links.union(same_ids(filled, sets))
-    component = written(stars(links), "components")
-    classes = sets.count()
+    likely = written(pairs.join(one, "a").coalesce(parts).join(two, "b").where(ends).select("a", "b", "na", "nb").coalesce(parts), "likely-pairs")
+    seen = likely.select("a", "b")
+    # sets that may link lie in one band of sizes or in two that follow each other, so a member stands in its own band's bucket and in the next one's
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n")
+    banded = member.where(F.col("node") != F.col("first.node")).select("g", "node", "n", band.alias("band")).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    rest = banded.select(F.xxhash64("g", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") + 1)).alias("g"), "node", "n", "own")
+    component = merged(sets.select("node", F.col("node").alias("component")), verified(likely).union(same_ids(filled, sets)))
 
     round_ = 0
     while True:
         # what is left of the buckets that mix components
-        placed = rest.join(component, "node", "left").select("g", "node", "n", F.coalesce("component", "node").alias("component"))
-        mixed = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k")).where("low <> high").select("g", "k")
-        placed = written(placed.join(mixed, "g"), "mixed-members")
-        parts = placed.groupBy("g", "component").agg(F.count("*").alias("k"))
-        across = parts.groupBy("g").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
+        placed = rest.join(component, "node").select("g", "node", "n", "own", "component").coalesce(parts)
+        mixed = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), F.bool_or("own").alias("owned")).where("low <> high and owned").select("g", "k")
+        placed = written(placed.join(mixed, "g").coalesce(parts), "mixed-members")
+        sums = placed.groupBy("g", "component").agg(F.count("*").alias("k")).coalesce(parts)
+        across = sums.groupBy("g").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
         left = across.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
         if not left:
             break
         last = left <= PAIRS_LEFT * classes
         chance = F.pmod(F.xxhash64("g", "node", F.lit(round_)), F.lit(2**30)) / F.lit(float(2**30)) * F.col("k") < float(CENTRES ** (round_ + 1))
-        whole = placed.join(parity.select("node", "parity"), "node").withColumn("centre", F.lit(True) if last else chance).withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS).cast("int"))
+        whole = placed.withColumn("centre", F.lit(True) if last else chance).withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS).cast("int"))
         # a large bucket lies in blocks, each of which meets the centres
-        centres = whole.where("centre").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("parity").alias("px"), F.col("component").alias("cx"))
-        others = whole.select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("parity").alias("py"), F.col("component").alias("cy"), F.col("centre").alias("other"))
-        # two centres meet once
-        once = ~F.col("other") | (F.col("x") < F.col("y"))
-        met = centres.join(others, (centres["g"] == others["g"]) & (centres["block"] == others["block"]) & (F.col("cx") != F.col("cy")) & once & may_link(F.col("nx"), F.col("px"), F.col("ny"), F.col("py"), percent))
-        low = F.col("x") < F.col("y")
-        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(low, F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(low, F.col("ny")).otherwise(F.col("nx")).alias("nb")).distinct()
-        likely = written(pairs.join(seen, ["a", "b"], "left_anti"), "likely-pairs")
+        centres = whole.where("centre").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("component").alias("cx"))
+        others = whole.select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"), F.col("component").alias("cy"), F.col("centre").alias("other"))
+        # two centres meet once, and a pair in the bucket of the higher band of the two
+        once = (~F.col("other") | (F.col("x") < F.col("y"))) & (F.col("ox") | F.col("oy"))
+        met = centres.join(others, (centres["g"] == others["g"]) & (centres["block"] == others["block"]) & (F.col("cx") != F.col("cy")) & once & alike_in_size(F.col("nx"), F.col("ny"), percent))
+        pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).coalesce(parts).distinct().coalesce(parts)
+        fresh = pairs.join(seen, ["a", "b"], "left_anti").coalesce(parts)
+        likely = written(fresh.join(one, "a").coalesce(parts).join(two, "b").where(ends).select("a", "b", "na", "nb").coalesce(parts), "likely-pairs")
         if not likely.isEmpty():
-            links = links.union(verified(likely))
-            component = written(stars(links), "components")
+            component = merged(component, verified(likely))
             seen = seen.union(likely.select("a", "b"))
         if last:
             break
-        rest = placed.withColumn("centre", chance).where("NOT centre").select("g", "node", "n")
+        rest = placed.withColumn("centre", chance).where("NOT centre").select("g", "node", "n", "own")
         round_ += 1
 
-    named = sets.join(component, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
+    named = sets.join(component, "node").select("digest", "least", "component")
     reached = named.groupBy("component").agg(F.min("least").alias("smallest"))
     named = named.join(reached, "component").select("digest", F.col("least").alias("class_id"), "smallest")
     return rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("smallest", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
