@@ -73,8 +73,8 @@ def only_marked(rows: DataFrame, column: str, keys: DataFrame, key: str, count:
     shift = lambda name, x, c: F.call_function(name, x, (F.col(c) % 64).cast("int"))
     word = F.floor(F.col("_at") / 64).cast("int").alias("_word")
     marks = keys.select(at(key).alias("_at")).groupBy(word).agg(F.bit_or(shift("shiftleft", F.lit(1).cast("long"), "_at")).alias("_marks"))
-    placed = rows.withColumn("_at", at(column)).withColumn("_word", word)
-    return placed.join(F.broadcast(marks), "_word").where(shift("shiftright", F.col("_marks"), "_at").bitwiseAND(F.lit(1).cast("long")) == 1).select(*rows.columns)
+    placed = rows.select(F.struct(*rows.columns).alias("_row"), at(column).alias("_at")).select("_row", "_at", word)
+    return placed.join(F.broadcast(marks), "_word").where(shift("shiftright", F.col("_marks"), "_at").bitwiseAND(F.lit(1).cast("long")) == 1).select("_row.*")
 
 
 def fold(id_col: str, parts: int) -> Column:

@@ -152,6 +152,23 @@ def may_link(na: Column, pa: Column, nb: Column, pb: Column, percent: int) -> Co
     return alike_in_size(na, nb, percent) & (differing_bits(pa, pb) <= most)
 
 
+def fold_of(parity: Column) -> Column:
+    """The parity bitmap of LEAST_BITS bits that a larger one folds to."""
+    words = LEAST_BITS // 64
+    every = lambda k: F.filter(parity, lambda _, i: i % words == k)
+    return F.array(*[F.aggregate(every(k), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)) for k in range(words)])
+
+
+def first_shared(nx: Column, ix: Column, px: Column, ny: Column, iy: Column, py: Column, percent: int) -> Column:
+    """Whether two sets may link whose first shared n-gram has places ix and iy in them: what follows must hold the least overlap, and the folded bitmaps may not differ too much.
+
+    A pair that links passes in the bucket of its first shared n-gram, and need not in others.
+    """
+    least = F.ceil(percent * (nx + ny) / (100 + percent))
+    differ = sum((F.bit_count(px[k].bitwiseXOR(py[k])) for k in range(LEAST_BITS // 64)), F.lit(0))
+    return alike_in_size(nx, ny, percent) & (F.least(nx - ix, ny - iy) >= least) & (differ <= nx + ny - 2 * least)
+
+
 def segments_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str, text_col: str, n: int, order) -> DataFrame:
     """node, fragment, segment: of the sets of the wanted nodes, made again from their texts. The last fragment has the frequent n-grams, the others equal shares of the order of the rest."""
 
@@ -189,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = signatures(docs, id_col, text_col, n, percent, order)
     filled = rows.where("n_shingles > 0")
     distinct = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    sets = written(distinct.withColumn("node", F.monotonically_increasing_id()), "sets")
+    sets = written(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("fold", fold_of(F.col("parity"))), "sets")
     parity = sets.select("node", "n", "parity")
 
     classes = sets.count()
@@ -210,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(segments)
         return found
 
-    member = sets.select("node", "n", F.explode("prefix").alias("g"))
+    member = sets.select("node", "n", "fold", F.posexplode("prefix").alias("i", "g"))
     buckets = written(member.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("first")).where("k > 1").select("g", "first").coalesce(parts), "buckets")
     # most n-grams of prefixes are one class's own: they go before the join
     member = written(only_marked(member, "g", buckets, "g", buckets.count()).join(buckets, "g").coalesce(parts), "prefix-members")
@@ -222,14 +239,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = likely.select("a", "b")
     # sets that may link lie in one band of sizes or in two that follow each other, so a member stands in its own band's bucket and in the next one's
     band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n")
-    banded = member.where(F.col("node") != F.col("first.node")).select("g", "node", "n", band.alias("band")).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
-    rest = banded.select(F.xxhash64("g", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") + 1)).alias("g"), "node", "n", "own")
+    banded = member.where(F.col("node") != F.col("first.node")).select("g", "node", "n", "i", "fold", band.alias("band")).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+    rest = banded.select(F.xxhash64("g", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") + 1)).alias("g"), "node", "n", "i", "fold", "own")
     component = merged(sets.select("node", F.col("node").alias("component")), verified(likely).union(same_ids(filled, sets)))
 
     round_ = 0
     while True:
         # what is left of the buckets that mix components
-        placed = rest.join(component, "node").select("g", "node", "n", "own", "component").coalesce(parts)
+        placed = rest.join(component, "node").select("g", "node", "n", "i", "fold", "own", "component").coalesce(parts)
         mixed = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("k"), F.bool_or("own").alias("owned")).where("low <> high and owned").select("g", "k")
         placed = written(placed.join(mixed, "g").coalesce(parts), "mixed-members")
         sums = placed.groupBy("g", "component").agg(F.count("*").alias("k")).coalesce(parts)
@@ -241,11 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         chance = F.pmod(F.xxhash64("g", "node", F.lit(round_)), F.lit(2**30)) / F.lit(float(2**30)) * F.col("k") < float(CENTRES ** (round_ + 1))
         whole = placed.withColumn("centre", F.lit(True) if last else chance).withColumn("blocks", F.ceil(F.col("k") / BLOCK_ROWS).cast("int"))
         # a large bucket lies in blocks, each of which meets the centres
-        centres = whole.where("centre").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("own").alias("ox"), F.col("component").alias("cx"))
-        others = whole.select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("own").alias("oy"), F.col("component").alias("cy"), F.col("centre").alias("other"))
+        centres = whole.where("centre").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("x"), F.col("n").alias("nx"), F.col("i").alias("ix"), F.col("fold").alias("px"), F.col("own").alias("ox"), F.col("component").alias("cx"))
+        others = whole.select("g", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("i").alias("iy"), F.col("fold").alias("py"), F.col("own").alias("oy"), F.col("component").alias("cy"), F.col("centre").alias("other"))
         # two centres meet once, and a pair in the bucket of the higher band of the two
         once = (~F.col("other") | (F.col("x") < F.col("y"))) & (F.col("ox") | F.col("oy"))
-        met = centres.join(others, (centres["g"] == others["g"]) & (centres["block"] == others["block"]) & (F.col("cx") != F.col("cy")) & once & alike_in_size(F.col("nx"), F.col("ny"), percent))
+        met = centres.join(others, (centres["g"] == others["g"]) & (centres["block"] == others["block"]) & (F.col("cx") != F.col("cy")) & once & first_shared(*map(F.col, ["nx", "ix", "px", "ny", "iy", "py"]), percent))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).coalesce(parts).distinct().coalesce(parts)
         fresh = pairs.join(seen, ["a", "b"], "left_anti").coalesce(parts)
         likely = written(fresh.join(one, "a").coalesce(parts).join(two, "b").where(ends).select("a", "b", "na", "nb").coalesce(parts), "likely-pairs")
@@ -254,7 +271,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             seen = seen.union(likely.select("a", "b"))
         if last:
             break
-        rest = placed.withColumn("centre", chance).where("NOT centre").select("g", "node", "n", "own")
+        rest = placed.withColumn("centre", chance).where("NOT centre").select("g", "node", "n", "i", "fold", "own")
         round_ += 1
 
     named = sets.join(component, "node").select("digest", "least", "component")
