@@ -111,7 +111,7 @@ def rerank(candidates: DataFrame, scorer: Callable[[list[str], list[str]], list[
 
 def clean(text: Column) -> Column:
     """Without the index's own tags, each run of white space one space."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?i)\b(?:idx|source|dense|lexical|combined)=[^ \t\n\r\f\x0B,]+", "")
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i){T.EDGE}(?:idx|source|dense|lexical|combined)=[^ \t\n\r\f\x0B,]+", "")
     return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f\x0B]+", " "))
 
 

@@ -14,7 +14,7 @@ from sparkmill.plans.queries import BM25, CONFIGS, DENSE, GRID, KWH_SQL, LEX, RR
 
 @query("clean_passage", r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '(?i)\b(?:source|chunk_id|section)=[^ \t\n\r\f\v]*', ' ', 'g'), '[ \t\n\r\f\v]+', ' ', 'g')) AS text FROM documents")
 def clean_passage(s, d):
-    x = F.regexp_replace("text", r"(?i)\b(?:source|chunk_id|section)=[^ \t\n\r\f\x0B]*", " ")
+    x = F.regexp_replace("text", rf"(?i){T.EDGE}(?:source|chunk_id|section)=[^ \t\n\r\f\x0B]*", " ")
     return table(s, d, "documents").select("doc_id", F.trim(F.regexp_replace(x, r"[ \t\n\r\f\x0B]+", " ")).alias("text"))
 
 

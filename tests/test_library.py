@@ -194,3 +194,9 @@ def test_option_text(spark, choices, letter, text):
 @pytest.mark.parametrize(("answer", "letter"), [("b", "B"), ("c) yes", "C"), ("D\nx", "D"), ("Both", ""), ("a_b", ""), (None, ""), (" e", "E"), ("5", "")])
 def test_answer_letter(spark, answer, letter):
     assert value(spark, T.answer_letter(F.lit(answer).cast("string"))) == letter
+
+
+def test_labels_are_parted_at_ascii_edges(spark):
+    said = [value(spark, T.yes_no_maybe(F.lit(x))) for x in ("noé", "ciónno or", "éno x", "_no", "\u00a0no yes", "İnconclusive", "yesé or no")]
+    assert said == ["no", "", "no", "", "no", "maybe", "yes"]
+    assert value(spark, T.choice_letter(F.lit("xx ñb a"))) == "B"
