@@ -206,7 +206,7 @@ def one_hot_domains(s, d):
 def annual_cost(s, d):
     year = F.col("kwh") * 365000000
     hardware = F.when(F.col("strategy").startswith("SLM"), 350).otherwise(1200) / 3.0
-    return strategies(s, d).select("strategy", F.round(year * 0.12, 2).alias("electricity"), F.round(year * 0.12 + hardware, 2).alias("combined"), F.round(year * 0.385 / 1000, 4).alias("tonnes"))
+    return strategies(s, d).select("strategy", T.rounded(year * 0.12, 2).alias("electricity"), T.rounded(year * 0.12 + hardware, 2).alias("combined"), F.round(year * 0.385 / 1000, 4).alias("tonnes"))
 
 
 @query("rag_energy_delta", f"{KWH_SQL} SELECT split_part(a.strategy, '_', 1) AS model, round(100 * (b.kwh - a.kwh) / a.kwh, 6) AS pct FROM k a JOIN k b ON a.strategy = split_part(b.strategy, '_', 1) || '_NoRAG' AND b.strategy LIKE '%\\_RAG' ESCAPE '\\'")

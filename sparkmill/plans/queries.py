@@ -636,11 +636,11 @@ def pairwise_ratio(s, d):
 @query("grid_carbon", f"{KWH_SQL}, g(site, kg) AS (VALUES " + ", ".join(f"('{n}', {v}::DOUBLE)" for n, v in GRID_KG) + ") SELECT site AS grid, strategy, round(kwh * kg * 1000000, 4) AS kg_per_million FROM k, g")
 def grid_carbon(s, d):
     g = F.explode(F.array(*[F.struct(F.lit(n).alias("grid"), F.lit(v).alias("kg")) for n, v in GRID_KG]))
-    return strategies(s, d).withColumn("g", g).select("g.grid", "strategy", F.round(F.col("kwh") * F.col("g.kg") * 1000000, 4).alias("kg_per_million"))
+    return strategies(s, d).withColumn("g", g).select("g.grid", "strategy", T.rounded(F.col("kwh") * F.col("g.kg") * 1000000, 4).alias("kg_per_million"))
 
 
 @query("scaling_cost", f"{KWH_SQL} SELECT volume, strategy, round(kwh * volume * 365 / 1000, 4) AS mwh_year, round(kwh * volume * 365 * 0.12, 2) AS usd_year FROM k, unnest([1000, 100000, 1000000]) AS v(volume)")
 def scaling_cost(s, d):
     v = F.explode(F.array(*map(F.lit, [1000, 100000, 1000000])))
     year = F.col("kwh") * F.col("volume") * 365
-    return strategies(s, d).withColumn("volume", v).select("volume", "strategy", F.round(year / 1000, 4).alias("mwh_year"), F.round(year * USD_PER_KWH, 2).alias("usd_year"))
+    return strategies(s, d).withColumn("volume", v).select("volume", "strategy", T.rounded(year / 1000, 4).alias("mwh_year"), T.rounded(year * USD_PER_KWH, 2).alias("usd_year"))

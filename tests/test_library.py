@@ -200,3 +200,10 @@ def test_labels_are_parted_at_ascii_edges(spark):
     said = [value(spark, T.yes_no_maybe(F.lit(x))) for x in ("noé", "ciónno or", "éno x", "_no", "\u00a0no yes", "İnconclusive", "yesé or no")]
     assert said == ["no", "", "no", "", "no", "maybe", "yes"]
     assert value(spark, T.choice_letter(F.lit("xx ñb a"))) == "B"
+
+
+def test_ties_are_rounded_as_duckdb_does(spark):
+    got = {(r.volume, r.strategy): r.usd_year for r in QUERIES["scaling_cost"](spark, os.path.join(os.path.dirname(DATA), "sf0.01")).collect()}
+    assert got[100_000, "LLM_NoRAG"] == 632.54
+    xs = [632.545, 1.005, 2.5, -0.125, 1e-9, 0.00014441666666666666 * 100000 * 365 * 0.12]
+    assert [value(spark, T.rounded(F.lit(x), 2)) for x in xs] == [duckdb.execute("SELECT round(?::DOUBLE, 2)", [x]).fetchall()[0][0] for x in xs]
