@@ -8,26 +8,50 @@ from pyspark.sql import functions as F
 from sparkmill.sources.shared import written
 
 
-#: Rows of values up to which they are broadcast to the draws instead of the draws being shuffled to them.
-BROADCAST_ROWS = 1_000_000
+#: Values that a task holds at once (32 MB), and those of a row that carries them.
+SPAN, CHUNK = 1 << 22, 1 << 14
+
+
+def numbered(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """rows with i, their number within the group by an order, from 0; ranges are numbered each by its own task, so no group is one task's."""
+    ranged = written(rows.repartitionByRange(group, order).withColumn("_p", F.spark_partition_id()), "bootstrap-ranges")
+    counts = ranged.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = written(counts.select(group, "_p", before.alias("_before")), "bootstrap-starts")
+    at = F.row_number().over(Window.partitionBy(group, "_p").orderBy(order)) - 1 + F.col("_before")
+    return ranged.join(before, [group, "_p"]).withColumn("i", at).drop("_p", "_before")
 
 
 def bootstrap_ci(values: DataFrame, group: str, value: str, order: str, resamples: int = 2000, alpha: float = 0.05, seed: str = "17") -> DataFrame:
     """group, mean, low, high: percentile bootstrap of the mean; draw j of resample b takes row hash(seed, group, b, j) mod n.
 
-    Resamples are dealt to tasks before their draws are made, as the few rows that they come of are one task's. Up to a counted size the values
-    go to the draws, which are then added up where they are made and never shuffled.
+    A draw is never a row: a group's values are packed, sent to each of some ranges of resamples, and a task hashes its resamples' draws and adds up what they take.
+    Of a group of more than SPAN values a task has a part, and partial sums are added; each part hashes all draws anew.
     """
-    rows = values.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).alias("i"))
-    rows = written(rows, "bootstrap-values")
-    near = F.broadcast if rows.count() <= BROADCAST_ROWS else lambda df: df
+    import pyarrow as pa
+
+    from sparkmill.operators.draws import adder
+
+    sums, span = adder(), SPAN
+    rows = values.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
+    rows = written(numbered(rows, "g", "o").select("g", "v", "i"), "bootstrap-values")
     sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
-    tasks = max(resamples // 20 + 1, 2 * values.sparkSession.sparkContext.defaultParallelism)
-    draws = sizes.select("g", "n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).repartition(tasks, "g", "b")
-    lead = F.concat_ws("-", F.lit(seed), "g", "b", F.lit(""))
-    draws = draws.withColumn("lead", lead).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    h = F.conv(F.substring(F.md5(F.concat("lead", F.col("j").cast("string"))), 1, 8), 16, 10).cast("long")
-    means = draws.select("g", "b", (h % F.col("n")).alias("i")).join(near(rows), ["g", "i"]).groupBy("g", "b").agg(F.avg("v").alias("m"))
+    packs = rows.groupBy("g", F.floor(F.col("i") / SPAN).alias("span"), F.floor(F.col("i") / CHUNK).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("i", "v")))["v"].alias("vs"))
+    ranges = min(resamples, max(32, 4 * values.sparkSession.sparkContext.defaultParallelism))
+    lead = F.concat_ws("-", F.lit(seed), "g", F.lit(""))
+    keys = ["g", "span", "part"]
+    sent = packs.join(F.broadcast(sizes), "g").select("g", "span", "chunk", "n", lead.alias("lead"), "vs", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("part")).repartition(4 * ranges, *keys)
+
+    def added(t: pa.Table) -> pa.Table:
+        t = t.sort_by("chunk")
+        at = t.column("part")[0].as_py()
+        b = at * resamples // ranges, (at + 1) * resamples // ranges
+        held = t.column("vs").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        s = sums(t.column("lead")[0].as_py().encode(), b, t.column("n")[0].as_py(), held, t.column("span")[0].as_py() * span)
+        return pa.table([pa.array([t.column("g")[0].as_py()] * len(s), t.schema.field("g").type), pa.array(range(*b), pa.int32()), pa.array(s)], names=["g", "b", "s"])
+
+    of = sent.groupBy(*keys).applyInArrow(added, f"g {rows.schema['g'].dataType.simpleString()}, b int, s double")
+    means = of.groupBy("g", "b").agg(F.sum("s").alias("s")).join(F.broadcast(sizes), "g").select("g", "b", (F.col("s") / F.col("n")).alias("m"))
     at = means.withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("m", "b")) - 1)
     low, high = int(alpha / 2 * resamples), min(int((1 - alpha / 2) * resamples), resamples - 1)
     ends = at.groupBy("g").agg(F.max(F.when(F.col("k") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("k") == high, F.col("m"))).alias("high"))

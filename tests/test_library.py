@@ -207,3 +207,19 @@ def test_ties_are_rounded_as_duckdb_does(spark):
     assert got[100_000, "LLM_NoRAG"] == 632.54
     xs = [632.545, 1.005, 2.5, -0.125, 1e-9, 0.00014441666666666666 * 100000 * 365 * 0.12]
     assert [value(spark, T.rounded(F.lit(x), 2)) for x in xs] == [duckdb.execute("SELECT round(?::DOUBLE, 2)", [x]).fetchall()[0][0] for x in xs]
+
+
+def test_bootstrap_adds_up_hashed_draws_in_parts(spark, monkeypatch):
+    import numpy as np
+
+    from sparkmill.operators.draws import adder
+
+    values = np.array([k % 7 / 7 for k in range(1203)])
+    for lead in (b"17-g-", b"17-" + b"x" * 60 + b"-"):  # of the latter, a hash has two blocks
+        want = [sum(values[int(hashlib.md5(lead + f"{b}-{j}".encode()).hexdigest()[:8], 16) % 1203] for j in range(1203)) for b in range(8, 12)]
+        assert adder()(lead, (8, 12), 1203, values) == pytest.approx(want)
+    df = spark.range(1203).selectExpr("'g' AS g", "id AS k", "id % 7 / 7 AS v")
+    whole = stats.bootstrap_ci(df, "g", "v", "k", 64).collect()
+    monkeypatch.setattr(stats, "SPAN", 512)
+    monkeypatch.setattr(stats, "CHUNK", 128)
+    assert stats.bootstrap_ci(df, "g", "v", "k", 64).collect() == whole
