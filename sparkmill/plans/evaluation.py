@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkmill.functions import text as T
 from sparkmill.operators import corpus, retrieval
+from sparkmill.sources.shared import written
 from sparkmill.plans.queries import BM25, CONFIGS, DENSE, GRID, KWH_SQL, LEX, RRF, TOK, TOK3, WORDS, bm25_topk, dense_topk, doc_bodies, grid, hybrid, query, strategies, table
 
 # --- functions --------------------------------------------------------------------------------
@@ -93,7 +94,8 @@ def sentence_dedupe(s, d):
 @query("hybrid_pipeline")
 def hybrid_pipeline(s, d):
     """Fused lists, near-equal hits dropped, the rest packed to a budget: a context and its ranked sources for each item."""
-    h = hybrid(s, d).join(doc_bodies(s, d), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("h"))
+    hits = written(hybrid(s, d).select("query_id", "id", "rank"), "hits")  # few, which Spark sees before it shuffles bodies to them
+    h = hits.join(doc_bodies(s, d), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "text"))).alias("h"))
     h = h.withColumn("kept", F.transform(retrieval.greedy_distinct(F.col("h.text")), lambda i: F.element_at("h", i + 1)))
     blocks = F.transform("kept", lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] doc_"), x["id"].cast("string"), F.lit("\n"), x["text"]))
     return h.select("query_id", F.array_join(retrieval.packed(blocks, 6000), "\n\n").alias("context"), F.transform("kept", lambda x: F.concat(F.lit("doc_"), x["id"].cast("string"))).alias("sources"))

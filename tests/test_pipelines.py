@@ -446,3 +446,14 @@ def test_packed_paragraphs_golden(spark):
     assert [x[0] for x in got[5]] == ["doc_5", "doc_5_1_0", "doc_5_1_1", "doc_5_2"] and [x[2] for x in got[5]] == [500, 512, 148, 460]
     assert [x[2] for x in got[6]] == [512, 512, 176] and got[6][0][0] == "doc_6" and got[6][2] == ("doc_6_0_2", "doc_6_0_2_c2", 176, 2 * (512 * 5 - 1))
     assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString().replace("Exchange RoundRobin", "")
+
+
+def test_a_scan_shuffles_no_postings(spark, searched, monkeypatch):
+    """Slices of documents and blocks of queries change nothing, and neither postings nor bodies are exchanged: plans of ranking have no exchange below the few pairs that a scan gives."""
+    docs, queries, d, q, p = searched
+    monkeypatch.setattr(topk, "CELLS", 100)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    same([tuple(r) for r in topk.bm25(p).select("query_id", "id", "score", "rank").collect()], brute_bm25(docs, queries, 10))
+    same([tuple(r) for r in topk.lexical(d, q, p).select("query_id", "id", "score", "rank").collect()], brute_lexical(docs, queries, 10))
+    pairs = topk.bm25_candidates(p, topk.impacts(p), 10)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
