@@ -710,3 +710,12 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
     assert sum(len(r.text.split()) for r in mixed) == pytest.approx(1.5 * sum(len((r.text or "").split()) for r in near), rel=0.05)
     lib = Tokenizer.from_file(tokenizer_path())
     assert sorted((r.doc_id, r.n_tokens) for r in coded) == sorted((r.doc_id, len(lib.encode(r.text, add_special_tokens=False).ids)) for r in mixed)
+
+
+def test_a_host_of_long_pages_has_its_wrapper(spark, monkeypatch):
+    """Pages above the sample's usual length are learnt from where a host has too few others."""
+    page = "<body><h2>Same words on every page of the host</h2><div><p>Story {k}</p></div></body>"
+    df = spark.createDataFrame([(k, f"http://long.example/{k}", page.format(k=k)) for k in range(5)], "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "SAMPLE_CHARS", 20)
+    assert [r.host for r in html_extract.wrappers(df).collect()] == ["long.example"]
+    assert sorted(r.text for r in html_extract.extract_pages(df).collect()) == [f"Story {k}" for k in range(5)]
