@@ -28,7 +28,7 @@ from sparkmill.llm.common import held, slices, texts_of
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Pieces, and pairs of neighbouring tokens, that a worker remembers from one slice of its rows to the next.
-REMEMBERED = 40_000
+REMEMBERED, PAIRS = 150_000, 200_000
 #: Longer pieces are encoded each time they occur.
 REMEMBERED_CHARS = 64
 
@@ -116,7 +116,7 @@ class PrefixBpe:
                             break
                         key = last[start] << 20 | token
                         if (fits := neighbours.get(key)) is None:
-                            if len(neighbours) > REMEMBERED:
+                            if len(neighbours) > PAIRS:
                                 neighbours.clear()
                             fits = neighbours[key] = self.may_follow(last[start], token)
                         if fits:

@@ -719,3 +719,16 @@ def test_a_host_of_long_pages_has_its_wrapper(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "SAMPLE_CHARS", 20)
     assert [r.host for r in html_extract.wrappers(df).collect()] == ["long.example"]
     assert sorted(r.text for r in html_extract.extract_pages(df).collect()) == [f"Story {k}" for k in range(5)]
+
+
+def test_remembered_pairs_change_no_ids(monkeypatch):
+    from sparkmill.llm.queries import tokenizer_path
+
+    with open(tokenizer_path(), "rb") as f:
+        raw = f.read()
+    words = [" ".join(f"ba{k % 97}mo{k * k % 31}ra{k}" for k in range(at, at + 60)) for at in range(0, 600, 60)]
+    want = bpe.PrefixBpe(raw).encode(words)
+    monkeypatch.setattr(bpe, "PAIRS", 5)
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    few = bpe.PrefixBpe(raw)
+    assert [few.encode([w])[0] for w in words] == want and len(few.neighbours) <= 6
