@@ -41,7 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path())
+    # less is remembered than by the query alone: the stages before leave an executor less memory
+    return bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path(), remembered=(40_000, 40_000))
 
 
 def with_length(docs: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def byte_letters() -> dict[str, int]:
 class PrefixBpe:
     """Encoder and decoder for one vocabulary file of the tokenizers library."""
 
-    def __init__(self, raw: bytes):
+    def __init__(self, raw: bytes, remembered: tuple[int, int] | None = None):
+        self.remembered = remembered
         spec = json.loads(raw)
         letters = byte_letters()
         as_bytes = lambda token: bytes(letters[c] for c in token)
@@ -70,10 +71,14 @@ class PrefixBpe:
         self.ids: dict[str, str] = {}
         self.written = {str(i): b for i, b in token_bytes.items()}
 
+    @property
+    def bounds(self) -> tuple[int, int]:
+        return self.remembered or (REMEMBERED, PAIRS)
+
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """The symbols at the token's right (1) or left (0) end, innermost first, each with the rank that absorbs it."""
         if (token, side) not in self.edges:
-            if len(self.edges) > REMEMBERED // 4:
+            if len(self.edges) > self.bounds[0] // 4:
                 self.edges.clear()
             chain, absorbed = [(token, float("inf"))], token
             while absorbed in self.halves:
@@ -101,7 +106,7 @@ class PrefixBpe:
 
     def encode_sorted(self, words: list[bytes]) -> Iterator[str]:
         """Ids, joined by commas, of each of the distinct words, which come in byte order."""
-        token_at, neighbours = self.made.get, self.neighbours
+        token_at, neighbours, most_pairs = self.made.get, self.neighbours, self.bounds[1]
         last, starts, before = [-1], [0], b""
         for word in words:
             shared, most = 0, min(len(before), len(word))
@@ -116,7 +121,7 @@ class PrefixBpe:
                             break
                         key = last[start] << 20 | token
                         if (fits := neighbours.get(key)) is None:
-                            if len(neighbours) > PAIRS:
+                            if len(neighbours) > most_pairs:
                                 neighbours.clear()
                             fits = neighbours[key] = self.may_follow(last[start], token)
                         if fits:
@@ -142,7 +147,7 @@ class PrefixBpe:
 
     def forget(self, pieces: set[str]) -> None:
         """Drop what goes beyond the bound: the pieces met first, most of them frequent, stay."""
-        room = len(self.ids) - REMEMBERED
+        room = len(self.ids) - self.bounds[0]
         for p in pieces:
             if room > 0 or len(p) > REMEMBERED_CHARS:
                 del self.ids[p]
@@ -168,11 +173,11 @@ class PrefixBpe:
         return out
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, remembered: tuple[int, int] | None = None) -> DataFrame:
     """Encode each whole text and decode it again.
 
     Returns id_col, keep's columns, n_tokens, ids_sha256 and decoded_sha256, and with_text also
-    token_ids array<int> and decoded string. The vocabulary file (a few MB, fixed) is broadcast.
+    token_ids array<int> and decoded string. The vocabulary file (a few MB, fixed) is broadcast. remembered: pieces and pairs that a worker keeps.
     """
     spark = docs.sparkSession
     with open(tokenizer_path, "rb") as f:
@@ -180,7 +185,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     kept = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = held(("bpe", xxhash.xxh3_64_intdigest(vocabulary.value)), lambda: PrefixBpe(vocabulary.value))
+        bpe = held(("bpe", xxhash.xxh3_64_intdigest(vocabulary.value), remembered), lambda: PrefixBpe(vocabulary.value, remembered))
         for batch in slices(batches, len(kept), 256, 500_000):
             coded = bpe.encode(texts_of(batch.column(len(kept))))
             decoded = [d.decode("utf-8", "replace") for _, d in coded]
