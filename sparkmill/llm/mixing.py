@@ -130,29 +130,45 @@ def slots(planned: DataFrame, seed: str, total: float) -> DataFrame:
     """shard, at, s, block, lap: the block of its source that each output slot takes."""
     rows = dealt_slots(planned, seed, total).withColumn("lap", F.floor(F.col("at") / F.col("blocks")).cast("int"))
     rows = rows.select("shard", "at", "s", "lap", "blocks", F.pmod("at", "blocks").alias("x"), F.xxhash64(F.lit(seed), F.col("s"), F.col("lap")).alias("key"))
-    return rows.select("shard", "at", "s", permuted(F.col("x"), F.col("blocks"), F.col("key")).alias("block"), "lap")
+    return permuted(rows).select("shard", "at", "s", "block", "lap")
 
 
-def permuted(x: Column, n: Column, key: Column) -> Column:
-    """Where a keyed permutation of 0..n-1 takes x.
+def permuted(rows: DataFrame) -> DataFrame:
+    """rows: x, blocks, key. Adds block: where a keyed permutation of 0..blocks-1 takes x.
 
-    The grid has a columns and b rows, n cells at least and fewer than n + a. ROUNDS times a cell's column is
+    The grid has a columns and b rows, blocks cells at least and fewer than blocks + a. ROUNDS times a cell's column is
     moved on by a hash of its row, and then its row by a hash of its column; both can be undone, so cells are permuted.
     A cell beyond the range is permuted again until it is in it, which it is after as many steps as there are such cells at most.
+
+    Each step is a column of its own: within one expression every step repeats those before it, and the driver copies and prints
+    plans of tens of thousands of nodes each time that a stage ends.
     """
-    a = F.ceil(F.sqrt(n))
-    b = F.ceil(n / a)
+    a, b, n, key = map(F.col, ["a", "b", "blocks", "key"])
+    rows = rows.withColumn("a", F.ceil(F.sqrt(n))).withColumn("b", F.ceil(n / a))
+    rows = rows.withColumn("column", F.pmod(F.col("x"), a)).withColumn("row", F.floor(F.col("x") / a))
+
+    def moved_column(column: Column, row: Column, step: Column) -> Column:
+        return F.pmod(column + F.pmod(F.xxhash64(step, key, row), a), a)
+
+    def moved_row(column: Column, row: Column, step: Column) -> Column:
+        return F.pmod(row + F.pmod(F.xxhash64(step, key, column), b), b)
+
+    for r in range(ROUNDS):
+        rows = rows.withColumn("column", moved_column(F.col("column"), F.col("row"), F.lit(2 * r)))
+        rows = rows.withColumn("row", moved_row(F.col("column"), F.col("row"), F.lit(2 * r + 1)))
+
+    def round_(cell: Column, r: Column) -> Column:
+        column = moved_column(cell["column"], cell["row"], 2 * r)
+        return F.struct(column.alias("column"), moved_row(column, cell["row"], 2 * r + 1).alias("row"))
 
     def moved(z: Column) -> Column:
-        column, row = F.pmod(z, a), F.floor(z / a)
-        for r in range(ROUNDS):
-            column = F.pmod(column + F.pmod(F.xxhash64(F.lit(2 * r), key, row), a), a)
-            row = F.pmod(row + F.pmod(F.xxhash64(F.lit(2 * r + 1), key, column), b), b)
-        return row * a + column
+        start = F.struct(F.pmod(z, a).alias("column"), F.floor(z / a).alias("row"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, round_, lambda cell: cell["row"] * a + cell["column"])
 
-    once = moved(x)
-    walk = F.aggregate(F.sequence(F.lit(0), (a * b - n).cast("int")), once, lambda z, _: F.when(z < n, z).otherwise(moved(z)))
-    return F.when(once < n, once).otherwise(walk)
+    rows = rows.withColumn("once", F.col("row") * a + F.col("column"))
+    walk = F.aggregate(F.sequence(F.lit(0), (a * b - n).cast("int")), F.col("once"), lambda z, _: F.when(z < n, z).otherwise(moved(z)))
+    # never null, and said so: a join's own filter for nulls would bring the whole expression twice
+    return rows.withColumn("block", F.coalesce(F.when(F.col("once") < n, F.col("once")).otherwise(walk), F.lit(-1)))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -206,7 +222,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = placed.where("size > 0").select(F.col("doc_id").alias("id"), "digest", named(F.col("source")).alias("s"), "start", "size")
     repeated = not narrow.groupBy(*keys).agg(F.count("*").alias("k")).where("k > 1").isEmpty()
     laps = spans(placed, chosen, block_words).groupBy("s", "start", "lap").agg(F.sort_array(F.collect_set("block")).alias("blocks"), F.sum("words").alias("words"))
-    laps = laps.groupBy("s", "start").agg(F.collect_list(F.struct("lap", "blocks", "words")).alias("laps"))  # two at most
+    # two laps at most; written, so that one plan doesn't hold the slots and the documents' texts both
+    laps = written(laps.groupBy("s", "start").agg(F.collect_list(F.struct("lap", "blocks", "words")).alias("laps")), "mix-laps")
     found = numbered(narrow, keys, repeated).hint("merge").join(laps.hint("merge"), ["s", "start"]).select(*keys, "number", "start", "size", "laps")
     # the documents' own columns stay together, whatever their names
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"))

@@ -240,6 +240,27 @@ def test_mixing_permutes_each_source(spark):
     assert abs(np.corrcoef(order[:-1], order[1:])[0, 1]) < 0.1 and abs(np.corrcoef(order, range(1001))[0, 1]) < 0.1
 
 
+def test_mixing_plans_stay_small(spark):
+    docs = docs_of(spark, ["a b c " * 40, "d e f " * 50], sources=["x", None])
+    for df in (mixing.mixed_documents(docs), mixing.taken_words(docs)):
+        assert len(df._jdf.queryExecution().toString()) < 100_000
+    # the permutation's values are those of one expression that holds all its steps
+    planned = spark.createDataFrame([("a", 11, 22.0), (None, 7, 14.0)], "source string, blocks long, quota double")
+    got = {k: [r.block for r in sorted(rows, key=lambda r: r.at)] for k, rows in by_lap(mixing.slots(planned, "mix", 36.0).collect()).items()}
+    assert got == PERMUTED
+
+
+def by_lap(rows):
+    found = defaultdict(list)
+    for r in rows:
+        found[r.s, r.lap].append(r)
+    return found
+
+
+#: As the rows of the version before gave them.
+PERMUTED = {('=a', 0): [5, 7, 3, 6, 10, 9, 4, 1, 8, 0, 2], ('=a', 1): [1, 6, 4, 3, 8, 0, 2, 7, 10, 9, 5], ('none', 0): [0, 5, 4, 1, 6, 3, 2], ('none', 1): [4, 0, 1, 5, 6, 2, 3]}
+
+
 # --- op9 --------------------------------------------------------------------------------------
 
 
