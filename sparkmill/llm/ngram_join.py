@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkmill.llm.common import bytes_of, discard, held, only_marked, parts_of, slices, written
+from sparkmill.llm.common import bytes_of, counted, discard, held, only_marked, parts_of, slices, written
 from sparkmill.llm.components import merged
 
 #: Words of an n-gram and the threshold, as a percentage.
@@ -191,8 +191,7 @@ def segments_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame, id_col: str
                 names=["node", "fragment", "segment"],
             )
 
-    one = written(wanted.join(sets, "node").select("node", "digest", F.col("least").alias("doc_id")), "wanted")
-    count = one.count()
+    one, count = counted(wanted.join(sets, "node").select("node", "digest", F.col("least").alias("doc_id")), "wanted")
     likely = only_marked(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "doc_id", one, "doc_id", count)
     texts = likely.join(one, "doc_id").select("node", "digest", "text").coalesce(parts_of(docs, count, 4000))
     return texts.mapInArrow(run, "node long, fragment int, segment array<long>")
@@ -206,10 +205,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = signatures(docs, id_col, text_col, n, percent, order)
     filled = rows.where("n_shingles > 0")
     distinct = filled.groupBy("digest").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
-    sets = written(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("fold", fold_of(F.col("parity"))), "sets")
+    sets, classes = counted(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("fold", fold_of(F.col("parity"))), "sets")
     parity = sets.select("node", "n", "parity")
-
-    classes = sets.count()
     parts = parts_of(docs, classes, 20_000)
 
     def verified(likely: DataFrame) -> DataFrame:
@@ -228,9 +225,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return found
 
     member = sets.select("node", "n", "fold", F.posexplode("prefix").alias("i", "g"))
-    buckets = written(member.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("first")).where("k > 1").select("g", "first").coalesce(parts), "buckets")
+    buckets, some = counted(member.groupBy("g").agg(F.count("*").alias("k"), F.min(F.struct("node", "n")).alias("first")).where("k > 1").select("g", "first").coalesce(parts), "buckets")
     # most n-grams of prefixes are one class's own: they go before the join
-    member = written(only_marked(member, "g", buckets, "g", buckets.count()).join(buckets, "g").coalesce(parts), "prefix-members")
+    member = written(only_marked(member, "g", buckets, "g", some).join(buckets, "g").coalesce(parts), "prefix-members")
     # first pass: each bucket's smallest member and the others
     pairs = member.where((F.col("node") != F.col("first.node")) & alike_in_size(F.col("n"), F.col("first.n"), percent)).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct().coalesce(parts)
     one, two = parity.toDF("a", "na", "pa"), parity.toDF("b", "nb", "pb")
@@ -241,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) * 1.000001)) if percent < 100 else F.col("n")
     banded = member.where(F.col("node") != F.col("first.node")).select("g", "node", "n", "i", "fold", band.alias("band")).withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
     rest = banded.select(F.xxhash64("g", F.when(F.col("own"), F.col("band")).otherwise(F.col("band") + 1)).alias("g"), "node", "n", "i", "fold", "own")
-    component = merged(sets.select("node", F.col("node").alias("component")), verified(likely).union(same_ids(filled, sets)))
+    component = merged(sets.select("node", F.col("node").alias("component")), verified(likely).union(same_ids(filled, sets)), classes)
 
     round_ = 0
     while True:
@@ -265,9 +262,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = centres.join(others, (centres["g"] == others["g"]) & (centres["block"] == others["block"]) & (F.col("cx") != F.col("cy")) & once & first_shared(*map(F.col, ["nx", "ix", "px", "ny", "iy", "py"]), percent))
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).coalesce(parts).distinct().coalesce(parts)
         fresh = pairs.join(seen, ["a", "b"], "left_anti").coalesce(parts)
-        likely = written(fresh.join(one, "a").coalesce(parts).join(two, "b").where(ends).select("a", "b", "na", "nb").coalesce(parts), "likely-pairs")
-        if not likely.isEmpty():
-            component = merged(component, verified(likely))
+        likely, some = counted(fresh.join(one, "a").coalesce(parts).join(two, "b").where(ends).select("a", "b", "na", "nb").coalesce(parts), "likely-pairs")
+        if some:
+            component = merged(component, verified(likely), classes)
             seen = seen.union(likely.select("a", "b"))
         if last:
             break

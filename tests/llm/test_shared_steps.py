@@ -35,6 +35,17 @@ def test_components_that_grow_equal_components_of_all_links(spark):
     assert {r.node: r.component for r in step.collect()} == {k: whole.get(k, k) for k in range(300)}
 
 
+def test_components_settle_without_a_round_that_changes_nothing(spark, monkeypatch):
+    """Each table of links is a round for the driver to plan: links that one round makes stars of take that one, none take none."""
+    made = []
+    monkeypatch.setattr(common, "shared_path", lambda session, label, path=common.shared_path: made.append(label) or path(session, label))
+    links = [(1, k) for k in range(2, 40)] + [(50, k) for k in range(51, 60)]
+    got = {r.node: r.component for r in stars(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 40)} | {k: 50 for k in range(50, 60)} and made == ["links"] * 2
+    made.clear()
+    assert stars(spark.createDataFrame([(7, 7)], "a long, b long")).collect() == [] and made == ["links"]
+
+
 def test_a_vocabulary_without_all_bytes_is_refused():
     with pytest.raises(ValueError):
         bpe.PrefixBpe(json.dumps({"model": {"vocab": {"a": 0, "b": 1}, "merges": []}, "added_tokens": []}).encode())
