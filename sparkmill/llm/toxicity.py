@@ -30,6 +30,7 @@ import math
 import pickle
 import re
 import sys
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -50,8 +51,10 @@ BEST = 2
 THRESHOLD = 0.7
 #: Distinct passages whose evidence a worker keeps from one slice of rows to the next.
 REMEMBERED = 150_000
-#: Passages whose neighbours are looked up at once.
-LOOKED_UP = 2000
+#: Passages whose neighbours are looked up at once, and postings of their terms that are laid out together (those of one passage always are).
+LOOKED_UP, LAID_OUT = 2000, 1 << 17
+#: Rows, and bytes of text, that a worker splits into passages at once.
+SPLIT_ROWS, SPLIT_BYTES = 64, 500_000
 
 _words = re.compile(r"\w+").findall
 
@@ -132,6 +135,15 @@ class PassageIndex:
         query, row = np.array(query, np.int64), np.array(row, np.int64)
         norm = np.sqrt(np.bincount(query, self.idf[row] ** 2, len(passages)) + missing * self.unknown**2)
         weight = self.idf[row] / norm[query]
+        postings = np.cumsum(self.start[self.first[row + 1]] - self.start[self.first[row]])
+        ends = np.append(np.nonzero(query[1:] != query[:-1])[0] + 1, len(query))
+        share = (postings[ends - 1] - 1) // LAID_OUT
+        cuts = [0, *ends[:-1][share[1:] != share[:-1]].tolist(), len(query)]
+        found = [self.nearest_of(query[a:b], row[a:b], weight[a:b]) for a, b in zip(cuts, cuts[1:])]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def nearest_of(self, query: np.ndarray, row: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As `nearest`, for passages given by their terms and weights, a passage's together."""
         # which blocks can hold a neighbour
         entry, of = spread(self.first[row], self.first[row + 1])
         key = query[of] * (1 + len(self.passages) // BLOCK) + self.block[entry]
@@ -139,8 +151,6 @@ class PassageIndex:
         bound = np.bincount(same, weight[of] * self.most[entry])
         likely = bound[same] >= LEAST_COSINE - 1e-12
         entry, of = entry[likely], of[likely]
-        if not len(entry):
-            return none
         # their postings
         posting, at = spread(self.start[entry], self.start[entry + 1])
         of = of[at]
@@ -279,8 +289,13 @@ def build_index(examples: list[tuple[int, set[str], int]], rate: float) -> Passa
     return index
 
 
+def packed(index: PassageIndex) -> bytes:
+    """The index pickled and compressed: a worker holds what was broadcast beside the index itself."""
+    return zlib.compress(pickle.dumps(index), 1)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> bytes:
-    """A pickled index of at most per_class distinct labelled texts a class, those that hash lowest; docs holds the texts to learn from.
+    """A packed index of at most per_class distinct labelled texts a class, those that hash lowest; docs holds the texts to learn from.
 
     One task builds it, from as many texts as the bound allows, so that the driver only passes it on.
     """
@@ -294,7 +309,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     discard(known)
     rate = rates.get(1, 0) / max(1, sum(rates.values()))
     if not chosen:
-        return pickle.dumps(PassageIndex([], rate))
+        return packed(PassageIndex([], rate))
     wanted = spark.createDataFrame([(r.id, r.h, r.y) for r in chosen], texts.select("id", "h").schema.add("y", "integer"))  # per_class bounds the broadcast
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +322,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in slices(batches, rows=32):
             for i, h, y, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 examples[h, y] = (i, set(map(sys.intern, own)), y)
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build_index([examples[k] for k in sorted(examples)], rate))], pa.binary())], names=["index"])
+        yield pa.RecordBatch.from_arrays([pa.array([packed(build_index([examples[k] for k in sorted(examples)], rate))], pa.binary())], names=["index"])
 
     sample = texts.join(F.broadcast(wanted), ["id", "h"]).select("id", "h", "y", "text").mapInArrow(words, "id long, h long, y int, words array<string>")
     return bytes(sample.repartition(1).mapInArrow(build, "index binary").first()["index"])
@@ -318,13 +333,15 @@ def score_documents(docs: DataFrame, index: bytes, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(index)
     given = [F.col(c) for c in (id_col, *keep)] + list((extra or {}).values())
     passed = [id_col, *keep, *(extra or {})]
-    rows = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(given)), F.col(text_col).alias("whole"))
+    # a text that is kept goes to the workers once
+    place = [id_col, *keep].index(text_col) if text_col in (id_col, *keep) else len(passed)
+    rows = docs.select(*(c.alias(f"c{k}") for k, c in enumerate(given)), *[F.col(text_col).alias("whole")] * (place == len(passed)))
     kind = pa.list_(pa.struct([("passage", pa.string()), ("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("toxicity", xxhash.xxh3_64_intdigest(shared.value)), lambda: Scorer(pickle.loads(shared.value)))
-        for batch in slices(batches, len(passed), 256, 2_000_000):
-            got = scorer.score(texts_of(batch.column(len(passed))))
+        scorer = held(("toxicity", xxhash.xxh3_64_intdigest(shared.value)), lambda: Scorer(pickle.loads(zlib.decompress(shared.value))))
+        for batch in slices(batches, place, SPLIT_ROWS, SPLIT_BYTES):
+            got = scorer.score(texts_of(batch.column(place)))
             scores = [s for s, _ in got]
             columns = [batch.column(k) for k in range(len(passed))]
             columns += [pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), pa.array([e for _, e in got], kind)]

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -459,6 +460,34 @@ def test_toxicity_scores(spark):
     assert toxicity.score_documents(df.limit(0), index).collect() == []
 
 
+def test_toxicity_lookups_are_bounded_by_postings(monkeypatch):
+    """Passages that begin alike lay out a part of their postings at a time; a bound below one passage's changes no neighbour."""
+    import tracemalloc
+
+    words = [f"abc{k:05d}" for k in range(6000)]
+    index = toxicity.PassageIndex([(k, set(words), k % 2) for k in range(4)], 0.5)
+    asked = words[:1900] + ["zzz"] + [f"abc0{k}x" for k in range(100)]
+    tracemalloc.start()
+    got = index.nearest(asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    for bound in (1, 1 << 40):
+        monkeypatch.setattr(toxicity, "LAID_OUT", bound)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(got, index.nearest(asked), strict=True))
+    assert all(len(x) == 0 for x in index.nearest(["zzz"]))
+
+
+def test_toxicity_sends_a_kept_text_once(spark):
+    df = docs_of(spark, ["plain words", "vile scum", None]).select("doc_id", "text", "lang")
+    index = toxicity.learn(df, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
+    kept = toxicity.score_documents(df, index, keep=("lang", "text"))
+    assert "whole" not in kept._jdf.queryExecution().analyzed().toString()
+    bare = {r.doc_id: r.score for r in toxicity.score_documents(df, index).collect()}
+    assert {r.doc_id: (r.text, r.lang, r.score) for r in kept.collect()} == {r.doc_id: (r.text, r.lang, bare[r.doc_id]) for r in df.collect()}
+    assert len(zlib.decompress(index)) > len(index)
+
+
 def test_letters_are_told_by_category():
     assert language_id.words_of("½ ² ٣ _ 4 ") == [] and language_id.words_of("Ab1é e\u0301x") == ["ab", "é", "e\u0301x"]
 
